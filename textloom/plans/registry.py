@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
+MODULES = ("corpus",)
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
@@ -28,6 +29,10 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 def _load() -> None:
     """Import the modules that register queries."""
+    import importlib
+
+    for name in MODULES:
+        importlib.import_module(f"textloom.plans.{name}")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

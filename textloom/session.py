@@ -36,6 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + local
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/textloom-" in path:
+                target = spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
