@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, also when a lambda inside uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double"))
 
@@ -28,13 +35,13 @@ def mean(v: Column) -> Column:
 
 def variance(v: Column) -> Column:
     """Population variance."""
-    m = mean(v)
-    return F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda s, x: s + (x.cast("double") - m) * (x.cast("double") - m)) / F.size(v))
+    squares = let(mean(v), lambda m: F.aggregate(v, F.lit(0.0), lambda s, x: s + (x.cast("double") - m) * (x.cast("double") - m)))
+    return F.when(F.size(v) > 0, squares / F.size(v))
 
 
 def layer_norm(v: Column, eps: float = 1e-5) -> Column:
-    m, sd = mean(v), F.sqrt(variance(v) + F.lit(eps))
-    return F.transform(v, lambda x: (x.cast("double") - m) / sd)
+    moments = F.struct(mean(v).alias("m"), F.sqrt(variance(v) + F.lit(eps)).alias("sd"))
+    return let(moments, lambda s: F.transform(v, lambda x: (x.cast("double") - s["m"]) / s["sd"]))
 
 
 def fit(v: Column, length: int, pad: Column) -> Column:
@@ -56,8 +63,7 @@ def pass_at_k(n: Column, c: Column, k: int) -> Column:
 
 def quantize_int8(v: Column) -> Column:
     """Symmetric per-vector INT8 codes; the scale is the largest magnitude over 127 (half to even)."""
-    scale = quantize_scale(v)
-    return F.transform(v, lambda x: F.greatest(F.lit(-128.0), F.least(F.lit(127.0), F.rint(x.cast("double") / scale))).cast("int"))
+    return let(quantize_scale(v), lambda scale: F.transform(v, lambda x: F.greatest(F.lit(-128.0), F.least(F.lit(127.0), F.rint(x.cast("double") / scale))).cast("int")))
 
 
 def quantize_scale(v: Column) -> Column:

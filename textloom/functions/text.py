@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 #: white space as Python's ``str.strip`` and ``str.split`` know it; Java's ``\s`` is ASCII only
 SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
@@ -27,7 +28,7 @@ def strip_control(t: Column) -> Column:
     return F.regexp_replace(t, CONTROL, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(S.StringType())
 def _normalize(t: pd.Series, form: pd.Series) -> pd.Series:
     return pd.Series([None if s is None else unicodedata.normalize(f, s) for s, f in zip(t, form)])
 
@@ -43,7 +44,7 @@ def unicode_normalize(t: Column, form: str = "NFC") -> Column:
 def expand_tabs(t: Column, size: int = 4) -> Column:
     """Tabs to the next multiple of ``size`` columns; text without tabs stays in the JVM."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(S.StringType())
     def expand(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else x.expandtabs(size))
 
@@ -107,7 +108,7 @@ def braces_balanced(t: Column) -> Column:
     return F.aggregate(only, start, step, lambda s: (s["n"] == 0) & (s["low"] == 0))
 
 
-@F.pandas_udf("ok boolean, message string")
+@F.pandas_udf(S.StructType([S.StructField("ok", S.BooleanType()), S.StructField("message", S.StringType())]))
 def python_syntax(code: pd.Series) -> pd.DataFrame:
     """Whether a text parses as Python, with the first error's line."""
     out = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import unprintable_ratio
+from textloom.functions.text import strip, unprintable_ratio
 
 ROLES = ("system", "user", "assistant")
 
@@ -49,9 +49,9 @@ def conversation_errors(turns: DataFrame) -> DataFrame:
     Errors are listed in turn order; each turn may have a bad role and empty
     content, and a conversation without an assistant turn has one more.
     """
-    role = F.lower(F.trim("role"))
+    role = F.lower(strip(F.col("role")))
     bad_role = F.when(~F.coalesce(role.isin(*ROLES), F.lit(False)), F.concat(F.lit("turn "), F.col("turn"), F.lit(": role")))
-    no_content = F.when(F.coalesce(F.length(F.trim("content")), F.lit(0)) == 0, F.concat(F.lit("turn "), F.col("turn"), F.lit(": empty")))
+    no_content = F.when(F.coalesce(F.length(strip(F.col("content"))), F.lit(0)) == 0, F.concat(F.lit("turn "), F.col("turn"), F.lit(": empty")))
     found = F.filter(F.array(bad_role, no_content), lambda e: e.isNotNull())
     per = turns.select("conv_id", "turn", found.alias("found"), (role == "assistant").alias("answers"))
     # only turns with errors are gathered, so a huge sound conversation gathers nothing

@@ -346,7 +346,7 @@ def w2_memmap_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _concatenated(length: int, extra: int, eos: str) -> str:
-    return f"""WITH a AS (SELECT list(id ORDER BY doc_id, pos) AS v FROM (SELECT doc_id, unnest(w) AS id, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, v{eos} AS w FROM {_CS})))
+    return f"""WITH a AS (SELECT list(id ORDER BY doc_id, pos) AS v FROM (SELECT doc_id, unnest(w) AS id, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, v{eos} AS w FROM (SELECT doc_id, list_transform({CHARS}, lambda c: unicode(c)) AS v FROM documents WHERE text IS NOT NULL))))
     SELECT k AS "window", md5(array_to_string(v[k * {length} + 1:k * {length} + {length + extra}], ',')) AS ids FROM (SELECT v, unnest(range((len(v) - {length + extra}) // {length} + 1)) AS k FROM a)"""
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
-MODULES = ("corpus",)
+MODULES = ("corpus", "conversation", "retrieval", "tokenizer", "evaluation", "tensors", "io")
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
@@ -36,8 +36,8 @@ def _load() -> None:
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    _load()
-    return spark.read.parquet(f"{sf}/documents.parquet").groupBy("lang").count()
+    """Hybrid retrieval from chunking to the answer prompt."""
+    return queries()["r8_answer_prompt"](spark, sf)
 
 
 def queries() -> dict[str, Query]:
