@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.textcore import U, Words, mix, signed, slices
 
-BINS = 128
+BINS = 256
 
 
 def text_key(text: Column, tag: str = "") -> Column:
@@ -30,20 +30,18 @@ def distinct_shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray,
     return h[new], text[new], where[new]
 
 
-def bit_sketch(h: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each text: one bit of the smallest shingle hash in each of 128 bins.
+def bit_sketch(h: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    """256 bits of each text as four words: one bit of the smallest shingle hash in each of 256 bins.
 
     A bit of two texts differs with half the chance that the bin's minimum differs,
     so at similarity 0.5 about a quarter of the bits differ and at 0 about half.
     """
-    cell = text.astype(np.int64) * BINS + (h >> U(57)).astype(np.int64)
+    cell = text.astype(np.int64) * BINS + (h >> U(56)).astype(np.int64)
     first = np.ones(len(cell), bool)
     first[1:] = cell[1:] != cell[:-1]  # ascending by (text, hash), hence by bin
-    bits = np.zeros(texts * BINS, U)
+    bits = np.zeros(texts * BINS, np.uint8)
     bits[cell[first]] = (mix(h[first]) >> U(40)) & U(1)
-    bits = bits.reshape(texts, 2, 64) << np.arange(64, dtype=U)
-    both = np.bitwise_or.reduce(bits, axis=2)
-    return both[:, 0], both[:, 1]
+    return np.packbits(bits.reshape(texts, BINS), axis=1).view(U)
 
 
 def shingle_arrays(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
