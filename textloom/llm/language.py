@@ -66,19 +66,15 @@ def prose(text: str) -> str:
 def detect(text: str, *, is_prose: bool = False) -> str | None:
     """``en``, ``de``, ``es``, ``fr`` or ``zh``; None where the prose gives no clear answer."""
     body = text if is_prose else prose(text)
-    han = len(_HAN.findall(body))
     words = _WORD.findall(body.lower())
-    letters = sum(map(len, words))
-    if han and han * 2 >= letters:
+    if _HAN.search(body) and len(_HAN.findall(body)) * 2 >= sum(map(len, words)):
         return "zh"
     if len(words) < 3:
         return None
     score = dict.fromkeys(_SETS, 0.0)
-    for w in words:
-        owners = _OWNERS.get(w)
-        if owners:
-            for k in owners:
-                score[k] += 1 / len(owners)
+    for owners in filter(None, map(_OWNERS.get, words)):
+        for k in owners:
+            score[k] += 1 / len(owners)
     best, second = sorted(score.values(), reverse=True)[:2]
     if best < 1 or best < second * 1.3 + 0.4:
         return None
