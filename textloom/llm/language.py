@@ -34,7 +34,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[㐀-鿿]")
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _INLINE = re.compile(r"`[^`\n]*`|</?[A-Za-z][^<>\n]*>|https?://\S+")
-_IDENTIFIER = re.compile(r"\b(?:\w*[_\d]\w*|[a-z]+[A-Z]\w*|[A-Z][a-z]+[A-Z]\w*)\b")
+#: names in code; ASCII only, since names stand next to Chinese characters without a space
+_IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])(?:[A-Za-z0-9_]*[_\d][A-Za-z0-9_]*|[a-z]+[A-Z][A-Za-z0-9]*|[A-Z][a-z]+[A-Z][A-Za-z0-9]*)")
 #: a line of code: ends or begins as no sentence does
 CODE_LINE = re.compile(
     r"^\s*(?:(?:def|class|import|from|func|fn|export|function|package|public|private|static|const|let|var|impl|use|namespace|template|struct|enum|async)\s+[\w:<(\[*&{\"'@].*[\w)}\]{:;,>\"']|std::.*|#include.*|#!.*|//.*|/\*.*|\*/.*|--\s.*|\s+#\s.*|@\w+.*|"
