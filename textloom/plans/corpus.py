@@ -55,9 +55,9 @@ def c5_clean_text(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", T.clean_text(F.col("text")).alias("clean"))
 
 
-@query(rf"SELECT doc_id, regexp_replace(regexp_replace({CLEAN}, '(?m)[ \t\x0b\f]+$', '', 'g'), '(?m)#.*$', '', 'g') AS clean FROM documents WHERE doc_type = 'code' AND domain = 'python' AND NOT contains(text, chr(9))")
+@query(rf"SELECT doc_id, regexp_replace(regexp_replace({CLEAN}, '(?m)[ \t\x0b\f]+$', '', 'g'), '(?m)#.*$', '', 'g') AS clean FROM documents WHERE doc_type = 'code' AND lower(domain) = 'python'")
 def c6_clean_python(spark: SparkSession, sf: str) -> DataFrame:
-    rows = docs(spark, sf).where("doc_type = 'code' and domain = 'python'").where(~F.contains("text", F.lit("\t")))
+    rows = docs(spark, sf).where("doc_type = 'code' and lower(domain) = 'python'")
     return rows.select("doc_id", T.clean_python(F.col("text")).alias("clean"))
 
 
@@ -391,13 +391,13 @@ def j8_position_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH b AS (SELECT doc_id, v[1:200] AS x, v[2:201] AS y, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch FROM {_CS}),
-    m AS (SELECT batch, max(greatest(len(x), len(y))) AS l, count(*) AS n FROM b GROUP BY batch)
-    SELECT doc_id, batch, array_to_string(x || list_transform(range(l - len(x)), lambda i: 0), ',') AS x, array_to_string(y || list_transform(range(l - len(y)), lambda i: -100), ',') AS y FROM b JOIN m USING (batch)"""
+    f"""WITH b AS (SELECT doc_id, v AS x, v[2:] AS y, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch FROM {_CS}),
+    m AS (SELECT batch, max(greatest(len(x), len(y))) AS l FROM b GROUP BY batch)
+    SELECT doc_id, batch, md5(array_to_string(x || list_transform(range(l - len(x)), lambda i: 0), ',')) AS x, md5(array_to_string(y || list_transform(range(l - len(y)), lambda i: -100), ',')) AS y FROM b JOIN m USING (batch)"""
 )
 def b1_padded_batches(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ids(docs(spark, sf)).where("size(ids) > 0").select("doc_id", F.slice("ids", 1, 200).alias("x"), F.slice("ids", 2, 200).alias("y"))
-    return _joined(windows.padded_batches(windows.batches(rows, "doc_id", 16), "batch", "x", "y"), "x", "y").select("doc_id", "batch", "x", "y")
+    rows = ids(docs(spark, sf)).where("size(ids) > 0").select("doc_id", F.col("ids").alias("x"), F.slice("ids", 2, F.size("ids")).alias("y"))
+    return _joined(windows.padded_batches(windows.batches(rows, "doc_id", 16), "batch", "x", "y"), "x", "y").select("doc_id", "batch", F.md5("x").alias("x"), F.md5("y").alias("y"))
 
 
 @query("WITH r AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch, count(*) OVER () AS n FROM documents) SELECT doc_id, batch FROM r WHERE batch < n // 32")
@@ -406,12 +406,12 @@ def b2_full_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH b AS (SELECT v[1:200] AS x, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch FROM {_CS}), m AS (SELECT batch, max(len(x)) AS l FROM b GROUP BY batch),
-    p AS (SELECT batch, sum(l - len(x)) AS pads, sum(l) AS total FROM b JOIN m USING (batch) GROUP BY batch)
+    f"""WITH b AS (SELECT v AS x, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch FROM {_CS}), m AS (SELECT batch, max(len(x)) AS l FROM b GROUP BY batch),
+    p AS (SELECT batch, sum(l - len(x) + len(list_filter(x, lambda c: c = 0))) AS pads, sum(l) AS total FROM b JOIN m USING (batch) GROUP BY batch)
     SELECT batch, CAST(pads AS BIGINT) AS pad_tokens, CAST(total AS BIGINT) AS total_tokens, round(pads::DOUBLE / total, 4) + 0 AS pad_ratio FROM p"""
 )
 def a8_padding_stats(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ids(docs(spark, sf)).where("size(ids) > 0").select("doc_id", F.slice("ids", 1, 200).alias("x"))
+    rows = ids(docs(spark, sf)).where("size(ids) > 0").select("doc_id", F.col("ids").alias("x"))
     rows = windows.padded_batches(windows.batches(rows.withColumn("y", F.col("x")), "doc_id", 16), "batch", "x", "y")
     per = rows.groupBy("batch").agg(F.sum(F.size(F.filter("x", lambda v: v == 0))).alias("pad_tokens"), F.sum(F.size("x")).alias("total_tokens"))
     return per.select("batch", "pad_tokens", "total_tokens", (F.round(F.col("pad_tokens") / F.col("total_tokens"), 4) + 0.0).alias("pad_ratio"))
@@ -430,7 +430,11 @@ def b4_ordered_split(spark: SparkSession, sf: str) -> DataFrame:
     return windows.ordered_split(docs(spark, sf).select("doc_id"), "doc_id", 0.9).select("doc_id", "split")
 
 
-@query("SELECT 0 AS shared WHERE NOT EXISTS (SELECT 1 WHERE 1 = 0)")
+@query(
+    """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id)) - 1 AS i, count(*) OVER () AS n FROM documents),
+    s AS (SELECT doc_id, CASE WHEN i < floor(n * 0.8) THEN 'train' WHEN i < floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM r)
+    SELECT CAST((SELECT count(*) FROM (SELECT doc_id FROM s GROUP BY doc_id HAVING count(DISTINCT split) > 1)) + (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM s)) AS INTEGER) AS shared"""
+)
 def u4_splits_are_disjoint(spark: SparkSession, sf: str) -> DataFrame:
     """Number of documents in two splits or in none; must be 0."""
     split = b3_shuffled_split(spark, sf)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
-MODULES = ("corpus", "conversation", "retrieval", "tokenizer", "evaluation", "tensors", "io")
+MODULES = ("corpus", "conversation", "retrieval", "tokenizer", "evaluation", "tensors", "io", "relations")
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:

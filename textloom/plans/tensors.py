@@ -208,10 +208,11 @@ def a20_logit_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return long(spark, sf).groupBy("row").agg((F.round(F.avg(x), 6) + 0.0).alias("mean"), F.round(F.var_pop(x), 6).alias("variance"), F.round(F.sqrt(F.sum(x * x)), 6).alias("l2"), F.round(F.min(x), 6).alias("lowest"), F.round(F.max(x), 6).alias("highest"))
 
 
-@query("SELECT d.doc_id, d.pos, round(e.embedding[1]::DOUBLE * sqrt(64::DOUBLE), 5) + 0 AS x FROM (SELECT doc_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS pos, unnest(v) AS id FROM (SELECT doc_id, list_transform(list_filter(string_split(text, ''), lambda c: c <> '')[1:32], lambda c: unicode(c)) AS v FROM documents WHERE text IS NOT NULL)) d JOIN embeddings e ON e.vec_id = d.id")
+@query("SELECT d.doc_id, count(*) AS looked_up, round(sum(e.embedding[1]::DOUBLE * sqrt(64::DOUBLE)), 4) + 0 AS total FROM (SELECT doc_id, unnest(list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: unicode(c))) AS id FROM documents WHERE text IS NOT NULL) d JOIN embeddings e ON e.vec_id = d.id GROUP BY d.doc_id")
 def j12_embedding_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of the embedding table for the first ids of each text, scaled by the root of the width."""
-    codes = F.transform(F.slice(F.filter(F.split("text", ""), lambda c: c != ""), 1, 32), lambda c: F.ascii(c))
-    ids = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").select("doc_id", F.posexplode(codes).alias("pos", "id"))
-    table = vectors(spark, sf).select("vec_id", F.element_at("embedding", 1).cast("double").alias("x"))
-    return ids.join(table, ids.id == table.vec_id).select("doc_id", "pos", (F.round(F.col("x") * F.sqrt(F.lit(64.0)), 5) + 0.0).alias("x"))
+    """Rows of the embedding table for the ids of each text, scaled by the root of the width; ids are counted per text before the join."""
+    codes = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c))
+    ids = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").select("doc_id", F.explode(codes).alias("id")).groupBy("doc_id", "id").count()
+    table = vectors(spark, sf).select("vec_id", (F.element_at("embedding", 1).cast("double") * F.sqrt(F.lit(64.0))).alias("x"))
+    joined = ids.join(table, ids.id == table.vec_id).groupBy("doc_id")
+    return joined.agg(F.sum("count").alias("looked_up"), F.sum(F.col("x") * F.col("count")).alias("total")).withColumn("total", F.round("total", 4) + 0.0)

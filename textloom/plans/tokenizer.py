@@ -90,12 +90,12 @@ def t5_decode(spark: SparkSession, sf: str) -> DataFrame:
     return _ids(spark, sf).select("doc_id", K.decode(F.col("ids"), table).alias("text"))
 
 
-@query(f"WITH {IDS}, c AS (SELECT doc_id, v[1:256] AS v FROM ids), l AS (SELECT max(len(v)) AS l FROM c) SELECT doc_id, array_to_string(v || list_transform(range(l - len(v)), lambda i: 0), ',') AS ids FROM c, l")
+@query(f"WITH {IDS}, l AS (SELECT max(len(v)) AS l FROM ids) SELECT doc_id, l AS length, md5(array_to_string(v || list_transform(range(l - len(v)), lambda i: 0), ',')) AS ids FROM ids, l")
 def t6_encode_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Truncated and padded to the longest of the batch, which here is the table."""
-    cut = _ids(spark, sf).select("doc_id", F.slice("ids", 1, 256).alias("ids"))
-    longest = cut.agg(F.max(F.size("ids")).alias("l"))
-    return cut.crossJoin(F.broadcast(longest)).select("doc_id", _text(F.concat("ids", F.array_repeat(F.lit(K.PADDING), F.col("l") - F.size("ids")))).alias("ids"))
+    """Padded to the longest of the batch, which here is the table."""
+    rows = _ids(spark, sf)
+    longest = rows.agg(F.max(F.size("ids")).alias("l"))
+    return rows.crossJoin(F.broadcast(longest)).select("doc_id", F.col("l").cast("bigint").alias("length"), F.md5(_text(F.concat("ids", F.array_repeat(F.lit(K.PADDING), F.col("l") - F.size("ids"))))).alias("ids"))
 
 
 def _codes(c: str) -> str:

@@ -46,6 +46,14 @@ def discard(*tables: DataFrame) -> None:
                 target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete every table this application materialized; call it when its results have been written."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/textloom-{spark.sparkContext.applicationId}-*")
+    fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.globStatus(pattern) or []:
+        fs.delete(status.getPath(), True)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -53,6 +61,6 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     consumers read one computation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/textloom-{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
