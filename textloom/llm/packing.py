@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARD_ITEMS = 20_000  # documents packed together; more documents make more shards
+MAX_EXPERIMENTS = 1_000  # configurations are few; each packs every document
 
 
 def pack(sizes: np.ndarray, capacity: int, *, linear: float = 1.0, quadratic: float = 1.0) -> np.ndarray:
@@ -120,7 +121,11 @@ def pack_documents(docs: DataFrame, experiments: DataFrame, *, linear: float = 1
     own = docs.where("doc_id is not null").groupBy("doc_id").agg(F.coalesce(F.max("n_tokens"), F.lit(0)).cast("bigint").alias("n_tokens"))
     shards = max(1, -(-own.count() // shard_items))
     lengths = experiments.select("experiment_id", F.col("max_sequence_length").cast("bigint").alias("capacity")).where("experiment_id is not null and capacity > 0")
-    rows = own.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).join(lengths, F.lit(True))
+    wanted = lengths.limit(MAX_EXPERIMENTS + 1).collect()
+    if len(wanted) > MAX_EXPERIMENTS:
+        raise ValueError(f"over {MAX_EXPERIMENTS} experiments in one call")
+    each = F.array(*(F.struct(F.lit(r.experiment_id).alias("experiment_id"), F.lit(r.capacity).cast("bigint").alias("capacity")) for r in wanted)).cast("array<struct<experiment_id:string,capacity:bigint>>")
+    rows = own.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).select("*", F.inline(each))
     schema = f"experiment_id string, sequence_id string, doc_id {kind}, part bigint, tokens bigint, unused bigint"
     packed = rows.where("n_tokens > 0").groupBy("experiment_id", "shard").applyInPandas(_pack_shard(linear, quadratic), schema)
     none = rows.where("n_tokens = 0").select("experiment_id", F.lit(None).cast("string").alias("sequence_id"), "doc_id", F.lit(0).cast("bigint").alias("part"), F.lit(0).cast("bigint").alias("tokens"), F.lit(None).cast("bigint").alias("unused"))
