@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import strip
@@ -79,9 +79,23 @@ def tokenize_and_mask(messages: Column, system_prompt: Column, length: int) -> t
     return fill(x, PAD), fill(y, IGNORE)
 
 
+def last_turns(turns: DataFrame, n: int = 5, chars: int = 300) -> DataFrame:
+    """``(conv_id, memory)``: the last ``n`` turns of each conversation as lines, contents cut to ``chars`` characters.
+
+    The rank filter is applied before the shuffle as well, so each task passes on
+    at most ``n`` turns of a conversation however long it is.
+    """
+    rows = turns.select("conv_id", "turn", normalized_role(F.col("role")).alias("role"), F.substring(strip(F.col("content")), 1, chars).alias("content")).where("conv_id is not null and role is not null and content <> ''")
+    ranked = rows.dropDuplicates(["conv_id", "turn"]).withColumn("_rn", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where(F.col("_rn") <= n)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))), lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return ranked.groupBy("conv_id").agg(F.array_join(lines, "\n").alias("memory"))
+
+
 def conversation_statistics(turns: DataFrame, length: int = 1024) -> DataFrame:
     """One row: conversations, turns, average turns and characters per conversation, and the padded token total."""
-    role, n = normalized_role(F.col("role")), F.coalesce(F.length("content"), F.lit(0))
-    per = turns.agg(F.countDistinct("conv_id").alias("c"), F.count("*").alias("t"), F.sum(F.when(role == "user", n).otherwise(0)).alias("u"), F.sum(F.when(role == "assistant", n).otherwise(0)).alias("a"))
+    n = F.coalesce(F.length("content"), F.lit(0))
+    once = turns.select("conv_id", "turn", normalized_role(F.col("role")).alias("role"), n.alias("n")).dropDuplicates(["conv_id", "turn"])  # lengths, not texts, are shuffled
+    of = lambda who: F.sum(F.when(F.col("role") == who, F.col("n")).otherwise(0))
+    per = once.agg(F.countDistinct("conv_id").alias("c"), F.count("*").alias("t"), of("user").alias("u"), of("assistant").alias("a"))
     avg = lambda c: F.round(F.coalesce(F.col(c), F.lit(0)) / F.greatest("c", F.lit(1)), 2)
     return per.select(F.col("c").alias("total_conversations"), F.col("t").alias("total_turns"), avg("t").alias("avg_turns_per_conv"), avg("u").alias("avg_user_length"), avg("a").alias("avg_assistant_length"), (F.col("c") * length).alias("total_tokens"))

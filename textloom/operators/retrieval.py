@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from textloom.functions.text import count_substring
 
 DIMENSIONS = 128
+# fixed values: the layout of a context and of the question that carries it
+HEADER = "=== RETRIEVED KNOWLEDGE CONTEXT ==="
+FOOTER = "=== END KNOWLEDGE CONTEXT ===\n"
+ENTRY_HEAD = ("\n--- [Doc ", ": ", "] (Source: ", ") ---")
+ASKING = "\nQuestion: {query}\n\nInstructions: Answer the question using the retrieved knowledge context above. Cite sources using [Doc N] format."
+
 MAX_QUERIES = 100_000  # a query set is broadcast to the scan in blocks of this many values
 
 
@@ -132,30 +138,28 @@ def rerank(hits: DataFrame, chunks: DataFrame, query: str, k: int) -> DataFrame:
     return boosted.orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
-HEADER = "=== RETRIEVED KNOWLEDGE CONTEXT ==="
-
-
 def with_context_entries(results: DataFrame, budget: int = 1500) -> DataFrame:
     """Ranked results ``(rank, chunk_id, doc_id, source_file, content)`` to the entries of a context within a budget of characters.
 
     An entry that does not fit is cut to what is left, less 10, if that is over
     50 characters, and ends the context.  Windows run over one result list.
     """
-    head = F.concat(F.lit("\n--- [Doc "), F.col("rank").cast("string"), F.lit(": "), "title", F.lit("] (Source: "), "source_file", F.lit(") ---"))
+    a, b, c, d = map(F.lit, ENTRY_HEAD)
+    head = F.concat(a, F.col("rank").cast("string"), b, "title", c, "source_file", d)
     rows = results.withColumn("head", head).withColumn("entry", F.concat("head", F.lit("\n"), "content", F.lit("\n")))
     order = Window.orderBy("rank")
     before = F.lit(len(HEADER)) + F.coalesce(F.sum(F.length("entry")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("before", before).withColumn("over", F.col("before") + F.length("entry") > budget)
     rows = rows.withColumn("stops", F.sum(F.col("over").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     left = F.lit(budget) - F.col("before") - F.length("head") - 10
-    cut = F.concat("head", F.lit("\n"), F.expr("substring(content, 1, 0)"), F.col("content").substr(F.lit(1), left.cast("int")), F.lit("...\n"))
+    cut = F.concat("head", F.lit("\n"), F.col("content").substr(F.lit(1), left.cast("int")), F.lit("...\n"))
     rows = rows.withColumn("entry", F.when(F.col("over"), cut).otherwise(F.col("entry")))
     return rows.where((F.col("stops") == 0) | ((F.col("stops") == 1) & F.col("over") & (left > 50))).select("rank", "chunk_id", "entry")
 
 
 def augmented_prompt(entries: DataFrame, query: str) -> DataFrame:
     """One row: the question with its context and the ids cited."""
-    block = F.array_join(F.concat(F.array(F.lit(HEADER)), F.transform(F.array_sort(F.collect_list(F.struct("rank", "entry"))), lambda e: e["entry"]), F.array(F.lit("=== END KNOWLEDGE CONTEXT ===\n"))), "\n")
-    asked = F.concat(block, F.lit(f"\nQuestion: {query}\n\nInstructions: Answer the question using the retrieved knowledge context above. Cite sources using [Doc N] format."))
+    block = F.array_join(F.concat(F.array(F.lit(HEADER)), F.transform(F.array_sort(F.collect_list(F.struct("rank", "entry"))), lambda e: e["entry"]), F.array(F.lit(FOOTER))), "\n")
+    asked = F.concat(block, F.lit(ASKING.format(query=query)))
     cited = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda e: e["chunk_id"]), ",")
     return entries.agg(F.when(F.count("*") > 0, asked).otherwise(F.lit(query)).alias("prompt"), cited.alias("cited"))

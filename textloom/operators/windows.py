@@ -65,6 +65,20 @@ def running_offset(df: DataFrame, order: str, size: str, name: str = "offset") -
     return parts.join(before, "_part").withColumn(name, (F.col("_before") + inside).cast("bigint")).drop("_part", "_before")
 
 
+def joined_offsets(files: DataFrame, group: str, order: str, text: str, separator: str = "\n\n") -> DataFrame:
+    """``(group, order, start, n_chars)``: where each file stands in the concatenation of its group's files with a separator.
+
+    The concatenation itself is never built, so a group that holds a third of
+    the table is spread like any other; ``sources.readers.join_files`` builds it
+    for folders that fit one value.
+    """
+    rows = files.where(F.col(text).isNotNull()).select(F.struct(group, order).alias("_at"), F.length(text).alias("n_chars"), (F.length(text) + len(separator)).alias("_n"))
+    placed = running_offset(rows, "_at", "_n", "_start")
+    first = placed.groupBy(F.col(f"_at.{group}").alias("_g")).agg(F.min("_start").alias("_first"))
+    out = placed.join(first, F.col(f"_at.{group}").eqNullSafe(F.col("_g")))
+    return out.select(F.col(f"_at.{group}").alias(group), F.col(f"_at.{order}").alias(order), (F.col("_start") - F.col("_first")).alias("start"), F.col("n_chars"))
+
+
 def packed_windows(df: DataFrame, order: str, ids: str, *, length: int, overlap: int, eos: int | None = None, count_exact: bool = False) -> DataFrame:
     """``(window, ids)`` over the concatenation of all rows' ids in ``order``.
 

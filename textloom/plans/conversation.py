@@ -100,7 +100,7 @@ def i6_tokenize_and_mask(spark: SparkSession, sf: str) -> DataFrame:
     count(DISTINCT conv_id) * 1024 AS total_tokens FROM t"""
 )
 def i8_conversation_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return C.conversation_statistics(_once(spark, sf))
+    return C.conversation_statistics(chat(spark, sf))
 
 
 @query(
@@ -133,10 +133,7 @@ def w12_last_turns(spark: SparkSession, sf: str) -> DataFrame:
 )
 def w12_working_memory(spark: SparkSession, sf: str) -> DataFrame:
     """The last five turns as a prompt, contents cut to 300 characters."""
-    rows = chat(spark, sf).select("conv_id", "turn", C.normalized_role(F.col("role")).alias("role"), F.substring(C.strip(F.col("content")), 1, 300).alias("content")).where("role is not null and content <> ''").dropDuplicates(["conv_id", "turn"])
-    last = F.slice(F.sort_array(F.collect_list(F.struct("turn", "role", "content")), asc=False), 1, 5)
-    text = F.array_join(F.transform(F.array_sort("m"), lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
-    return rows.groupBy("conv_id").agg(last.alias("m")).select("conv_id", text.alias("memory"))
+    return C.last_turns(chat(spark, sf))
 
 
 @query(

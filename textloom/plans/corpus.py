@@ -178,10 +178,10 @@ def s2_character_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return windows.character_chunks(docs(spark, sf), "doc_id", "text", 1000).select(F.col("key").alias("doc_id"), "chunk", "content")
 
 
-@query("SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS digest, count(*) AS files FROM documents WHERE text IS NOT NULL GROUP BY source")
+@query("SELECT source, doc_id, CAST(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id) - length(text) - 2 AS BIGINT) AS start, CAST(length(text) AS INTEGER) AS n_chars FROM documents WHERE text IS NOT NULL")
 def s3_joined_files(spark: SparkSession, sf: str) -> DataFrame:
-    parts = docs(spark, sf).where("text is not null").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("p"))
-    return parts.select("source", F.md5(F.array_join(F.transform("p", lambda s: s["text"]), "\n\n")).alias("digest"), F.size("p").cast("bigint").alias("files"))
+    """The files of each folder joined in order, as the place of each in the whole."""
+    return windows.joined_offsets(docs(spark, sf), "source", "doc_id", "text")
 
 
 @query(
