@@ -12,7 +12,7 @@ FUNCTION_WORDS = {
     "en": "the of and to in is it that for on with as are was were be been by this not but from or an at which when what how does do can will would should than then into only until every its their there has have had if you your we our i my me they he she who why where more most any some no such both each other after before because while about so just also over under between may might must could us",
     "de": "der die das und zu ist nicht mit von den dem des ein eine einen einem einer eines auf für im in sich auch es an als nach bei aus werden wird wurde sind war haben hat kann können wie was warum wenn dass man wir ich du ihr sie er nur noch sollte muss müssen über unter zwischen durch ohne alle vor dann sobald gleichzeitig doch dabei erst mehr immer zuerst mir mich bitte keine kein welche dafür diese dieser hier danach einmal",
     "es": "el la los las de del y en que es un una por con para no se su sus al lo como más pero si cuando porque también hay son está están fue ser sin sobre entre antes después luego todos cada muchas muchos necesita veces mismo ambos donde qué cómo cuál quién dos esto eso ninguno primero siempre mis mi me una tiene desde hasta otra",
-    "fr": "le la les de des du et en est que qui un une pour avec ne pas se sur dans au aux ce cela ces cette il elle on nous vous je tu mes mon ma son sa ses plus mais si quand parce aussi sont être sans entre avant après puis tous toutes chaque deux fois jamais toujours comment pourquoi quelle quel où depuis dès souvent peut faut encore par sera leurs leur chacun",
+    "fr": "le la les de des du et en est que qui un une pour avec ne pas se sur dans au aux ce cela ces cette il elle on nous vous je tu mes mon ma son sa ses plus mais si quand parce aussi sont être sans entre avant après puis tous toutes chaque deux fois jamais toujours comment pourquoi quelle quel où depuis dès souvent peut faut encore par sera leurs leur chacun ceci cet voici voilà donc alors",
 }
 # fixed values: stems of language names as people write them in questions
 LANGUAGE_NAMES = {

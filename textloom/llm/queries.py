@@ -130,11 +130,45 @@ def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p2_mixture, p2_shares, p3_found, p3_pieces, p4_token_budget, p5_found, p6_found, p6_by_split, p7_sequences, p8_found, p8_by_task, p9_found, p9_shared)}
 
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+
+def _shingles(source: str, min_words: int) -> str:
+    """CTEs w, s and n: words, distinct three-word shingles and their number for ``source(c, id, x)``."""
+    return f"""t AS ({source}), w AS (SELECT c, id, {_WORDS.format('x')} AS w FROM t),
+        s AS (SELECT DISTINCT c, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= {min_words}),
+        n AS (SELECT c, id, count(*) AS n FROM s GROUP BY c, id)"""
+
+
+_ITEMS = f"""f AS (SELECT task_id, prompt AS x FROM benchmark_problems UNION ALL SELECT task_id, canonical_solution FROM benchmark_problems UNION ALL SELECT task_id, unnest(test_cases) FROM benchmark_problems),
+        fw AS (SELECT task_id, {_WORDS.format('x')} AS w FROM f WHERE x IS NOT NULL),
+        iw AS (SELECT DISTINCT task_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT task_id, w, unnest(range(1, len(w) - 10)) AS i FROM fw)),
+        dw AS (SELECT doc_id, i, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL)))"""
+_SPLIT = "lower(trim(split_name))"
+
+#: the same results from their definition, by plain joins; DuckDB runs them on the small tables
 ORACLES: dict[str, str] = {
+    "p1_found": f"""
+        WITH RECURSIVE {_shingles("SELECT 'k' AS c, doc_id AS id, any_value(content) AS x FROM knowledge_documents GROUP BY doc_id UNION ALL SELECT 'i', record_id, any_value(output) FROM instruction_records GROUP BY record_id", 30)},
+        o AS (SELECT a.c, a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.c = b.c AND a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3),
+        e AS (SELECT o.c, a, b FROM o JOIN n x ON x.c = o.c AND x.id = a JOIN n y ON y.c = o.c AND y.id = b WHERE 2 * k >= x.n + y.n - k),
+        l AS (SELECT c, a, b FROM e UNION ALL SELECT c, b, a FROM e),
+        r AS (SELECT c, a, b FROM l UNION SELECT r.c, r.a, l.b FROM r JOIN l ON l.c = r.c AND l.a = r.b)
+        SELECT a AS record_a, b AS record_b FROM r WHERE a < b""",
     "p3_found": """
         SELECT DISTINCT k.doc_id
         FROM knowledge_documents k
         LEFT JOIN chunk_settings s ON lower(trim(s.doc_type)) = lower(trim(k.doc_type))
         CROSS JOIN (SELECT chunk_size FROM chunk_settings WHERE doc_type = 'txt') t
         WHERE length(k.content) > coalesce(s.chunk_size, t.chunk_size)""",
+    "p6_found": f"""
+        WITH m AS (SELECT DISTINCT sample_id, content, CASE WHEN {_SPLIT} = lower(train_split) THEN 't' WHEN {_SPLIT} IN (lower(val_split), lower(test_split)) THEN 'e' END AS c FROM split_samples JOIN dataset_configs USING (dataset_name)),
+        {_shingles("SELECT c, sample_id AS id, content AS x FROM m WHERE c IS NOT NULL AND content IS NOT NULL", 20)},
+        o AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.c = 't' AND b.c = 'e' GROUP BY 1, 2)
+        SELECT DISTINCT least(a, b) AS sample_a, greatest(a, b) AS sample_b FROM o JOIN n x ON x.c = 't' AND x.id = a JOIN n y ON y.c = 'e' AND y.id = b WHERE a <> b AND k >= 0.6 * (x.n + y.n - k)""",
+    "p8_found": f"WITH {_ITEMS} SELECT DISTINCT doc_id, task_id FROM dw JOIN iw USING (g)",
+    "p8_by_task": f"WITH {_ITEMS} SELECT task_id, count(DISTINCT doc_id) AS documents, CAST(count(DISTINCT (doc_id, i)) AS BIGINT) AS windows FROM dw JOIN iw USING (g) GROUP BY task_id",
+    "p9_found": """
+        WITH w AS (SELECT doc_id, hash(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))
+        SELECT DISTINCT doc_id FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1) USING (h)""",
 }

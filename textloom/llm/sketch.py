@@ -60,6 +60,18 @@ def shingle_arrays(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").mapInArrow(run, f"key {kind}, shingles array<bigint>")
 
 
+def one_body_each(rows: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """``(tid, text)`` of the texts in ``wanted(tid)``, each from the smallest id that has it.
+
+    ``rows`` has ``id, tid`` and the text.  Texts are joined by the record's id,
+    never by ``tid``, so a text copied to a third of the table is no hot key and
+    its copies are not gathered.
+    """
+    first = rows.select("id", "tid").groupBy("tid").agg(F.min("id").alias("id")).join(wanted, "tid", "left_semi")
+    found = rows.select("id", F.col("tid").alias("own"), text).join(first, "id").where("own = tid")
+    return found.select("tid", F.col(text).alias("text")).dropDuplicates(["tid"])
+
+
 def jaccard(a: Column, b: Column) -> Column:
     shared = F.size(F.array_intersect(a, b))
     return shared / (F.size(a) + F.size(b) - shared)
