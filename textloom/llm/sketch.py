@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from textloom.llm.textcore import U, Words, mix, signed, slices
 
 BINS = 256
+SKETCH = ("w0", "w1", "w2", "w3")  # the words of a record's sketch
+DEVIATIONS = 4  # a candidate's sketches may differ in so many deviations more bits than expected at the threshold
 
 
 def text_key(text: Column, tag: str = "") -> Column:
@@ -60,6 +62,25 @@ def shingle_arrays(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").mapInArrow(run, f"key {kind}, shingles array<bigint>")
 
 
+def bits_off(total: np.ndarray, threshold: float) -> np.ndarray:
+    """Bits in which the sketches of two texts may differ, given their shingles together.
+
+    At the threshold (1 - t) / (1 + t) of all shingles are unshared, and each flips
+    its bin's bit with half a chance; full bins differ in (1 - t) / 2 of the bits.
+    """
+    few = total * ((1 - threshold) / (1 + threshold) / 2)
+    full = BINS * (1 - threshold) / 2
+    return np.minimum(few + DEVIATIONS * np.sqrt(few / 2) + 1, full + DEVIATIONS * np.sqrt(full * (1 + threshold) / 2))
+
+
+def near(a: str, b: str, threshold: float):
+    """The same bound on the sketches as ``bits_off``, JVM-side."""
+    off = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in SKETCH), F.lit(0))
+    few = (F.col(f"{a}.n") + F.col(f"{b}.n")) * ((1 - threshold) / (1 + threshold) / 2)
+    full = BINS * (1 - threshold) / 2
+    return off <= F.least(few + DEVIATIONS * F.sqrt(few / 2) + 1, F.lit(full + DEVIATIONS * (full * (1 + threshold) / 2) ** 0.5))
+
+
 def one_body_each(rows: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """``(tid, text)`` of the texts in ``wanted(tid)``, each from the smallest id that has it.
 
