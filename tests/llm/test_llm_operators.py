@@ -17,6 +17,7 @@ from textloom.llm.pair_defects import broken_pairs
 from textloom.llm.shared_spans import shared_spans
 from textloom.llm import shared_spans as spans_module
 from textloom.llm.split_overlap import split_overlaps
+from textloom.llm import split_overlap as overlap_module
 from textloom.llm.token_budget import document_budget, chat_budget, knowledge_budget
 from textloom.llm.tokens import TokenizerSpec, tokenizer_from_tables, with_token_counts
 
@@ -155,6 +156,18 @@ def test_shared_spans_equal_brute_force(spark, monkeypatch, hot):
     assert got[1][0] == [(200, 540)]
 
 
+def test_a_third_of_all_rows_is_one_text(spark):
+    """Hot copies: one class, one span, and no more work than their number."""
+    rng = random.Random(12)
+    hot = " ".join(words(rng, 120))
+    rows = [(i, hot if i % 3 == 0 else " ".join(words(rng, 120))) for i in range(600)] + [(1000, " ".join(edit(rng, hot.split(), 0.03)))]
+    df = spark.createDataFrame(rows, "id int, t string")
+    groups = near_duplicate_groups(df, "id", "t", threshold=0.5, min_words=30, shingle_words=3)
+    sizes = sorted(r["count"] for r in groups.groupBy("group_id").count().collect())
+    assert sizes[-1] == 201 and set(sizes[:-1]) == {1}
+    assert shared_spans(df, "id", "t").count() in (200, 201)
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(8)
     fields = {"a": words(rng, 20), "b": words(rng, 11), "c": words(rng, 40), "d": words(rng, 14)}
@@ -168,7 +181,10 @@ def test_leaks_equal_brute_force(spark):
     assert {(1, "a"), (3, "a"), (7, "d")} <= {(r.id, r.task_id) for r in near.collect()}
 
 
-def test_split_overlaps_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [20_000, 0])
+def test_split_overlaps_equal_brute_force(spark, monkeypatch, hot):
+    """With a limit of 0 every seed is hot, and every record consists of such seeds."""
+    monkeypatch.setattr(overlap_module, "HOT_PAIRS", hot)
     rng = random.Random(9)
     rows, texts = [], {}
     for i in range(40):
