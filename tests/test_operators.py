@@ -112,6 +112,15 @@ def test_conversation_errors(spark):
     assert got == {"a": ["no assistant turn"], "b": ["turn 1: empty"], "c": [], "d": ["turn 0: role", "turn 0: empty", "no assistant turn"]}
 
 
+def test_last_turns_and_joined_files(spark):
+    turns = spark.createDataFrame([("a", i, "User" if i % 2 else "gpt", f"m{i}") for i in range(9)] + [("a", 8, "gpt", "m8"), ("b", 0, "alien", "x"), (None, 1, "user", "y")], "conv_id string, turn int, role string, content string")
+    rows = conversation.last_turns(turns, n=2).collect()
+    assert [(r.conv_id, r.memory) for r in rows] == [("a", "user: m7\nassistant: m8")]
+    files = spark.createDataFrame([("x", 2, "bb"), ("x", 1, "a"), ("y", 1, "c"), (None, 1, "d"), ("x", 3, None)], "folder string, name int, text string")
+    got = {(r.folder, r.name): r.start for r in windows.joined_offsets(files, "folder", "name", "text").collect()}
+    assert got == {("x", 1): 0, ("x", 2): 3, ("y", 1): 0, (None, 1): 0}
+
+
 def test_retrieval(spark):
     chunks = spark.createDataFrame([("c1", "Min-Heap priority queue push pop"), ("c2", "Dijkstra shortest path algorithm"), ("c3", None), ("c4", "")], "chunk_id string, content string")
     vectors = retrieval.embed_texts(chunks, "chunk_id", "content")
