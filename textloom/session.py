@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +24,32 @@ def get_session(master: str | None = None, app: str = "textloom", **conf: str) -
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once, unless they find it by themselves.
+
+    They do where PYTHONPATH names the package's folder, and in local mode where it is the working directory.
+    """
+    sc = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    here = sc.master.startswith("local[") or sc.master == "local"
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in known or (here and os.getcwd() == root) or getattr(sc, "_textloom_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="textloom-"), "textloom.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._textloom_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
