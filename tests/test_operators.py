@@ -213,3 +213,18 @@ def test_stream_equals_batch(spark, tmp_path):
     got = packing.run_to_memory(packing.packed_stream(stream, "key", "k", "ids", length=10), "stream_equals_batch").orderBy("window").collect()
     want = windows.packed_windows(rows, "k", "ids", length=10, overlap=1).orderBy("window").collect()
     assert [r.x + r.y[-1:] for r in got] == [r.ids for r in want] and len(got) == 6
+
+
+def test_segments_do_not_change_encodings(spark):
+    import random
+
+    rng = random.Random(3)
+    pairs = [("a", "b"), ("ab", " "), (" ", "c"), ("b", "ab"), ("é", "a"), ("aa", "a"), ("a", "a")]
+    ranks = {p: i for i, p in enumerate(pairs)}
+    vocab = {t: i for i, t in enumerate(sorted({*"abc é", *(a + b for a, b in pairs)}))}
+    encoder = tokenizer.MergeEncoder(vocab, ranks)
+    for _ in range(300):
+        text = "".join(rng.choice("aab  cé𝓐z") for _ in range(rng.randrange(60)))
+        assert encoder.encode(text) == [vocab.get(t, tokenizer.UNKNOWN) for t in tokenizer.merge_pairs(text, ranks)]
+    df = spark.createDataFrame([(1, "aé𝓐"), (2, None), (3, "")], "k int, t string")
+    assert {r.k: r.ids for r in tokenizer.code_points(df, "k", "t").collect()} == {1: [97, 233, 0x1D4D0], 2: None, 3: []}

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.stats import adjacent_pairs, best_pair
-from textloom.session import discard, materialize
+from textloom.session import discard, materialize, spread
 
 PADDING, UNKNOWN, BEGIN, END = 0, 1, 2, 3
 MAX_TABLE = 2_000_000  # rows of a vocabulary or merge table that every worker loads
@@ -60,16 +61,73 @@ def load_vocabulary(vocab: DataFrame) -> dict[str, int]:
     return {r.token: r.token_id for r in rows}
 
 
+class MergeEncoder:
+    """Byte-pair encoding with a cache of segments.
+
+    A merge joins the end of one token to the beginning of another, so between
+    two characters that no merged pair brings together nothing is ever joined:
+    a text falls into segments there that are encoded one by one and recur often.
+    """
+
+    LIMIT = 400_000
+
+    def __init__(self, vocab: dict[str, int], ranks: dict[tuple[str, str], int], unknown: int = UNKNOWN):
+        self.vocab, self.ranks, self.unknown = vocab, ranks, unknown
+        self.meeting = np.unique(np.array([(ord(a[-1]) << 21) | ord(b[0]) for a, b in ranks if a and b], np.int64))
+        self.known: dict[str, list[int]] = {}
+
+    def segment(self, part: str) -> list[int]:
+        got = self.known.get(part)
+        if got is None:
+            got = [self.vocab.get(t, self.unknown) for t in merge_pairs(part, self.ranks)]
+            if len(self.known) >= self.LIMIT:
+                self.known.clear()
+            if len(part) <= 64:
+                self.known[part] = got
+        return got
+
+    def encode(self, text: str) -> list[int]:
+        if not text:
+            return []
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pair = (code[:-1] << 21) | code[1:]
+        at = np.searchsorted(self.meeting, pair)
+        joined = np.zeros(len(pair), bool)
+        inside = at < len(self.meeting)
+        joined[inside] = self.meeting[at[inside]] == pair[inside]
+        cuts = [0, *(np.nonzero(~joined)[0] + 1).tolist(), len(text)]
+        out: list[int] = []
+        for a, b in zip(cuts, cuts[1:]):
+            out += self.segment(text[a:b])
+        return out
+
+
 def encode_merged(df: DataFrame, key: str, text: str, vocab: dict[str, int], ranks: dict[tuple[str, str], int], *, unknown: int = UNKNOWN) -> DataFrame:
     """``(key, ids array<int>)`` of whole texts (white space merges like any character); null texts have null ids."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = MergeEncoder(vocab, ranks, unknown)
         for batch in batches:
-            ids = [None if t is None else [vocab.get(x, unknown) for x in merge_pairs(t, ranks)] for t in batch.column(1).to_pylist()]
+            ids = [None if t is None else encoder.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+
+
+def code_points(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, ids array<int>)`` with the code points of each text, decoded batch by batch; null texts have null ids."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            code = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.int32)
+            offsets = np.concatenate([[0], np.cumsum([len(t or "") for t in texts])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append([t is None for t in texts], False)), pa.array(code))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "ids"])
+
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def train_merges(df: DataFrame, text: str, merges: int) -> list[tuple[str, str, int]]:
@@ -157,4 +215,4 @@ def code_pair(problem: Column, solution: Column, *, begin: int, end: int, proble
     return F.slice(F.concat(one(begin), one(problem_mark), problem, one(solution_mark), solution, one(end)), 1, max_length)
 
 
-__all__ = ["adjacent_pairs", "best_pair", "code_pair", "decode", "encode_characters", "encode_merged", "frame", "load_merges", "load_vocabulary", "merge_pairs", "train_merges"]
+__all__ = ["MergeEncoder", "adjacent_pairs", "best_pair", "code_pair", "code_points", "decode", "encode_characters", "encode_merged", "frame", "load_merges", "load_vocabulary", "merge_pairs", "train_merges"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.arrays import fit, keep_last
 from textloom.operators import stats, validate, windows
+from textloom.operators.tokenizer import code_points
 from textloom.plans.registry import query
 
 SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
@@ -24,7 +25,7 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def ids(df: DataFrame) -> DataFrame:
     """Documents with their code points as token ids."""
-    return df.select("doc_id", F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c)).alias("ids")).where("ids is not null")
+    return code_points(df.where("text is not null"), "doc_id", "text")
 
 
 # --- cleaning -------------------------------------------------------------

@@ -62,6 +62,19 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + local
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, redistributed only if it has fewer partitions than there are cores.
+
+    A table in one small file would otherwise keep a costly Python stage on one
+    core; a large table has more splits than cores and is left as it is.  So is
+    a plan with exchanges, whose partitions are not known before it runs.
+    """
+    if df._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that no later plan reads."""
     for df in tables:
