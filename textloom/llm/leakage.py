@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.textcore import U, Words, mix, signed, slices
+from textloom.session import spread
 
 ITEM_BLOCK = 4_000  # items per pass: bounds the broadcast index; more items take more passes
 
@@ -157,7 +158,7 @@ def leaked_items(corpus: DataFrame, id_col: str, text_col: str, items: DataFrame
     fields = items.select(F.col(task_col).cast("string").alias("task"), F.explode(F.concat(*(F.coalesce(p, F.array().cast("array<string>")) for p in parts))).alias("text"))
     fields = fields.where("task is not null and text is not null")
     kind = corpus.schema[id_col].dataType.simpleString()
-    docs = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    docs = spread(corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null"))
     blocks = -(-fields.select("task").distinct().count() // ITEM_BLOCK)
     found = None
     for b in range(max(1, blocks)):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.sketch import text_key
 from textloom.llm.textcore import U, Chars, signed, slices, window_minima
-from textloom.session import materialize
+from textloom.session import materialize, spread
 
 SEED = 100
 HOT = 1_000  # windows around a seed in more texts are counted by map-side combined aggregation
@@ -107,7 +107,7 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, *, length: int = 300
     docs = docs.withColumn("tid", text_key(F.col("text")))
     members = docs.select("id", "tid", F.length("text").alias("n_chars")).distinct()
     classes = materialize(members.groupBy("tid").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    seeds = materialize(docs.select("tid", "text").mapInArrow(_seeds(length), "seed bigint, tid bigint, at int"), "seeds")
+    seeds = materialize(spread(docs.select("tid", "text")).mapInArrow(_seeds(length), "seed bigint, tid bigint, at int"), "seeds")
     repeated = seeds.groupBy("seed").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi"), (F.count("*") > HOT).alias("hot")).where("lo < hi")
     places = seeds.join(repeated.select("seed", "hot"), "seed").groupBy("tid").agg(F.collect_set(F.struct("at", "hot")).alias("places"))
     near = classes.join(places, "tid").select(F.col("rep").alias("id"), F.col("tid").alias("rep_tid"), "places")

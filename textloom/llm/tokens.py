@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.language import detect
+from textloom.session import spread
 
 _PIECE = re.compile(r" ?[^\W\d_]+")
 _CACHE_LIMIT = 400_000
@@ -156,4 +157,4 @@ def with_token_counts(df: DataFrame, text_col: str, tokenizer: TokenizerSpec, *,
                 got.append(pa.array([detect(t) for t in texts], pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *got], names=[*rest, *names, *[language] * bool(language)])
 
-    return df.select(*(F.col(f"`{c}`") for c in rest), F.col(text_col)).mapInArrow(run, schema)
+    return spread(df.select(*(F.col(f"`{c}`") for c in rest), F.col(text_col))).mapInArrow(run, schema)
