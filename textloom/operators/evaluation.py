@@ -60,3 +60,14 @@ def ready_tasks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     done = nodes.where("status = 'completed'").select("plan", F.col("task").alias("needs"))
     unmet = edges.join(done, ["plan", "needs"], "left_anti").select("plan", "task")
     return nodes.where("status = 'pending'").join(unmet, ["plan", "task"], "left_anti")
+
+
+def parameter_groups(catalog: DataFrame) -> DataFrame:
+    """``(component, parameters, decayed)`` of a catalog ``(name, ndim, numel)``.
+
+    Vectors, biases and norms take no weight decay.
+    """
+    has = lambda part: F.contains("name", F.lit(part))
+    component = F.when(has("embeddings"), "embedding").when(has("attention"), "attention").when(has("ffn"), "ffn").when(has("ln_"), "norm").otherwise("head")
+    plain = (F.col("ndim") < 2) | has("bias") | has("ln_") | has("norm")
+    return catalog.groupBy(component.alias("component")).agg(F.sum("numel").alias("parameters"), F.coalesce(F.sum(F.when(~plain, F.col("numel"))), F.lit(0)).alias("decayed"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import retrieval, stats, windows
+from textloom.operators import evaluation, retrieval, stats, windows
 from textloom.plans.corpus import CHARS, CLEAN, WORDS, docs, ids
 from textloom.plans.registry import query
-from textloom.plans.retrieval import _TERMS, CHUNKS, FUSED, QUERY, SPARSE, chunks
+from textloom.plans.retrieval import _TERMS, CHUNKS, FUSED, QUERY, RERANKED, SPARSE, chunks
 from textloom.session import shared_dir
 
 
@@ -182,3 +182,68 @@ def f8_word_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).where(F.size(w) > 0).select("doc_id", F.aggregate(w, F.lit(0).cast("bigint"), lambda s, x: s + F.length(x)).alias("word_chars"), F.upper(F.substring("text", 1, 20)).alias("head"))
 
 
+
+
+@query(f"WITH {RERANKED} SELECT chunk_id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5")
+def k4_rerank_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    cut = chunks(spark, sf)
+    hits = retrieval.fuse(retrieval.dense_hits(retrieval.embed_texts(cut, "chunk_id", "content"), QUERY, 20), retrieval.sparse_hits(cut, QUERY, 20), 10)
+    top = retrieval.rerank(hits, cut, QUERY, 5).select("chunk_id", "score")
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
+
+
+@query("SELECT doc_id, lower(text) AS low, lower(domain) AS domain FROM documents")
+def f4_lower(spark: SparkSession, sf: str) -> DataFrame:
+    return docs(spark, sf).select("doc_id", F.lower("text").alias("low"), F.lower("domain").alias("domain"))
+
+
+@query(r"SELECT record_id, regexp_extract(output, '(?s)```(\w*)\n(.*?)\n```', 1) AS language, length(regexp_extract(output, '(?s)```(\w*)\n(.*?)\n```', 2)) AS code_chars FROM (SELECT DISTINCT record_id, output FROM instruction_records WHERE output IS NOT NULL)")
+def f7_regex_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """The first fenced block over line breaks: its language and the size of its code."""
+    rows = spark.read.parquet(f"{sf}/instruction_records.parquet").where("output is not null").select("record_id", "output").distinct()
+    block = r"(?s)```(\w*)\n(.*?)\n```"
+    return rows.select("record_id", F.regexp_extract("output", block, 1).alias("language"), F.length(F.regexp_extract("output", block, 2)).cast("bigint").alias("code_chars"))
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, count(*) AS n FROM chunks GROUP BY chunk_id")
+def h2_chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks(spark, sf).groupBy("chunk_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CAST(('0x' || substr(md5(text), 25, 8))::BIGINT % 1000 AS BIGINT) AS low_digits, CAST(('0x' || substr(md5(text), 1, 8))::BIGINT % 1000 AS BIGINT) AS high_digits FROM documents WHERE text IS NOT NULL")
+def h3_digest_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of an MD5 digest as numbers."""
+    part = lambda a: F.conv(F.substring(F.md5("text"), a, 8), 16, 10).cast("bigint") % 1000
+    return docs(spark, sf).where("text is not null").select("doc_id", part(25).alias("low_digits"), part(1).alias("high_digits"))
+
+
+@query("SELECT event_id, round(value / 7, 4) + 0 AS rounded, floor(value) AS floored, ceil(value) AS raised FROM events")
+def m1_round(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("value")
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", (F.round(v / 7, 4) + 0.0).alias("rounded"), F.floor(v).cast("double").alias("floored"), F.ceil(v).cast("double").alias("raised"))
+
+
+@query(f"WITH {RERANKED} SELECT '[Doc ' || rank || ': ' || regexp_extract(source_file, '([^/]*)$', 1) || ']' AS citation, source_file, chunk_id FROM ranked WHERE rank <= 5")
+def r7_citations(spark: SparkSession, sf: str) -> DataFrame:
+    ranked = k4_rerank_top_k(spark, sf).drop("score")
+    found = chunks(spark, sf).join(F.broadcast(ranked), "chunk_id")
+    return found.select(F.concat(F.lit("[Doc "), F.col("rank").cast("string"), F.lit(": "), T.path_name(F.col("source_file")), F.lit("]")).alias("citation"), "source_file", "chunk_id")
+
+
+_CATALOG = [("tok_embeddings.weight", 2, 6400), ("pos_embeddings.weight", 2, 1280), ("blocks.0.ln_1.weight", 1, 64), ("blocks.0.ln_1.bias", 1, 64), ("blocks.0.attention.q.weight", 2, 4096), ("blocks.0.attention.q.bias", 1, 64), ("blocks.0.ffn.w1.weight", 2, 16384), ("lm_head.weight", 2, 6400)]
+
+
+@query(
+    f"""WITH p AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {d}, {k})" for n, d, k in _CATALOG)}) t(name, ndim, numel))
+    SELECT CASE WHEN contains(name, 'embeddings') THEN 'embedding' WHEN contains(name, 'attention') THEN 'attention' WHEN contains(name, 'ffn') THEN 'ffn' WHEN contains(name, 'ln_') THEN 'norm' ELSE 'head' END AS component,
+    CAST(sum(numel) AS BIGINT) AS parameters, CAST(coalesce(sum(numel) FILTER (WHERE NOT (ndim < 2 OR contains(name, 'bias') OR contains(name, 'ln_') OR contains(name, 'norm'))), 0) AS BIGINT) AS decayed FROM p GROUP BY 1"""
+)
+def a21_parameter_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.parameter_groups(spark.createDataFrame(_CATALOG, "name string, ndim int, numel bigint"))
+
+
+@query("WITH n AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings) SELECT i AS seq_id, vec_id, label FROM n WHERE i IN (0, 7, 99)")
+def row_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a map-style data set by position."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", F.lit(1).alias("one"))
+    return windows.running_offset(rows, "vec_id", "one", "seq_id").where(F.col("seq_id").isin(0, 7, 99)).select("seq_id", "vec_id", "label")
