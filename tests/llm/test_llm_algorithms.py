@@ -13,7 +13,6 @@ from textloom.llm.chunking import split_points
 from textloom.llm.language import detect, named_languages, prose
 from textloom.llm.packing import pack
 from textloom.llm.pair_defects import declines, defect_of, is_copy, is_empty, is_truncated, opening, split_question
-from textloom.llm.shared_spans import _merge  # noqa: F401
 from textloom.llm.sketch import bit_sketch, distinct_shingles
 from textloom.llm.split_overlap import align, winnow
 from textloom.llm.textcore import U, Chars, Words, slices, window_minima

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.textcore import U, Words, mix, signed, slices
+from textloom.llm.textcore import U, Words, mix, slices
 from textloom.session import spread
 
 ITEM_BLOCK = 4_000  # items per pass: bounds the broadcast index; more items take more passes

@@ -7,7 +7,6 @@ has room; a new sequence is opened only when none has.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
