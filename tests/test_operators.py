@@ -228,3 +228,19 @@ def test_segments_do_not_change_encodings(spark):
         assert encoder.encode(text) == [vocab.get(t, tokenizer.UNKNOWN) for t in tokenizer.merge_pairs(text, ranks)]
     df = spark.createDataFrame([(1, "aé𝓐"), (2, None), (3, "")], "k int, t string")
     assert {r.k: r.ids for r in tokenizer.code_points(df, "k", "t").collect()} == {1: [97, 233, 0x1D4D0], 2: None, 3: []}
+
+
+def test_blocks_of_queries_equal_one_matrix(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = rng.normal(size=(60, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)] + [(99, None), (98, [])], "id int, v array<double>")
+    asked = spark.createDataFrame([(str(i), rows[i].tolist()) for i in range(20)] + [("0", rows[0].tolist()), (None, rows[1].tolist()), ("x", None)], "query string, vector array<double>")
+    monkeypatch.setattr(retrieval, "BLOCK", 6)
+    got = {(r["query"], r["rank"]): r.id for r in retrieval.nearest_to_rows(df, "id", "v", asked, 3, exclude_self=True).collect()}
+    for i in range(20):
+        scores = np.round(rows @ (rows[i] / np.linalg.norm(rows[i])), 6)
+        want = [j for j in np.lexsort((np.arange(60), -scores)) if j != i][:3]
+        assert [got[str(i), r] for r in (1, 2, 3)] == want
+    assert len(got) == 60

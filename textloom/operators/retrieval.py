@@ -20,7 +20,7 @@ FOOTER = "=== END KNOWLEDGE CONTEXT ===\n"
 ENTRY_HEAD = ("\n--- [Doc ", ": ", "] (Source: ", ") ---")
 ASKING = "\nQuestion: {query}\n\nInstructions: Answer the question using the retrieved knowledge context above. Cite sources using [Doc N] format."
 
-MAX_QUERIES = 100_000  # a query set is broadcast to the scan in blocks of this many values
+BLOCK = 512  # queries of one pass: bounds what is broadcast and the score matrix of a batch
 
 
 @lru_cache(maxsize=1 << 18)
@@ -63,8 +63,8 @@ def nearest(vectors: DataFrame, key: str, column: str, queries: list[tuple[str,
     scan task passes on at most k rows per query and batch.  Scores are rounded
     before ranking and ties go to the smaller key.  Null or empty vectors are skipped.
     """
-    if sum(len(v) for _, v in queries) > MAX_QUERIES * DIMENSIONS:
-        raise ValueError("too many queries for one pass; search in several")
+    if len(queries) > BLOCK:
+        raise ValueError("too many queries for one pass; see nearest_to_rows")
     kind = vectors.schema[key].dataType.simpleString()
     names = [n for n, _ in queries]
     block = np.stack([v / n if (n := np.linalg.norm(v)) > 0 else v for _, v in queries]) if queries else np.zeros((0, 1))
@@ -91,6 +91,26 @@ def nearest(vectors: DataFrame, key: str, column: str, queries: list[tuple[str,
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest_to_rows(vectors: DataFrame, key: str, column: str, queries: DataFrame, k: int, *, digits: int = 6, exclude_self: bool = False) -> DataFrame:
+    """``nearest`` for every row of ``queries(query string, vector)`` against all stored rows, exactly.
+
+    The query set is cut into blocks of about ``BLOCK`` by the hash of its id;
+    each block is one scan of the stored rows, so any number of queries is
+    answered and only a block is ever on the driver.  Queries without an id or a
+    vector have no rows; repeated ids count once.
+    """
+    asked = queries.where("query is not null").where(F.size("vector") > 0).dropDuplicates(["query"])
+    blocks = max(1, -(-2 * asked.count() // BLOCK))  # half full on average, so that none overflows
+    out = None
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()
+        for start in range(0, max(1, len(rows)), BLOCK):
+            part = [(r["query"], np.array(r["vector"], float)) for r in rows[start : start + BLOCK]]
+            found = nearest(vectors, key, column, part, k, digits=digits, exclude_self=exclude_self)
+            out = found if out is None else out.union(found)
+    return out
+
+
 def query_terms(text: str) -> list[str]:
     return sorted(set(text.lower().split()))
 

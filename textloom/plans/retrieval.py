@@ -149,9 +149,10 @@ def r8_answer_prompt(spark: SparkSession, sf: str) -> DataFrame:
     SELECT task_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 5"""
 )
 def r3_many_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """All evaluation prompts (a fixed table) against all chunks, in blocks."""
-    prompts = [(r.task_id, R.embed(r.prompt)) for r in spark.read.parquet(f"{sf}/benchmark_problems.parquet").select("task_id", "prompt").limit(R.MAX_QUERIES).collect()]
-    return R.nearest(R.embed_texts(chunks(spark, sf), "chunk_id", "content"), "chunk_id", "embedding", prompts, 5).withColumnRenamed("query", "task_id")
+    """All evaluation prompts against all chunks, in blocks of queries."""
+    prompts = spark.read.parquet(f"{sf}/benchmark_problems.parquet").select(F.col("task_id").alias("query"), "prompt")
+    asked = R.embed_texts(prompts, "query", "prompt").withColumnRenamed("embedding", "vector")
+    return R.nearest_to_rows(R.embed_texts(chunks(spark, sf), "chunk_id", "content"), "chunk_id", "embedding", asked, 5).withColumnRenamed("query", "task_id")
 
 
 @query(f"WITH {CHUNKS}, {_embedded('chunks', 'chunk_id', 'content', 'ce')} SELECT count(*) AS vectors, count(DISTINCT doc_id) AS documents, CAST(128 AS INTEGER) AS dimensions FROM chunks")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import arrays as A
 from textloom.operators import tensors as X
+from textloom.operators.retrieval import nearest_to_rows
 from textloom.operators.windows import uniform_hash
 from textloom.plans.registry import query
 
@@ -50,12 +51,8 @@ def m7_activations(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH s AS (SELECT a.vec_id AS query, b.vec_id, round({_dot('a.embedding', 'b.embedding')} / sqrt({_dot('a.embedding', 'a.embedding')}), 5) + 0 AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s) SELECT CAST(query AS VARCHAR) AS query, vec_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
 def k5_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """Every row whose id is divisible by 50 against all rows, itself excluded."""
-    import numpy as np
-
-    from textloom.operators.retrieval import MAX_QUERIES, nearest
-
-    asked = [(str(r.vec_id), np.array(r.embedding, float)) for r in vectors(spark, sf).where("vec_id % 50 = 0").select("vec_id", "embedding").limit(MAX_QUERIES).collect()]
-    out = nearest(vectors(spark, sf), "vec_id", "embedding", asked, 5, digits=5, exclude_self=True)
+    asked = vectors(spark, sf).where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query"), F.col("embedding").alias("vector"))
+    out = nearest_to_rows(vectors(spark, sf), "vec_id", "embedding", asked, 5, digits=5, exclude_self=True)
     return out.withColumn("score", F.col("score") + 0.0)
 
 
