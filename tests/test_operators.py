@@ -100,8 +100,7 @@ def test_conversations(spark):
     m = spark.createDataFrame([([("user", "Write a function."), ("assistant", "def foo(): pass")],)], "messages array<struct<role:string,content:string>>")
     text = m.select(conversation.render_chatml(F.col("messages"), F.lit("Custom System Prompt"))).collect()[0][0]
     assert text.startswith("<|im_start|>system\nCustom System Prompt<|im_end|>\n<|im_start|>user\n")
-    x, y = conversation.tokenize_and_mask(F.col("messages"), F.lit("S"), 64)
-    row = m.select(x.alias("x"), y.alias("y")).collect()[0]
+    row = conversation.tokenize_and_mask(m, F.lit("S"), 64).collect()[0]
     trained = [t for t in row.y if t != conversation.IGNORE]
     assert len(row.x) == len(row.y) == 64 and trained == [*map(ord, "def foo(): pass"), conversation.IM_END]
 

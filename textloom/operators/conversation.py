@@ -63,20 +63,26 @@ def code_points(t: Column) -> Column:
     return F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.ascii(c))
 
 
-def tokenize_and_mask(messages: Column, system_prompt: Column, length: int) -> tuple[Column, Column]:
-    """(x, y) of ``length`` ids: labels are the assistant's content and its end mark, everything else is ignored.
+def tokenize_and_mask(df: DataFrame, system_prompt: Column, length: int, *, messages: str = "messages") -> DataFrame:
+    """``df`` with x and y of ``length`` ids in place of its messages.
 
-    Ids are code points, the character-level vocabulary; any array-valued encoder can take their place.
+    Labels are the assistant's content and its end mark, everything else is
+    ignored.  Ids are code points, the character-level vocabulary; any
+    array-valued encoder can take their place.  Each message is encoded once and
+    both sides are built from the parts.
     """
     start, end = F.array(F.lit(IM_START)), F.array(F.lit(IM_END))
-    system = F.concat(start, code_points(F.concat(F.lit("system\n"), system_prompt)), end)
-    head = lambda m: F.concat(start, code_points(F.concat(m["role"], F.lit("\n"))))
-    body = lambda m: F.concat(code_points(m["content"]), end)
-    x = F.concat(system, F.flatten(F.transform(messages, lambda m: F.concat(head(m), body(m)))))
+    encoded = F.transform(
+        messages,
+        lambda m: F.struct(F.concat(start, code_points(F.concat(m["role"], F.lit("\n")))).alias("head"), F.concat(code_points(m["content"]), end).alias("body"), (m["role"] == "assistant").alias("learn")),
+    )
+    system = F.struct(F.concat(start, code_points(F.concat(F.lit("system\n"), system_prompt)), end).alias("head"), F.array().cast("array<int>").alias("body"), F.lit(False).alias("learn"))
+    rows = df.withColumn("_parts", F.concat(F.array(system), encoded)).drop(messages)
     mute = lambda v: F.array_repeat(F.lit(IGNORE), F.size(v))
-    y = F.concat(mute(system), F.flatten(F.transform(messages, lambda m: F.concat(mute(head(m)), F.when(m["role"] == "assistant", body(m)).otherwise(mute(body(m)))))))
+    x = F.flatten(F.transform("_parts", lambda p: F.concat(p["head"], p["body"])))
+    y = F.flatten(F.transform("_parts", lambda p: F.concat(mute(p["head"]), F.when(p["learn"], p["body"]).otherwise(mute(p["body"])))))
     fill = lambda v, p: F.concat(F.slice(v, 1, length), F.array_repeat(F.lit(p), F.greatest(F.lit(0), F.lit(length) - F.size(v))))
-    return fill(x, PAD), fill(y, IGNORE)
+    return rows.withColumns({"_x": x, "_y": y}).withColumns({"x": fill(F.col("_x"), PAD), "y": fill(F.col("_y"), IGNORE)}).drop("_parts", "_x", "_y")
 
 
 def last_turns(turns: DataFrame, n: int = 5, chars: int = 300) -> DataFrame:
