@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.text import strip
 from textloom.llm.textcore import U, Words
 
 _LINE, _BLANK, _SPACE = r"\r?\n", r"\r?\n[ \t]*(?:\r?\n[ \t]*)+", r"\s+"
@@ -103,8 +104,8 @@ def oversized_items(df: DataFrame, id_col: str, text_col: str, type_col: str, se
     Types compare without regard to case and outer blanks; a missing or unlisted
     one counts as ``default_type``.  Length is in code points of the stored text.
     """
-    sizes = settings.select(F.lower(F.trim("doc_type")).alias("t"), F.col("chunk_size").alias("size"), F.coalesce("chunk_overlap", F.lit(0)).alias("overlap")).where("t is not null and size is not null")
-    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.lower(F.trim(type_col)), F.lit(default_type)).alias("given"))
+    sizes = settings.select(F.lower(strip(F.col("doc_type"))).alias("t"), F.col("chunk_size").alias("size"), F.coalesce("chunk_overlap", F.lit(0)).alias("overlap")).where("t is not null and size is not null")
+    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.lower(strip(F.col(type_col))), F.lit(default_type)).alias("given"))
     own = own.where("id is not null and text is not null")
     plain = sizes.where(F.col("t") == default_type).select(F.col("size").alias("default_size"), F.col("overlap").alias("default_overlap"))
     return (
