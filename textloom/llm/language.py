@@ -44,6 +44,10 @@ CODE_LINE = re.compile(
 )
 
 
+#: no block of code lacks all of these
+_CODE_SIGN = re.compile(r"[;{}=(#@]|//|--|/\*|\*/|\"\"\"")
+
+
 def prose(text: str) -> str:
     """The text without fenced, inline and plain code, markup and identifiers.
 
@@ -51,7 +55,7 @@ def prose(text: str) -> str:
     """
     if "```" in text:
         text = _FENCE.sub("\n\n", text)
-    if "\n" in text or CODE_LINE.match(text):
+    if _CODE_SIGN.search(text):
         kept = []
         for block in text.split("\n\n"):
             lines = block.split("\n")
@@ -61,7 +65,9 @@ def prose(text: str) -> str:
                 first -= 1  # comments right above code
             kept += lines[:first] + (lines[code[-1] + 1 :] if code else [])
         text = "\n".join(kept)
-    return _IDENTIFIER.sub(" ", _INLINE.sub(" ", text))
+    if "`" in text or "<" in text or "://" in text:
+        text = _INLINE.sub(" ", text)
+    return _IDENTIFIER.sub(" ", text)
 
 
 def detect(text: str, *, is_prose: bool = False) -> str | None:
