@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,10 @@ def _tokenizer(spark: SparkSession, sf: str):
 def _groups(spark: SparkSession, sf: str) -> list[DataFrame]:
     knowledge, records = _read(spark, sf, "knowledge_documents", "instruction_records")
     same = {"threshold": 0.5, "min_words": 30, "shingle_words": 3}
-    return [near_duplicate_groups(knowledge, "doc_id", "content", **same), near_duplicate_groups(records, "record_id", "output", **same)]
+    # the two tables have nothing to do with each other: their stages run side by side
+    with ThreadPoolExecutor(2) as pool:
+        parts = [pool.submit(near_duplicate_groups, knowledge, "doc_id", "content", **same), pool.submit(near_duplicate_groups, records, "record_id", "output", **same)]
+        return [p.result() for p in parts]
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
