@@ -156,6 +156,22 @@ def test_shared_spans_equal_brute_force(spark, monkeypatch, hot):
     assert got[1][0] == [(200, 540)]
 
 
+def test_shared_spans_around_a_hot_notice(spark, monkeypatch):
+    """Only one of two texts has the whole hot notice; both share its tail and rare text behind it."""
+    monkeypatch.setattr(spans_module, "HOT", 10)
+    rng = random.Random(21)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    notice = noise(700)
+    rows = [(f"n{i}", f"{noise(200)}<{notice}>{noise(200)}") for i in range(25)]
+    for i in range(150):
+        tail = rng.randrange(120, 280)
+        shared = notice[-tail:] + noise(330 - tail)
+        rows += [(f"a{i}", f"{noise(200)}<{notice[:-tail]}{shared}>{noise(100)}"), (f"b{i}", f"{noise(200)}#{shared}#{noise(100)}")]
+    got = {r.id: [(s.begin, s.end) for s in r.spans] for r in shared_spans(spark.createDataFrame(rows, "id string, t string"), "id", "t").collect()}
+    assert {k: v for k, v in got.items() if k[0] == "b"} == {f"b{i}": [(201, 531)] for i in range(150)}
+    assert {f"a{i}" for i in range(150)} <= set(got)
+
+
 def test_a_third_of_all_rows_is_one_text(spark):
     """Hot copies: one class, one span, and no more work than their number."""
     rng = random.Random(12)

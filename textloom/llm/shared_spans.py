@@ -3,7 +3,7 @@
 The tokens are characters.  Every window of ``SEED`` characters is hashed; of
 these only the minima of each run that fits into a span of the wanted length are
 counted, which loses nothing: two records that share a span share its minimum.
-Around seeds that occur in more than one text every window of the full length is
+Every window of the full length whose smallest seed occurs in more than one text is
 hashed and counted, and repeated windows are merged into maximal intervals.
 """
 
@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.sketch import text_key
-from textloom.llm.textcore import U, Chars, signed, slices, window_minima
+from textloom.llm.textcore import U, Chars, _sliding, signed, slices, window_minima
 from textloom.session import materialize, spread
 
 SEED = 100
-HOT = 1_000  # windows around a seed in more texts are counted by map-side combined aggregation
+HOT = 1_000  # windows whose smallest seed has more places are counted by map-side combined aggregation
 
 
 def _seeds(length: int):
@@ -46,7 +46,11 @@ def _seeds(length: int):
 
 
 def _windows(length: int):
-    """(hash, tid, at, hot) of every full window that holds a repeated seed."""
+    """(hash, tid, at, hot) of every full window whose smallest seed is repeated.
+
+    The smallest seed depends on the window's characters alone and every text
+    with the window selects it, so a window is hot in all of its texts or in none.
+    """
     width = min(SEED, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,20 +58,15 @@ def _windows(length: int):
             tids, texts, places = np.asarray(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for part in slices([len(t) for t in texts]):
                 chars = Chars(texts[part])
-                h = chars.window_hashes(length)
+                h, seed = chars.window_hashes(length), chars.window_hashes(width)
                 out = []
                 for i in range(part.stop - part.start):
-                    last = int(chars.length[i]) - length
-                    near, hot = np.zeros(last + 2, np.int32), np.zeros(last + 2, np.int32)
-                    for place in places[part.start + i]:
-                        low, high = max(0, place["at"] - (length - width)), min(place["at"], last) + 1
-                        near[low] += 1
-                        near[high] -= 1
-                        if place["hot"]:
-                            hot[low] += 1
-                            hot[high] -= 1
-                    at = np.nonzero(np.cumsum(near)[:-1])[0]
-                    out.append((h[chars.start[i] + at], np.full(len(at), tids[part.start + i]), at.astype(np.int32), np.cumsum(hot)[at] > 0))
+                    own = seed[chars.start[i] : chars.start[i + 1] - width + 1]
+                    low = _sliding(own, length - width + 1, np.minimum)
+                    repeated = own[[p["at"] for p in places[part.start + i]]]
+                    hot = own[[p["at"] for p in places[part.start + i] if p["hot"]] or slice(0)]
+                    at = np.nonzero(np.isin(low, repeated))[0]
+                    out.append((h[chars.start[i] + at], np.full(len(at), tids[part.start + i]), at.astype(np.int32), np.isin(low[at], hot)))
                 hashes, owner, at, hot = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, U),) * 4
                 yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(owner), pa.array(at), pa.array(hot)], names=["hash", "tid", "at", "hot"])
 
@@ -115,7 +114,7 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, *, length: int = 300
     windows = materialize(bodies.mapInArrow(_windows(length), "hash bigint, tid bigint, at int, hot boolean"), "windows")
     same = Window.partitionBy("hash")
     plain = windows.where("not hot").withColumns({"lo": F.min("tid").over(same), "hi": F.max("tid").over(same)}).where("lo < hi").select("tid", "at")
-    # a window holding a hot seed holds it in every text that has the window, so hot and plain windows never match each other
+    # hot is a property of the window itself (see _windows), so hot and plain windows never match each other
     hot = windows.where("hot")
     hot_hashes = hot.groupBy("hash").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo < hi").select("hash")
     starts = plain.union(hot.join(hot_hashes, "hash").select("tid", "at"))
