@@ -220,6 +220,22 @@ def test_split_overlaps_equal_brute_force(spark, monkeypatch, hot):
     assert all(0.5 < r.coverage_train <= 1 for r in found)
 
 
+def test_split_overlaps_of_a_hot_family(spark, monkeypatch):
+    """Variants with less than half of their seeds in a hot template are met like any other."""
+    monkeypatch.setattr(overlap_module, "HOT_PAIRS", 20)
+    monkeypatch.setattr(overlap_module, "BLOCK", 4)
+    rng = random.Random(22)
+    base = words(rng, 130)
+    rows = [(f"{side}{i}", "qa", side, "src", " ".join(f"v{side}{i}n{k}" if k % 13 == i % 13 and (i or k < 13) else w for k, w in enumerate(base))) for side in ("train", "eval") for i in range(13)]
+    rows += [(f"{side}same", "qa", side, "src", " ".join([*base, side])) for side in ("train", "eval")]
+    df = spark.createDataFrame(rows, "sample_id string, dataset_name string, split_name string, source string, content string")
+    configs = spark.createDataFrame([("qa", "train", "dev", "eval")], "dataset_name string, train_split string, val_split string, test_split string")
+    found = split_overlaps(df, configs, threshold=0.6, min_words=20, shingle_words=3).collect()
+    texts = {r[0]: r[4] for r in rows}
+    want = {(a, b) for a in texts if a.startswith("train") for b in texts if b.startswith("eval") and similarity(texts[a], texts[b]) >= 0.6}
+    assert {(r.sample_train, r.sample_eval) for r in found} == want and len(want) > 40
+
+
 def test_pieces_of_oversized_items(spark):
     settings = spark.createDataFrame([("txt", 50, 10), ("code", 30, 0)], "doc_type string, chunk_size int, chunk_overlap int")
     text = "Some words here. " * 10

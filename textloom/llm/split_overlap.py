@@ -25,7 +25,8 @@ from textloom.session import materialize
 
 SEED_WORDS = 6
 WINDOW = 3
-HOT_PAIRS = 20_000  # a seed that would make more pairs is used only by records that consist of such seeds
+HOT_PAIRS = 20_000  # a seed that makes more pairs is joined in blocks
+BLOCK = 1_000  # records of each side in a block of a hot seed
 
 
 def winnow(words: Words, seed_words: int = SEED_WORDS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -132,22 +133,24 @@ def _coverage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def overlapping_texts(members: DataFrame, *, threshold: float = 0.8, min_words: int = 5, shingle_words: int = 5, with_coverage: bool = False) -> DataFrame:
     """Pairs of texts ``(train_tid, eval_tid, similarity)`` across the two sides of ``members(sample_id, tid, train, content)``.
 
-    A copy on both sides pairs with itself.  A seed so common that it would make
-    over ``HOT_PAIRS`` pairs is used only by records at least half of whose seeds
-    are such: a record with fewer cannot be similar through common seeds alone.
+    A copy on both sides pairs with itself.  A seed that makes over ``HOT_PAIRS``
+    pairs is joined in blocks of ``BLOCK`` records of each side, so that no task
+    holds all of its pairs; sketch and sizes are compared inside the join.
     """
     least = max(min_words, SEED_WORDS, shingle_words)
     made = materialize(members.select("tid", "train", "content").mapInArrow(_seeds(least, shingle_words), "seed bigint, tid bigint, train boolean, kind int"), "winnow")
     facts = made.where("kind < 0").groupBy("tid", "train").agg(*(F.max(F.when(F.col("kind") == k, F.col("seed"))).alias(n) for k, n in zip(range(-1, -6, -1), (*SKETCH, "n"))))
     seeds = made.where("kind = 0").select("seed", "tid", "train").distinct()
     size = seeds.groupBy("seed").agg(F.count_if("train").alias("nt"), F.count_if(~F.col("train")).alias("ne")).where("nt > 0 and ne > 0")
-    size = size.select("seed", (F.col("nt") * F.col("ne") > HOT_PAIRS).alias("hot"))
-    joined = materialize(seeds.join(size, "seed", "left").select("seed", "tid", "train", "hot"), "winnow")
-    common = joined.groupBy("tid", "train").agg((F.count_if("hot") * 2 >= F.count("*")).alias("common"))
-    useful = joined.where("hot is not null").join(common.join(facts, ["tid", "train"]), ["tid", "train"]).where("not hot or common").select("seed", "train", F.struct("tid", *SKETCH, "n").alias("r"))
-    left, right = useful.where("train").select("seed", F.col("r").alias("a")), useful.where("not train").select("seed", F.col("r").alias("b"))
+    blocks = lambda n: F.when(F.col("nt") * F.col("ne") > HOT_PAIRS, F.ceil(F.col(n) / BLOCK)).otherwise(F.lit(1)).cast("int")
+    size = size.select("seed", blocks("nt").alias("bt"), blocks("ne").alias("be"))
+    useful = materialize(seeds.join(size, "seed"), "winnow").join(facts, ["tid", "train"]).select("seed", "train", "bt", "be", F.struct("tid", *SKETCH, "n").alias("r"))
+    own = lambda n: F.pmod(F.col("r.tid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = useful.where("train").select("seed", own("bt").alias("i"), every("be").alias("j"), F.col("r").alias("a"))
+    right = useful.where("not train").select("seed", every("bt").alias("i"), own("be").alias("j"), F.col("r").alias("b"))
     fits = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")
-    pairs = left.join(right, "seed").where(near("a", "b", threshold) & fits).select(F.col("a.tid").alias("train_tid"), F.col("b.tid").alias("eval_tid")).distinct()
+    pairs = left.join(right, ["seed", "i", "j"]).where(near("a", "b", threshold) & fits).select(F.col("a.tid").alias("train_tid"), F.col("b.tid").alias("eval_tid")).distinct()
     pairs = materialize(pairs, "pairs")
     wanted = pairs.select(F.col("train_tid").alias("tid")).union(pairs.select("eval_tid")).distinct()
     bodies = one_body_each(members.withColumnRenamed("sample_id", "id"), wanted, "content")
