@@ -98,6 +98,18 @@ def test_hot_anchors_are_split(spark, copies, monkeypatch):
     assert found <= want and len(found) >= 0.9 * len(want)
 
 
+def test_links_of_a_hot_family_are_all_found(spark, monkeypatch):
+    """Every pair of a family whose anchors and keys are hot is a link, not only those with one leader."""
+    monkeypatch.setattr(near_duplicates, "HOT", 20)
+    monkeypatch.setattr(near_duplicates, "GROUP", 8)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 16, raising=False)
+    rng = random.Random(23)
+    base = words(rng, 150)
+    rows = [(i, " ".join([*base[: i * 2], f"own{i}", *base[i * 2 + 1 :]])) for i in range(70)]
+    links = {r.id: r.links for r in near_duplicate_groups(spark.createDataFrame(rows, "id int, t string"), "id", "t", threshold=0.5, min_words=30, shingle_words=3).collect()}
+    assert links == dict.fromkeys(range(70), 69)
+
+
 def test_default_similarity(spark):
     rng = random.Random(6)
     base = words(rng, 200)

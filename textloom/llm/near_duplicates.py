@@ -27,7 +27,8 @@ from textloom.session import discard, materialize, spread
 ANCHOR_WORDS = 5
 CONTEXT_WORDS = 4
 HOT = 1_000  # an anchor in more passages is hot: see near_duplicate_links
-GROUP = 64  # keys of hot anchors met by more records are split further before pairs are formed
+GROUP = 64  # keys of hot anchors met by more records are paired in blocks
+BLOCK = 1_000  # records of each side in a block
 
 
 def passages(words: Words, anchors: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,18 +115,6 @@ def _pairs_of_anchors(threshold: float):
     return run
 
 
-def _split_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Split a hot key by the fuzzy keys of five 23-bit segments of the whole record's sketch."""
-    for batch in batches:
-        key, one, two = (np.asarray(batch.column(i)).view(U) for i in (0, 2, 3))
-        for j in range(5):
-            bits = (one >> U(23 * j) if j < 2 else (one >> U(46)) | (two << U(18)) if j == 2 else two >> U(5 + 23 * (j - 3))) & U((1 << 23) - 1)
-            row, index = golay.fuzzy_keys(bits.astype(np.int64))
-            finer = mix(key[row] + (index.astype(U) + U(4096 * j + 1)) * U(0xA0761D6478BD642F))
-            rest = [batch.column(i).take(pa.array(row)) for i in range(1, 7)]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(finer)), *rest], names=["key", "tid", *SKETCH, "n"])
-
-
 _KEYED = f"key bigint, tid bigint, {', '.join(f'{w} bigint' for w in SKETCH)}, n bigint"
 
 
@@ -142,10 +131,14 @@ def _pairs_of_small_groups(rows: DataFrame, threshold: float) -> DataFrame:
     return pairs.where(near("a", "b", threshold)).select(F.col("a.tid").alias("a"), F.col("b.tid").alias("b"))
 
 
-def _links_to_leader(rows: DataFrame, threshold: float) -> DataFrame:
-    """Star of each remaining hot group: every record against the group's leader."""
-    lead = rows.groupBy("key").agg(F.min_by(F.struct("tid", *SKETCH, "n"), "tid").alias("a"))
-    return rows.join(lead, "key").select("a", F.struct("tid", *SKETCH, "n").alias("b")).where("a.tid < b.tid").where(near("a", "b", threshold)).select(F.col("a.tid").alias("a"), F.col("b.tid").alias("b"))
+def _pairs_in_blocks(rows: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of groups of any size: every two blocks of a group meet once, and sketch and sizes are compared inside the join."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("own", F.pmod("tid", "blocks").cast("int")).withColumn("r", F.struct("tid", *SKETCH, "n"))
+    left = rows.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("r").alias("a"))
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("r").alias("b"))
+    once = (F.col("i") < F.col("j")) | (F.col("a.tid") < F.col("b.tid"))
+    fits = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")
+    return left.join(right, ["key", "i", "j"]).where(once & fits & near("a", "b", threshold)).select(F.least("a.tid", "b.tid").alias("a"), F.greatest("a.tid", "b.tid").alias("b"))
 
 
 def _pairs_of_hot_anchors(met: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
@@ -153,9 +146,8 @@ def _pairs_of_hot_anchors(met: DataFrame, found: DataFrame, threshold: float) ->
     common = met.groupBy("tid").agg(F.count_if("hot").alias("hot")).where("hot > 0").join(found.groupBy("tid").count(), "tid").where("hot * 3 >= count").select("tid")
     rows = met.where("hot").join(common, "tid", "left_semi").dropDuplicates(["value", "tid"]).select("value", "segment", "tid", *SKETCH, "n")
     keyed = materialize(_with_counts(rows.mapInArrow(_explode_keys, _KEYED)), "keys")
-    finer = materialize(_with_counts(keyed.where(F.col("count") > GROUP).drop("count").mapInArrow(_split_hot, _KEYED)), "keys")
     small = F.col("count") <= GROUP
-    return _pairs_of_small_groups(keyed.where(small), threshold).union(_pairs_of_small_groups(finer.where(small), threshold)).union(_links_to_leader(finer.where(~small), threshold))
+    return _pairs_of_small_groups(keyed.where(small), threshold).union(_pairs_in_blocks(keyed.where(~small), threshold))
 
 
 def near_duplicate_links(rows: DataFrame, *, threshold: float = 0.8, min_words: int = 5, shingle_words: int = 5, anchors: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -167,9 +159,9 @@ def near_duplicate_links(rows: DataFrame, *, threshold: float = 0.8, min_words:
     An anchor in more than ``HOT`` passages is hot.  Similar texts share half
     their shingles and more, so a text with fewer than a third of its anchors
     hot shares another anchor with every text similar to it and needs no hot
-    one.  Keys of the hot anchors of the other texts are counted; one met by more than
-    ``GROUP`` texts is split by the fuzzy keys of the whole-record sketch, and
-    only groups still larger are linked through their leader instead of pair by pair.
+    one.  Keys of the hot anchors of the other texts are counted; the texts of one
+    met by more than ``GROUP`` are paired in blocks of ``BLOCK``, so that no task
+    holds all of them.
     """
     prints = materialize(spread(rows.select("tid", "text").where("text is not null")).mapInArrow(_fingerprints(min_words, shingle_words, anchors), "tid bigint, value bigint, segment int"), "golay")
     sketches = prints.where("segment < 0").groupBy("tid").agg(*(F.max(F.when(F.col("segment") == k, F.col("value"))).alias(n) for k, n in zip(range(-1, -6, -1), (*SKETCH, "n"))))
