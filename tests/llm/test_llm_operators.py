@@ -110,6 +110,18 @@ def test_links_of_a_hot_family_are_all_found(spark, monkeypatch):
     assert links == dict.fromkeys(range(70), 69)
 
 
+def test_far_variants_of_a_hot_family_are_met(spark, monkeypatch):
+    """Variants similar to the family have few of its hot anchors; all their other anchors are their own."""
+    monkeypatch.setattr(near_duplicates, "HOT", 20)
+    rng = random.Random(24)
+    base = words(rng, 180)
+    rows = [(i, " ".join([*base[: i * 4], f"own{i}", *base[i * 4 + 1 :]])) for i in range(40)]
+    rows += [(100 + v, " ".join(f"v{v}n{k}" if k % 10 == v % 10 else w for k, w in enumerate(base))) for v in range(60)]
+    assert all(similarity(rows[0][1], t) >= 0.5 for _, t in rows)
+    groups = near_duplicate_groups(spark.createDataFrame(rows, "id int, t string"), "id", "t", threshold=0.5, min_words=30, shingle_words=3)
+    assert groups.select("group_id").distinct().count() == 1
+
+
 def test_default_similarity(spark):
     rng = random.Random(6)
     base = words(rng, 200)

@@ -141,10 +141,9 @@ def _pairs_in_blocks(rows: DataFrame, threshold: float) -> DataFrame:
     return left.join(right, ["key", "i", "j"]).where(once & fits & near("a", "b", threshold)).select(F.least("a.tid", "b.tid").alias("a"), F.greatest("a.tid", "b.tid").alias("b"))
 
 
-def _pairs_of_hot_anchors(met: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs of texts a third of whose anchors are hot, by the keys of those anchors."""
-    common = met.groupBy("tid").agg(F.count_if("hot").alias("hot")).where("hot > 0").join(found.groupBy("tid").count(), "tid").where("hot * 3 >= count").select("tid")
-    rows = met.where("hot").join(common, "tid", "left_semi").dropDuplicates(["value", "tid"]).select("value", "segment", "tid", *SKETCH, "n")
+def _pairs_of_hot_anchors(met: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs of all texts with a hot anchor, by the keys of those anchors."""
+    rows = met.where("hot").dropDuplicates(["value", "tid"]).select("value", "segment", "tid", *SKETCH, "n")
     keyed = materialize(_with_counts(rows.mapInArrow(_explode_keys, _KEYED)), "keys")
     small = F.col("count") <= GROUP
     return _pairs_of_small_groups(keyed.where(small), threshold).union(_pairs_in_blocks(keyed.where(~small), threshold))
@@ -156,10 +155,8 @@ def near_duplicate_links(rows: DataFrame, *, threshold: float = 0.8, min_words:
     ``rows(id, tid, text)`` has one or more rows per ``tid``, the 64-bit identity
     of its text (``text_key``).  Returns ``(links(a, b, similarity), taking_part(tid))``,
     a < b.  Texts that are null or shorter than ``min_words`` words take no part.
-    An anchor in more than ``HOT`` passages is hot.  Similar texts share half
-    their shingles and more, so a text with fewer than a third of its anchors
-    hot shares another anchor with every text similar to it and needs no hot
-    one.  Keys of the hot anchors of the other texts are counted; the texts of one
+    An anchor in more than ``HOT`` passages is hot.  Hot anchors serve every text
+    that has one.  Their keys are counted; the texts of one
     met by more than ``GROUP`` are paired in blocks of ``BLOCK``, so that no task
     holds all of them.
     """
@@ -171,7 +168,7 @@ def near_duplicate_links(rows: DataFrame, *, threshold: float = 0.8, min_words:
     groups = met.where("not hot").groupBy("value").agg(F.collect_set(F.struct("tid", "segment", *SKETCH, "n")).alias("passages"))
     pairs = groups.where("size(passages) > 1").mapInArrow(_pairs_of_anchors(threshold), "a bigint, b bigint")
     if met.where("hot").limit(1).count():
-        pairs = pairs.union(_pairs_of_hot_anchors(met, found, threshold))
+        pairs = pairs.union(_pairs_of_hot_anchors(met, threshold))
     pairs = materialize(pairs.distinct(), "pairs")
     discard(met)
     wanted = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct()
