@@ -13,7 +13,8 @@ from textloom.llm.mixing import mix_to_weights, mixture_shares
 from textloom.llm import near_duplicates
 from textloom.llm.near_duplicates import group_pairs, near_duplicate_groups
 from textloom.llm.packing import pack_documents
-from textloom.llm.pair_defects import broken_pairs
+from textloom.llm import pair_defects
+from textloom.llm.pair_defects import broken_pairs, refusal_templates
 from textloom.llm.shared_spans import shared_spans
 from textloom.llm import shared_spans as spans_module
 from textloom.llm.split_overlap import split_overlaps
@@ -373,3 +374,19 @@ def test_broken_pairs(spark):
     chat = [("c", 0, "User ", "What is a heap?"), ("c", 1, " Assistant", None), ("c", 2, "human", "And a tree?\n\nInput:\nx"), ("c", 3, "gpt", "And a tree?"), ("c", 4, "user", "Bye"), ("d", 5, "bot", "no question"), ("c", 2, "human", "And a tree?\n\nInput:\nx")]
     got = {(r.record_key, r.turn): r.defect for r in broken_pairs(spark.createDataFrame(records, "record_id string, instruction string, input string, output string"), spark.createDataFrame(chat, "conv_id string, turn bigint, role string, content string")).collect()}
     assert got == {("r1", 0): "empty", ("r2", 0): "copy", ("r4", 0): "empty", ("c", 1): "empty", ("c", 3): "copy", **{(f"t{i}", 0): "refusal" for i in range(6)}}
+
+
+@pytest.mark.parametrize("block", [1000, 8])
+def test_templates_are_met_behind_smaller_openings(spark, monkeypatch, block):
+    """Every band of the opening holds a smaller declining opening that is not similar to it."""
+    monkeypatch.setattr(pair_defects, "BLOCK", block, raising=False)
+    rng = random.Random(25)
+    plain = [f"word{i}" for i in range(11)]
+    similar = [*plain[:8], "other", "end", "here"]
+    rows = [(" ".join(plain), None, p) for p in range(2)] + [(" ".join(similar), "refusal", 10 + p) for p in range(10)]
+    for i in range(4000):
+        at, to = rng.randrange(9), rng.randrange(9)
+        rows.append((" ".join([f"aaa{i}", *plain[at : at + 3], f"d{i}", *plain[to : to + 3]]), "refusal", 100 + i))
+    found = refusal_templates(spark.createDataFrame(rows, "opening string, defect string, prompt bigint"))
+    got = {r.opening: r.refusing for r in found.collect()}
+    assert got[" ".join(plain)] >= 0.8 and got[" ".join(similar)] >= 0.8

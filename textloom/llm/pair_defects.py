@@ -267,6 +267,7 @@ def hash_prompt(text: str | None) -> int:
 
 
 BANDS, ROWS = 12, 2
+BLOCK = 1_000  # openings of a band that one task compares with as many declining ones
 
 
 def _minhash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,16 +296,21 @@ def refusal_templates(judged: DataFrame, *, similarity: float = 0.5, min_prompts
     """``(opening, template, prompts, refusing)`` of openings in clusters of verified MinHash similarity.
 
     Only clusters that hold at least one declining answer are of interest, so
-    openings are linked to declining ones: within a band the leader is the
-    smallest declining opening, and a link needs the exact similarity of their
-    word pairs.  ``prompts`` counts the different (masked) prompts of a cluster
+    openings are linked to declining ones: each opening is compared with all
+    declining openings of its bands, in blocks of ``BLOCK``, and a link needs the
+    exact similarity of their word pairs.  ``prompts`` counts the different (masked) prompts of a cluster
     and ``refusing`` is the share of its answers that decline.
     """
     stats = judged.where("opening is not null").groupBy("opening").agg(F.count_if(F.col("defect") == "refusal").alias("no"), F.count("*").alias("n"), F.approx_count_distinct("prompt").alias("prompts"))
     bands = stats.select("opening", "no").join(stats.select("opening").mapInArrow(_minhash, "key bigint, o string, shingles array<bigint>").withColumnRenamed("o", "opening"), "opening")
     bands = materialize(bands, "bands")
-    lead = bands.where("no > 0").groupBy("key").agg(F.min_by(F.struct("opening", "shingles"), "opening").alias("lead"))
-    links = bands.join(lead, "key").where(jaccard(F.col("shingles"), F.col("lead.shingles")) >= similarity).select(F.col("opening").alias("a"), F.col("lead.opening").alias("b")).distinct()
+    size = bands.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ba"), F.ceil(F.count_if(F.col("no") > 0) / BLOCK).cast("int").alias("bb")).where("bb > 0")
+    sized = bands.join(size, "key")
+    own = lambda n: F.pmod(F.xxhash64("opening"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = sized.select("key", own("ba").alias("i"), every("bb").alias("j"), F.col("opening").alias("a"), F.col("shingles").alias("sa"))
+    right = sized.where("no > 0").select("key", every("ba").alias("i"), own("bb").alias("j"), F.col("opening").alias("b"), F.col("shingles").alias("sb"))
+    links = left.join(right, ["key", "i", "j"]).where(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b").distinct()
     classes = connected_components(links, "a", "b")
     members = stats.join(classes, stats.opening == classes.node).drop("node")
     whole = members.groupBy("component").agg(F.sum("no").alias("no"), F.sum("n").alias("n"), F.sum("prompts").alias("prompts"))
