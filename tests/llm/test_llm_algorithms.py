@@ -196,3 +196,17 @@ def test_defect_helpers():
     assert named_languages("Übersetze das ins Englische.") == {"en"} and named_languages("用中文回答") == {"zh"}
     assert "return" not in prose("Text here.\n\ndef f(x):\n    return x\n")
     assert not is_truncated("word " * 100_000 + "end.")
+
+
+def test_defects_of_long_answers():
+    refusal = " ".join(["I'm sorry, but I can't help with that."] * 12)
+    assert len(refusal) > 400 and declines(refusal) and defect_of("What is a heap?", None, refusal) == "refusal"
+    assert opening("I cannot assist with that. " + "The heap has parents. " * 30) == opening("I cannot assist with that.")
+    for start in ("\n", " ", "**"):
+        assert is_empty(start + '<div class="answer body"><div class="inner"><p id="first"></p><p id="second"></p></div></div>')
+    assert not is_empty("<b>" + "word " * 50 + "</b>") and is_empty("N/A" + " ." * 60)
+
+
+@pytest.mark.parametrize("line", ["import os", "from os import path", "SELECT name", "std::sort", "    return value", "]", "def name"])
+def test_code_without_other_signs_is_no_prose(line):
+    assert "value" not in prose(f"Text here.\n\n{line}\nvalue\n{line}") and "Text here." in prose(f"Text here.\n\n{line}")

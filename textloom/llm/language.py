@@ -44,8 +44,11 @@ CODE_LINE = re.compile(
 )
 
 
-#: no block of code lacks all of these
-_CODE_SIGN = re.compile(r"[;{}=(#@]|//|--|/\*|\*/|\"\"\"")
+#: no line of code lacks all of these: every alternative of CODE_LINE has one
+_CODE_SIGN = re.compile(
+    r"[;{}=(#@\])]|//|--|/\*|\*/|\"\"\"|(?m:^)\s*(?:std::|(?:def|class|import|from|func|fn|export|function|package|public|private|static|const|let|var|impl|use|namespace|template|struct|enum|async)\s|"
+    r"(?:SELECT|FROM|WHERE|GROUP BY|ORDER BY|CREATE|INSERT|UPDATE|DELETE|JOIN|LEFT JOIN|HAVING)\b|(?:return|if|for|while|with|elif|else|try|except|raise|yield|switch|case|break|continue|pass|assert)\b)"
+)
 
 
 def prose(text: str) -> str:

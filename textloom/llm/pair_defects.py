@@ -58,6 +58,7 @@ NOT_DECLINING = re.compile(r"\b(?:stress|emphasi[sz]e|recommend|thank|wait) enou
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
 _WORD = re.compile(r"[^\W_]+")
 _BARE = re.compile(r"[^\w]|_")
+_LONGER = re.compile(r"(?:[\W_]*+[^\W_]){%d}" % (max(map(len, PLACEHOLDERS)) + 1))
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|```\w*")
 _END = re.compile(r"(?:[.!?。！？]|</\w+>|```|\*\*|\}|\|)[\s\"'”’»)\]*_`）】》]*$")
 _CLOSED = re.compile(r"</\w+>$")
@@ -71,16 +72,15 @@ DEFECTS = ("empty", "refusal", "copy", "truncated", "language")
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    if len(answer) > 80 and not answer.startswith(("<", "`")) and any(map(str.isalnum, answer[:64])):
-        return False  # longer than any placeholder, and no mere markup
-    bare = _BARE.sub("", _TAG.sub("", answer).replace("​", "")).lower()
+    bare = _TAG.sub("", answer) if "<" in answer or "`" in answer else answer
+    if _LONGER.match(bare):
+        return False  # more letters and digits than any placeholder
+    bare = _BARE.sub("", bare.replace("​", "")).lower()
     return not bare or bare in PLACEHOLDERS or answer.strip().lower().strip(" .!()[]<>*_-") in PLACEHOLDERS
 
 
 def declines(answer: str) -> bool:
     """All of the answer declines: its first sentence does and the others add nothing else."""
-    if len(answer) > 400:
-        return False
     sentences = [s for s in _SENTENCES.split(answer.strip().lower().replace("’", "'")) if s and s.strip()]
     first = False
     for s in sentences:
@@ -221,8 +221,8 @@ def defect_of(instruction: str | None, given: str | None, answer: str | None) ->
 
 
 def opening(answer: str | None) -> str | None:
-    """Masked first sentence of a short answer: names and numbers become ``x``."""
-    if answer is None or len(answer) > 400 or "```" in answer:
+    """Masked first sentence of an answer: names and numbers become ``x``."""
+    if answer is None or "```" in answer:
         return None
     first = next((s for s in _SENTENCES.split(answer.strip()) if s.strip()), "")
     masked = _IDENTIFIER.sub("x", first).lower()
