@@ -243,3 +243,11 @@ def test_blocks_of_queries_equal_one_matrix(spark, monkeypatch):
         want = [j for j in np.lexsort((np.arange(60), -scores)) if j != i][:3]
         assert [got[str(i), r] for r in (1, 2, 3)] == want
     assert len(got) == 60
+
+
+def test_byte_pairs_to_a_vocabulary_size(spark):
+    df = spark.createDataFrame([(1, "aaabdaaabac"), (2, "aaabdaaabac"), (3, None), (4, "")], "doc_id int, text string")
+    assert len(tokenizer.train_to_size(df, "text", 4 + 4 + 2)) == 2 and tokenizer.train_to_size(df, "text", 6) == []
+    # no pairs are left when the text is one token
+    left, right, n = tokenizer.train_to_size(df, "text", 500)[-1]
+    assert left + right == "aaabdaaabac" and n == 2

@@ -159,6 +159,12 @@ def train_merges(df: DataFrame, text: str, merges: int) -> list[tuple[str, str,
     return out
 
 
+def train_to_size(df: DataFrame, text: str, size: int, special: int = 4) -> list[tuple[str, str, int]]:
+    """Byte-pair training until ``special`` tokens, all characters and the merges are ``size`` tokens, or no pairs are left."""
+    characters = df.select(F.explode(F.split(text, "")).alias("c")).where("c <> ''").agg(F.count_distinct("c")).collect()[0][0]
+    return train_merges(df, text, max(0, size - special - characters))
+
+
 def _join_pair(left: str, right: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,4 +221,4 @@ def code_pair(problem: Column, solution: Column, *, begin: int, end: int, proble
     return F.slice(F.concat(one(begin), one(problem_mark), problem, one(solution_mark), solution, one(end)), 1, max_length)
 
 
-__all__ = ["MergeEncoder", "adjacent_pairs", "best_pair", "code_pair", "code_points", "decode", "encode_characters", "encode_merged", "frame", "load_merges", "load_vocabulary", "merge_pairs", "train_merges"]
+__all__ = ["MergeEncoder", "adjacent_pairs", "best_pair", "code_pair", "code_points", "decode", "encode_characters", "encode_merged", "frame", "load_merges", "load_vocabulary", "merge_pairs", "train_merges", "train_to_size"]
