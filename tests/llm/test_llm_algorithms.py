@@ -10,9 +10,10 @@ from hypothesis import strategies as st
 
 from textloom.llm import golay
 from textloom.llm.chunking import split_points
-from textloom.llm.language import detect, named_languages, prose
+from textloom.llm.language import LanguageModel, named_languages, prose
 from textloom.llm.packing import pack
-from textloom.llm.pair_defects import declines, defect_of, is_copy, is_empty, is_truncated, opening, split_question
+from textloom.llm.pair_defects import declines, defects_of, is_copy, is_empty, is_truncated, split_question
+from textloom.llm.refusals import masked, sentences_of
 from textloom.llm.sketch import bit_sketch, distinct_shingles
 from textloom.llm.split_overlap import align, winnow
 from textloom.llm.textcore import U, Chars, Words, slices, window_minima
@@ -152,6 +153,12 @@ def test_tokenizer_equals_its_definition():
         assert tokenizer.encode(t) == want and (n, u) == (len(want), want.count("<unk>"))
 
 
+def defect_of(ask, given_input, answer, model):
+    """The defect of a pair whose template has too few prompts to be judged by its use."""
+    d = defects_of([ask], [given_input or ""], [answer], model)[0]
+    return "refusal" if d not in ("empty", "copy") and declines(sentences_of(answer)) else d
+
+
 @pytest.mark.parametrize(
     ("ask", "given_input", "answer", "want"),
     [
@@ -183,25 +190,25 @@ def test_tokenizer_equals_its_definition():
         ("Schreibe eine Funktion, um die Werte zu sortieren.", None, "def sort_values(values):\n    # The values are sorted in place.\n    values.sort()\n    return values", None),
     ],
 )
-def test_defects(ask, given_input, answer, want):
-    assert defect_of(ask, given_input, answer) == want
+def test_defects(ask, given_input, answer, want, model):
+    assert defect_of(ask, given_input, answer, model) == want
 
 
-def test_defect_helpers():
+def test_defect_helpers(model):
     assert is_empty("") and is_empty("...") and not is_empty("0") and not is_empty("x" * 500)
-    assert not declines("") and not is_copy("", "", "anything") and not is_truncated("Done.")
+    assert not declines([]) and not is_copy("", "", "anything") and not is_truncated("Done.")
     assert split_question("Do it.\n\nInput:\nx") == ("Do it.", "x") and split_question("Do it.") == ("Do it.", "")
-    assert opening("I cannot assist with foo_bar.") == opening("I cannot assist with bar9.") and opening(None) is None
-    assert detect("") is None and detect("x = 1") is None
+    assert masked("I cannot assist with foo_bar.") == masked("I cannot assist with bar9.") == "i cannot assist with x"
+    assert masked("O(n log n)") is None and masked("True") is None and masked("return f(x);") is None and masked("这个请求超出了我的能力范围。") == " ".join("这个请求超出了我的能力范围")
+    assert model.detect(["", "x", "日"]) == [None] * 3 and model.detect([]) == [] and LanguageModel.of_texts({}).detect(["The heap is a tree of keys."]) == [None]
     assert named_languages("Übersetze das ins Englische.") == {"en"} and named_languages("用中文回答") == {"zh"}
     assert "return" not in prose("Text here.\n\ndef f(x):\n    return x\n")
     assert not is_truncated("word " * 100_000 + "end.")
 
 
-def test_defects_of_long_answers():
+def test_defects_of_long_answers(model):
     refusal = " ".join(["I'm sorry, but I can't help with that."] * 12)
-    assert len(refusal) > 400 and declines(refusal) and defect_of("What is a heap?", None, refusal) == "refusal"
-    assert opening("I cannot assist with that. " + "The heap has parents. " * 30) == opening("I cannot assist with that.")
+    assert len(refusal) > 400 and declines(sentences_of(refusal)) and defect_of("What is a heap?", None, refusal, model) == "refusal"
     for start in ("\n", " ", "**"):
         assert is_empty(start + '<div class="answer body"><div class="inner"><p id="first"></p><p id="second"></p></div></div>')
     assert not is_empty("<b>" + "word " * 50 + "</b>") and is_empty("N/A" + " ." * 60)

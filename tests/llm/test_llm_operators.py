@@ -13,8 +13,9 @@ from textloom.llm.mixing import mix_to_weights, mixture_shares
 from textloom.llm import near_duplicates
 from textloom.llm.near_duplicates import group_pairs, near_duplicate_groups
 from textloom.llm.packing import pack_documents
-from textloom.llm import pair_defects
-from textloom.llm.pair_defects import broken_pairs, refusal_templates
+from textloom.llm.language import LanguageModel, fit_language_model
+from textloom.llm.pair_defects import broken_pairs
+from textloom.llm.refusals import refusal_sentences, sentence_id
 from textloom.llm.shared_spans import shared_spans
 from textloom.llm import shared_spans as spans_module
 from textloom.llm.split_overlap import split_overlaps
@@ -22,6 +23,8 @@ from textloom.llm import split_overlap as overlap_module
 from textloom.llm.token_budget import document_budget, chat_budget, knowledge_budget
 from textloom.llm.tokens import TokenizerSpec, tokenizer_from_tables, with_token_counts
 
+from samples import SAMPLES
+
 TOKENIZER = TokenizerSpec("pieces", vocabulary=tuple("abcdefghijklmnopqrstuvwxyz ."), merges=(("a", "b"),))
 
 
@@ -145,7 +148,7 @@ def test_empty_tables(spark):
     assert split_overlaps(samples, configs, with_coverage=True).count() == 0
     records = spark.createDataFrame([], "record_id string, instruction string, input string, output string")
     chat = spark.createDataFrame([], "conv_id string, turn bigint, role string, content string")
-    assert broken_pairs(records, chat).count() == 0
+    assert broken_pairs(records, chat, LanguageModel.of_texts({})).count() == 0
     docs = spark.createDataFrame([], "doc_id bigint, domain string, n_tokens bigint")
     plans = spark.createDataFrame([("e", 1.0, 1, {"x": 1.0}, 10)], "experiment_id string, size_factor double, max_repeats int, dataset_weights map<string,double>, max_sequence_length int")
     assert mix_to_weights(docs, plans).count() == 0 and pack_documents(docs.select("doc_id", "n_tokens"), plans).count() == 0
@@ -338,7 +341,7 @@ def test_packing(spark):
         assert not [r for r in out if r.experiment_id == "null"]
 
 
-def test_token_budgets(spark):
+def test_token_budgets(spark, model):
     docs = spark.createDataFrame([(1, "s", "EN", "Py", "ab ab."), (1, "s", "EN", "Py", "ab ab."), (2, "s", "en-US", None, "abc"), (3, None, None, "py", None), (4, "s", "de_DE", "py", " \n")], "doc_id bigint, source string, lang string, domain string, text string")
     rows = {(r.source, r.lang, r.domain): r for r in document_budget(docs, TOKENIZER).collect()}
     everything = rows["(all)", "(all)", "(all)"]
@@ -348,7 +351,7 @@ def test_token_budgets(spark):
     assert {(r.doc_type, r.lang): r.tokens for r in knowledge_budget(kb, TOKENIZER).collect()}["txt", "(all)"] == 2
     chat = spark.createDataFrame([("c", 0, "b1", "s", "ab ab"), ("c", 0, "b1", "s", "ab ab"), ("c", 1, "b2", None, "ab"), ("d", 1, "b3", "s", None)], "conv_id string, turn bigint, batch_id string, source string, content string")
     stats = spark.createDataFrame([("b1", 3, 1), ("b2", 0, 1), ("b3", None, 1)], "batch_id string, total_tokens bigint, total_conversations bigint")
-    got = {r.batch_id: (r.tokens, r.report) for r in chat_budget(chat, stats, TOKENIZER).collect() if r.source == "(all)" and r.lang == "(all)"}
+    got = {r.batch_id: (r.tokens, r.report) for r in chat_budget(chat, stats, TOKENIZER, model).collect() if r.source == "(all)" and r.lang == "(all)"}
     assert got["b1"] == (3, "equal") and got["b2"] == (1, "zero") and got["b3"] == (0, "missing") and got["(all)"] == (4, None)
 
 
@@ -367,26 +370,67 @@ def test_tokenizer_tables_and_public_tokenizers(spark):
         TokenizerSpec("other").load()
 
 
-def test_broken_pairs(spark):
+def pairs_of(spark, records, chat, model, **more):
+    tables = spark.createDataFrame(records, "record_id string, instruction string, input string, output string"), spark.createDataFrame(chat, "conv_id string, turn bigint, role string, content string")
+    return {(r.record_key, r.turn): r.defect for r in broken_pairs(*tables, model, **more).collect()}
+
+
+def test_broken_pairs(spark, model):
     records = [("r1", "What is a heap?", None, None), ("r2", "What is a heap?", "", "What is a heap?"), ("r3", "What is a heap?", None, "A tree."), ("r3", "What is a heap?", None, "A tree."), (None, "q", None, None), ("r4", None, None, None)]
-    # an unlisted way to decline that shares its opening with listed ones is a template's member
     records += [(f"t{i}", f"Question number {i} about the {w}?", None, f"I'd rather not answer questions about your {w}.") for i, w in enumerate(["heap", "tree", "graph", "queue", "stack", "map"])]
     chat = [("c", 0, "User ", "What is a heap?"), ("c", 1, " Assistant", None), ("c", 2, "human", "And a tree?\n\nInput:\nx"), ("c", 3, "gpt", "And a tree?"), ("c", 4, "user", "Bye"), ("d", 5, "bot", "no question"), ("c", 2, "human", "And a tree?\n\nInput:\nx")]
-    got = {(r.record_key, r.turn): r.defect for r in broken_pairs(spark.createDataFrame(records, "record_id string, instruction string, input string, output string"), spark.createDataFrame(chat, "conv_id string, turn bigint, role string, content string")).collect()}
-    assert got == {("r1", 0): "empty", ("r2", 0): "copy", ("r4", 0): "empty", ("c", 1): "empty", ("c", 3): "copy", **{(f"t{i}", 0): "refusal" for i in range(6)}}
+    assert pairs_of(spark, records, chat, model) == {("r1", 0): "empty", ("r2", 0): "copy", ("r4", 0): "empty", ("c", 1): "empty", ("c", 3): "copy", **{(f"t{i}", 0): "refusal" for i in range(6)}}
+
+
+NOUNS = ["heap", "tree", "graph", "queue", "stack", "map", "list", "table", "index", "cache"]
+#: wordings that no pattern of declining matches, two of them in other languages
+UNSEEN = ["Count me out on this one.", "That request is off the table as far as I am concerned.", "Não posso ajudar com isso agora.", "その質問には回答できません。", "Let us leave the {} to somebody with more patience."]
+
+
+def sound_answers(rng, n):
+    """Answers in stock phrases as well: they recur under unrelated prompts, but other things follow, or they end an answer only now and then."""
+    say = ["Note that the {} never holds a {} larger than {}.", "Call the {} before touching a new {} of {}.", "In practice the {} costs about {} cycles per {}."]
+    fill = lambda s: s.format(*(rng.choice(NOUNS) if rng.random() < 0.7 else f"{rng.choice(NOUNS)}_{rng.randrange(99)}" for _ in range(3)))
+    return [(f"s{i}", f"Question {rng.choice(NOUNS)} {rng.choice(NOUNS)} {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}?", None, " ".join(fill(rng.choice(say)) for _ in range(rng.choice([1, 2, 3, 4, 5])))) for i in range(n)]
+
+
+def test_refusals_are_known_by_their_use(spark, model):
+    rng = random.Random(26)
+    sound = sound_answers(rng, 400)
+    refusing = [(f"u{k}-{i}", f"Please explain {a} and {b} of {chr(97 + i)}{chr(97 + k)}", None, text.format(a) + (" Feel free to bring me some other {} tomorrow.".format(b) if i % 3 == 0 else "")) for k, text in enumerate(UNSEEN) for i, (a, b) in enumerate(zip(NOUNS, NOUNS[::-1]))]
+    # the same words before an answer of its own are no refusal, however often they are used
+    leading = [(f"l{i}", f"What is {a} of {chr(97 + i)}?", None, "Sorry, I cannot say this in one line. " + " ".join(words(rng, 12)) + ".") for i, (a, b) in enumerate(zip(NOUNS, NOUNS[::-1]))]
+    got = pairs_of(spark, sound + refusing + leading, [], model)
+    assert {k[0] for k, d in got.items() if d == "refusal"} == {r[0] for r in refusing}
+
+
+def test_repeated_refusals_and_few_prompts(spark, model):
+    rng = random.Random(27)
+    same = [(f"u{i}", "Please explain the heap", None, f"Count me out on this one, {w}.") for i, w in enumerate(NOUNS)]  # one prompt only
+    long = [(f"n{i}", f"Please explain {w} of {chr(97 + i)}", None, " ".join(["That request is off the table as far as I am concerned."] * 14)) for i, w in enumerate(NOUNS)]
+    more = [("m", "Please explain the tree", None, "That request is off the table as far as I am concerned. Leaves hold the keys. Parents hold the leaves.")]
+    got = pairs_of(spark, sound_answers(rng, 200) + same + long + more, [], model)
+    assert {k[0] for k, d in got.items() if d == "refusal"} == {r[0] for r in long}
 
 
-@pytest.mark.parametrize("block", [1000, 8])
-def test_templates_are_met_behind_smaller_openings(spark, monkeypatch, block):
-    """Every band of the opening holds a smaller declining opening that is not similar to it."""
-    monkeypatch.setattr(pair_defects, "BLOCK", block, raising=False)
+def test_a_template_is_met_in_crowded_bands(spark):
+    """Every band of the template holds many other openings; they share words with it and are not similar."""
     rng = random.Random(25)
     plain = [f"word{i}" for i in range(11)]
     similar = [*plain[:8], "other", "end", "here"]
-    rows = [(" ".join(plain), None, p) for p in range(2)] + [(" ".join(similar), "refusal", 10 + p) for p in range(10)]
+    rows = [(" ".join(plain), None, 1, p, False) for p in range(2)] + [(" ".join(similar), None, 1, 10 + p, False) for p in range(10)]
     for i in range(4000):
         at, to = rng.randrange(9), rng.randrange(9)
-        rows.append((" ".join([f"aaa{i}", *plain[at : at + 3], f"d{i}", *plain[to : to + 3]]), "refusal", 100 + i))
-    found = refusal_templates(spark.createDataFrame(rows, "opening string, defect string, prompt bigint"))
-    got = {r.opening: r.refusing for r in found.collect()}
-    assert got[" ".join(plain)] >= 0.8 and got[" ".join(similar)] >= 0.8
+        rows.append((" ".join([f"aaa{i}", *plain[at : at + 3], f"d{i}", *plain[to : to + 3]]), None, 3, 100 + i, False))
+    _, openings = refusal_sentences(spark.createDataFrame(rows, "first string, second string, sentences int, prompt bigint, cue boolean"))
+    got = {r.sid: r.refuses for r in openings.collect()}
+    sids = {r.s: r.sid for r in spark.createDataFrame([(" ".join(plain),), (" ".join(similar),)], "s string").withColumn("sid", sentence_id(F.col("s"))).collect()}
+    assert all(got[sids[" ".join(w)]] for w in (plain, similar))
+
+
+def test_language_model_of_a_table(spark):
+    rows = [(i, lang, text) for lang, text in SAMPLES.items() for i in range(6)] + [(7, None, "no label"), (8, "en", None), (9, " EN-us", SAMPLES["en"])]
+    fitted = fit_language_model(spark.createDataFrame(rows, "id int, lang string, text string"), "id", "text", "lang", sample=3)
+    assert fitted.languages == ("de", "en", "es", "fr", "zh")
+    assert fitted.detect(["Die Liste wird danach nach ihrer Größe geordnet.", "Quelle est la clé de cet arbre ?", "请解释这些值。"]) == ["de", "fr", "zh"]
+    assert fit_language_model(spark.createDataFrame([], "id int, lang string, text string"), "id", "text", "lang").detect(["The list of values"]) == [None]

@@ -1,19 +1,24 @@
-"""Language of short prose by function words, and normalised language names."""
+"""Language of short prose by a character n-gram model, and normalised language names."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: common function words of each language
-FUNCTION_WORDS = {
-    "en": "the of and to in is it that for on with as are was were be been by this not but from or an at which when what how does do can will would should than then into only until every its their there has have had if you your we our i my me they he she who why where more most any some no such both each other after before because while about so just also over under between may might must could us",
-    "de": "der die das und zu ist nicht mit von den dem des ein eine einen einem einer eines auf für im in sich auch es an als nach bei aus werden wird wurde sind war haben hat kann können wie was warum wenn dass man wir ich du ihr sie er nur noch sollte muss müssen über unter zwischen durch ohne alle vor dann sobald gleichzeitig doch dabei erst mehr immer zuerst mir mich bitte keine kein welche dafür diese dieser hier danach einmal",
-    "es": "el la los las de del y en que es un una por con para no se su sus al lo como más pero si cuando porque también hay son está están fue ser sin sobre entre antes después luego todos cada muchas muchos necesita veces mismo ambos donde qué cómo cuál quién dos esto eso ninguno primero siempre mis mi me una tiene desde hasta otra",
-    "fr": "le la les de des du et en est que qui un une pour avec ne pas se sur dans au aux ce cela ces cette il elle on nous vous je tu mes mon ma son sa ses plus mais si quand parce aussi sont être sans entre avant après puis tous toutes chaque deux fois jamais toujours comment pourquoi quelle quel où depuis dès souvent peut faut encore par sera leurs leur chacun ceci cet voici voilà donc alors",
-}
+from textloom.llm.textcore import U, code_points, mix, slices
+
+GRAMS = (1, 2, 3)
+BUCKET_BITS = 14
+MARGIN = 12.0  # nats between the best and the second language of a clear answer
+SAMPLE = 1_000  # labelled texts of a language a model is fitted on
+MAX_LANGUAGES = 50
+
 # fixed values: stems of language names as people write them in questions
 LANGUAGE_NAMES = {
     "en": "english englisch inglés ingles inglesa anglais 英语 英文",
@@ -25,12 +30,9 @@ LANGUAGE_NAMES = {
 # fixed values: codes that do not begin with the language's own code
 LANGUAGE_CODES = {"eng": "en", "english": "en", "ger": "de", "deu": "de", "german": "de", "spa": "es", "spanish": "es", "fra": "fr", "fre": "fr", "french": "fr", "cn": "zh", "zho": "zh", "chi": "zh", "chinese": "zh"}
 
-_SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-_OWNERS: dict[str, list[str]] = {}
-for _k, _v in _SETS.items():
-    for _w in _v:
-        _OWNERS.setdefault(_w, []).append(_k)
 _WORD = re.compile(r"[^\W\d_]+")
+_PROSE_WORD = re.compile(r"[^\W\d_]{2,}")
+_alpha: np.ndarray | None = None
 _HAN = re.compile(r"[㐀-鿿]")
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _INLINE = re.compile(r"`[^`\n]*`|</?[A-Za-z][^<>\n]*>|https?://\S+")
@@ -73,22 +75,116 @@ def prose(text: str) -> str:
     return _IDENTIFIER.sub(" ", text)
 
 
-def detect(text: str, *, is_prose: bool = False) -> str | None:
-    """``en``, ``de``, ``es``, ``fr`` or ``zh``; None where the prose gives no clear answer."""
-    body = text if is_prose else prose(text)
-    words = _WORD.findall(body.lower())
-    if _HAN.search(body) and len(_HAN.findall(body)) * 2 >= sum(map(len, words)):
-        return "zh"
-    if len(words) < 3:
-        return None
-    score = dict.fromkeys(_SETS, 0.0)
-    for owners in filter(None, map(_OWNERS.get, words)):
-        for k in owners:
-            score[k] += 1 / len(owners)
-    best, second = sorted(score.values(), reverse=True)[:2]
-    if best < 1 or best < second * 1.3 + 0.4:
-        return None
-    return max(score, key=score.__getitem__)
+def _alpha_table() -> np.ndarray:
+    global _alpha
+    if _alpha is None:
+        _alpha = code_points(r"[^\W\d_]+")
+    return _alpha
+
+
+def char_grams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, text) of the 1-, 2- and 3-grams of lower-cased letters; whatever stands between words is one blank."""
+    padded = [f" {t.lower()} " for t in texts]
+    code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, padded), np.int64, len(texts)))
+    letter = _alpha_table()[code]
+    keep = letter.copy()
+    keep[:1] = True
+    keep[1:] |= letter[:-1] | (owner[1:] != owner[:-1])
+    code, owner = np.where(letter, code, 32)[keep].astype(U), owner[keep]
+    letter = letter[keep]
+    buckets, owners = [], []
+    for width in GRAMS:
+        n = len(code) - width + 1
+        if n < 1:
+            continue
+        h = np.full(n, width, U)
+        for j in range(width):
+            h = h * U(0xD6E8FEB86659FD93) + code[j : j + n]
+        # a gram lies in one text and begins or ends with a letter
+        use = (owner[:n] == owner[width - 1 :]) & (letter[:n] | letter[width - 1 :])
+        buckets.append((mix(h[use]) >> U(64 - BUCKET_BITS)).astype(np.int64))
+        owners.append(owner[:n][use])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(buckets), np.concatenate(owners)) if buckets else (none, none)
+
+
+@dataclass(frozen=True)
+class LanguageModel:
+    """Naive Bayes over hashed character n-grams: log probabilities of each bucket in each language."""
+
+    languages: tuple[str, ...]
+    weights: np.ndarray  # buckets x languages
+
+    @classmethod
+    def of_counts(cls, counts: dict[str, np.ndarray]) -> LanguageModel:
+        names = tuple(sorted(counts))
+        table = np.stack([counts[k] for k in names], axis=1) + 0.5 if names else np.zeros((1 << BUCKET_BITS, 0))
+        return cls(names, np.log(table / table.sum(axis=0)).astype(np.float32))
+
+    @classmethod
+    def of_texts(cls, texts: dict[str, Sequence[str]]) -> LanguageModel:
+        return cls.of_counts({k: np.bincount(char_grams([prose(t) for t in v])[0], minlength=1 << BUCKET_BITS) for k, v in texts.items()})
+
+    def detect(self, bodies: Sequence[str]) -> list[str | None]:
+        """Language of each body of prose (see ``prose``); None where it is too short or gives no clear answer."""
+        out: list[str | None] = []
+        for part in slices([len(b) for b in bodies]):
+            own = bodies[part]
+            if len(self.languages) < 2:
+                out += [None] * len(own)
+                continue
+            bucket, owner = char_grams(own)
+            score = np.stack([np.bincount(owner, self.weights[bucket, i], len(own)) for i in range(len(self.languages))], axis=1)
+            best = score.argmax(axis=1)
+            ranked = np.sort(score, axis=1)
+            clear = ranked[:, -1] - ranked[:, -2] >= MARGIN
+            out += [self.languages[b] if c and has_words(t) else None for b, c, t in zip(best.tolist(), clear.tolist(), own)]
+        return out
+
+
+def has_words(body: str) -> bool:
+    """Three words of two letters, or four Chinese characters: less is no prose."""
+    return len(_PROSE_WORD.findall(body)) >= 3 or len(_HAN.findall(body)) >= 4
+
+
+def fit_language_model(df: DataFrame, id_col: str, text_col: str, lang_col: str, *, sample: int = SAMPLE) -> LanguageModel:
+    """A model fitted on about ``sample`` labelled texts of each language, chosen by a digest of the id.
+
+    The bound is the parameter ``sample``: a language with fewer texts gives all.
+    Labels are normalised (``normalized_code``); the ``MAX_LANGUAGES`` most
+    frequent take part.  Only counts of n-grams reach the driver: one number for
+    each bucket and language.  Rows without text or label are left out; without
+    two languages the model detects nothing.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), normalized_code(F.col(lang_col)).alias("lang")).where("text is not null and lang is not null")
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    if not sizes:
+        return LanguageModel.of_counts({})
+    step = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], -(-r["count"] // sample))))
+    # an unlisted language has no step and its rows fall out
+    chosen = rows.where(F.pmod(F.xxhash64("id", F.lit("language")), F.try_element_at(step, F.col("lang"))) == 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for part in slices([len(t) for t in texts]):
+                own = np.array(langs[part])
+                bucket, owner = char_grams([prose(t) for t in texts[part]])
+                for k in set(langs[part]):
+                    total[k] = total.get(k, 0) + np.bincount(bucket[own[owner] == k], minlength=1 << BUCKET_BITS)
+        for k, n in total.items():
+            at = np.nonzero(n)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
+
+    sums = chosen.select("lang", "text").mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = {r["lang"]: np.zeros(1 << BUCKET_BITS) for r in sizes}
+    langs = np.array(sums.column("lang").to_pylist())
+    for k in counts:
+        mine = langs == k
+        counts[k][sums.column("bucket").to_numpy()[mine]] = sums.column("n").to_numpy()[mine]
+    return LanguageModel.of_counts({k: v for k, v in counts.items() if v.any()})
 
 
 def named_languages(text: str) -> set[str]:

@@ -1,9 +1,9 @@
 """Broken prompt and response pairs: empty, truncated, refusal, copy, language.
 
-Answers are short texts; their openings are masked and clustered by verified
-MinHash.  An opening that declines and recurs across unrelated prompts reveals a
-refusal template, and then holds for every member of its cluster.  Copy,
-termination and language checks label the remaining defects.
+The openings of answers are masked and clustered by verified MinHash; a template
+that recurs across unrelated prompts and is never followed by anything of the
+answer's own reveals a refusal (``refusals``).  Copy, language and termination
+checks label the remaining defects.
 """
 
 from __future__ import annotations
@@ -18,44 +18,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import strip
-from textloom.llm.components import connected_components
-from textloom.llm.language import _HAN, _IDENTIFIER, CODE_LINE, detect, named_languages, prose
-from textloom.llm.sketch import jaccard
-from textloom.llm.textcore import U, Words, signed
+from textloom.llm.language import _HAN, _IDENTIFIER, CODE_LINE, LanguageModel, named_languages, prose
+from textloom.llm.refusals import MIN_PROMPTS, masked, refusal_sentences, sentence_id, sentences_of
+from textloom.llm.textcore import U, Words, mix, signed, slices
 from textloom.session import materialize
 
 # fixed values: what people write where an answer is missing
 PLACEHOLDERS = frozenset("n/a na none null nil nan tbd todo tba undefined empty blank placeholder noanswer noresponse nooutput noinput notavailable notapplicable missing void leer keine keineantwort vacío vacio nada ninguna ninguno sinrespuesta nbsp br vide rien néant aucune aucun sansréponse 无 空 暂无 没有 待定 无答案".split())
-# fixed values: patterns of declining, in the five languages; written for whole sentences
+# fixed values: common wordings of a refusal in five languages; they decide only where a template has too few prompts to be judged by its use
 DECLINE = re.compile(
     r"|".join(
         (
-            r"\bi(?:'m| am)? (?:can(?:not|'t)|could(?:n't| not)|won't|will not|do(?:n't| not)|must not|may not|am unable to|'m unable to|am not able to|'m not able to)(?: be able to)?(?: \w+)? (?:help|assist|answer|comply|provide|produce|discuss|complete|do that|do this|talk|write|share|give|support|fulfil|fulfill|respond|continue|feel comfortable|engage|generate|create|offer|tell|open|inspect|say)\b",
-            r"\bi(?:'m| am) (?:not (?:allowed|permitted|able|going|comfortable|in a position)|unable|sorry,? but|afraid)\b.*",
-            r"\bi(?: must|'ll have to| have to| need to| would rather| will have to)? (?:decline|refuse|pass on)\b",
-            r"\bi(?:'d| would) rather not\b",
-            r"\b(?:isn't|is not) something i (?:can|could|will|am able to|may)\b",
-            r"\b(?:my|the) (?:guidelines|rules|policy|policies|instructions)\b.*\b(?:do not|don't|forbid|prohibit|prevent)\b|\bagainst (?:the|my) (?:rules|guidelines|policy|policies)\b",
-            r"\b(?:beyond|outside|outside of|exceeds) (?:of )?(?:my|what i)\b",
+            r"\bi(?:'m| am)? (?:can(?:not|'t)|could(?:n't| not)|won't|will not|do(?:n't| not)|must not|may not|am unable to|'m unable to|am not able to|'m not able to)(?: be able to)?(?: \w+)? (?:help|assist|answer|comply|provide|produce|discuss|complete|do|talk|write|share|give|support|fulfil|fulfill|respond|continue|feel comfortable|engage|generate|create|offer|tell|open|inspect|say)\b",
+            r"\bi(?:'m| am) (?:not (?:allowed|permitted|able|comfortable|in a position)|unable)\b",
+            r"\bi(?: must|'ll have to| have to| need to)? (?:decline|refuse|pass on)\b|\bi(?:'d| would) rather not\b|\b(?:isn't|is not) something i (?:can|could|will|may)\b",
+            r"\b(?:my|the) (?:guidelines|rules|policy|policies|instructions)\b.*\b(?:do not|don't|forbid|prohibit|prevent)\b|\bagainst (?:the|my) (?:rules|guidelines|policy|policies)\b|\b(?:beyond|outside)(?: of)? (?:my|what i)\b",
             r"\bas an? (?:ai|language model|assistant|ai language model)\b.*\b(?:not|unable|cannot|can't|no)\b",
-            r"\bonly an? (?:assistant|ai|model|language model)\b.*\bno\b",
-            r"\bsomebody else for\b|\bsomeone else for\b|\bi stay away from\b|\bwe can talk about\b.*\bjust not\b|\bi will leave\b.*\baside\b|\bnot be appropriate for me\b|\bno opinion on\b|\bnot allowed to (?:talk|speak|discuss|answer|help|write)\b",
             # German
-            r"\bich (?:kann|darf|werde|möchte|will|soll)\b.*\b(?:nicht|kein|keine|keinen|ablehnen)\b|\b(?:möchte|kann|darf|muss|werde|will) ich\b.*\b(?:nicht|kein|keine|keinen|ablehnen|passen|verzichten)\b|\bals (?:sprachmodell|ki|assistent)\b.*\b(?:nicht|kein|keine)\b|\btut mir leid\b|\bich muss\b.*\b(?:ablehnen|passen)\b|\bbin ich nicht\b|\bich bin nicht (?:befugt|in der lage|berechtigt)\b|\büber(?:steigt|schreitet)\b.*\b(?:meine|mir|ich)\b|\b(?:ist )?mir (?:leider )?(?:nicht )?(?:erlaubt|möglich|gestattet)\b|\bdarüber\b.*\bnicht (?:sprechen|reden)\b|\bdabei kann ich\b.*\bnicht\b",
+            r"\b(?:ich (?:kann|darf|werde|möchte|will)|(?:möchte|kann|darf|muss|werde|will) ich)\b.*\b(?:nicht|keine?n?|ablehnen|passen|verzichten)\b|\bich muss\b.*\b(?:ablehnen|passen)\b|\bals (?:sprachmodell|ki|assistent)\b.*\b(?:nicht|keine?)\b|\büber(?:steigt|schreitet)\b.*\b(?:meine|mir|ich)\b",
             # Spanish
-            r"\b(?:no|ni) (?:puedo|podré|voy a|debo|quiero|soy capaz|estoy autorizad[oa]|me está permitido|me es posible|me siento)\b|\b(?:debo|tengo que|prefiero|he de) (?:rechazar|declinar|no)\b|\blo siento\b|\bme temo que no\b|\bfuera de mi alcance\b|\bno tengo permiso\b|\bmis (?:normas|reglas|directrices)\b.*\bno\b",
+            r"\bno (?:puedo|podré|voy a|debo|soy capaz|estoy autorizad[oa]|me está permitido|me es posible)\b|\b(?:debo|tengo que|prefiero) (?:rechazar|declinar|no)\b|\bfuera de mi(?:s|) (?:alcance|posibilidades)\b",
             # French
-            r"\bje (?:ne|n')\s?(?:peux|puis|suis|saurais|veux|dois|pourrai|souhaite|répondrai|ai)\b.*\b(?:pas|juger|aucun|aucune)?|\bje (?:ne|n')\s?\w+rai (?:pas|aucun|aucune|rien)\b|\bje (?:préfère|dois|regrette)\b.*\b(?:ne pas|refuser|décliner|pas)\b|\bje (?:refuse|décline)\b|\bdésolée?\b|\bm'est (?:interdit|impossible)\b|\bhors de (?:ma|mes)\b|\bdépasse mes\b|\bil (?:ne )?m'est (?:pas )?(?:impossible|permis|possible)\b",
+            r"\bje (?:ne|n')\s?(?:peux|puis|suis|saurais|veux|dois|pourrai|souhaite)\b.*\b(?:pas|juger|aucune?)\b|\bje (?:ne|n')\s?\w+rai (?:pas|aucune?|rien)\b|\bje (?:préfère|dois)\b.*\b(?:ne pas|refuser|décliner)\b|\bje (?:refuse|décline)\b|\bm'est (?:interdit|impossible)\b|\bdépasse mes\b",
         )
     )
 )
-DECLINE_HAN = re.compile(r"(?:我|本人|本助手|作为).{0,12}(?:无法|不能|不便|不会|不可以|没有办法|拒绝|无权|不愿|不想|不方便|帮不了|不予)|(?:抱歉|对不起|很遗憾|不好意思)|超出了?我的|无法(?:回答|提供|协助|帮助|完成)(?:您|你|这|该|此|关于)")
+DECLINE_HAN = re.compile(r"(?:我|本人|本助手|作为).{0,12}(?:无法|不能|不便|不会|不可以|拒绝|无权|不愿|不想)|超出了?我的|无法(?:回答|提供|协助|帮助|完成)(?:您|你|这|该|此|关于)")
 # fixed values: sentences that send the reader elsewhere after a refusal, and apologies
 REDIRECT = re.compile(
-    r"\b(?:please )?(?:ask|try)\b.*\b(?:another|else|instead|different|other)\b|\bposez une autre\b|\bbitte frag|\bfragen? sie\b.*\banderes\b|\bpregunt[ae]\b.*\botra?\b|\b(?:sorry|apologies|regrettably|unfortunately|perdón|lo siento|désolée?|leider|entschuldigung)\b|\blet me know\b|\bis there anything else\b|\bautre question\b|\botra (?:cosa|pregunta)\b|请?换一?个?|其他问题|别的问题"
+    r"\b(?:please )?(?:ask|try)\b.*\b(?:another|else|instead|different|other)\b|\bposez une autre\b|\bbitte frag|\bpregunt[ae]\b.*\botra?\b|\b(?:sorry|apologies|lo siento|désolée?|tut mir leid|entschuldigung)\b|\blet me know\b|(?:抱歉|对不起|很遗憾|不好意思)|请换一?个?|其他问题|别的问题"
 )
-NOT_DECLINING = re.compile(r"\b(?:stress|emphasi[sz]e|recommend|thank|wait) enough\b|\bsorry for\b|\bas a rule\b|\bwhich is why\b|\bsorry about\b")
-_SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
+NOT_DECLINING = re.compile(r"\b(?:stress|emphasi[sz]e|recommend|thank) enough\b|\bsorry (?:for|about)\b|\bwhich is why\b")
 _WORD = re.compile(r"[^\W_]+")
 _BARE = re.compile(r"[^\w]|_")
 _LONGER = re.compile(r"(?:[\W_]*+[^\W_]){%d}" % (max(map(len, PLACEHOLDERS)) + 1))
@@ -79,16 +72,16 @@ def is_empty(answer: str | None) -> bool:
     return not bare or bare in PLACEHOLDERS or answer.strip().lower().strip(" .!()[]<>*_-") in PLACEHOLDERS
 
 
-def declines(answer: str) -> bool:
-    """All of the answer declines: its first sentence does and the others add nothing else."""
-    sentences = [s for s in _SENTENCES.split(answer.strip().lower().replace("’", "'")) if s and s.strip()]
-    first = False
-    for s in sentences:
-        no = not NOT_DECLINING.search(s) and bool(DECLINE.search(s) or DECLINE_HAN.search(s))
-        if not no and not REDIRECT.search(s):
+def declines(sentences: list[str]) -> bool:
+    """All of an answer reads like a refusal: one sentence is worded so and the others add nothing else."""
+    no = False
+    for sentence in sentences:
+        s = sentence.lower().replace("’", "'")
+        if not NOT_DECLINING.search(s) and (DECLINE.search(s) or DECLINE_HAN.search(s)):
+            no = True
+        elif not REDIRECT.search(s):
             return False
-        first = first or no
-    return first
+    return no
 
 
 def _words(text: str) -> list[str]:
@@ -185,17 +178,6 @@ def is_truncated(answer: str) -> bool:
     return words >= 4 or han >= 8
 
 
-def in_other_language(question: str, answer: str) -> bool:
-    body = prose(answer)
-    if not body.strip():
-        return False
-    theirs = detect(body, is_prose=True)
-    if theirs is None:
-        return False
-    ours = detect(question)
-    return ours is not None and ours != theirs and theirs not in named_languages(question)
-
-
 def split_question(text: str) -> tuple[str, str]:
     """A user message to (instruction, input): an input may follow a blank line, with or without a label."""
     for mark in ("\n\nInput:\n", "\n\ninput:\n", "\n\nInput: "):
@@ -206,29 +188,20 @@ def split_question(text: str) -> tuple[str, str]:
     return a, b
 
 
-def defect_of(instruction: str | None, given: str | None, answer: str | None) -> str | None:
-    """The one defect of a pair, or None; refusals are decided by ``declines`` alone here."""
-    if is_empty(answer):
-        return "empty"
-    ask, given = instruction or "", given or ""
-    if declines(answer):
-        return "refusal"
-    if is_copy(ask, given, answer):
-        return "copy"
-    if is_truncated(answer):
-        return "truncated"
-    return "language" if in_other_language(ask, answer) else None
-
-
-def opening(answer: str | None) -> str | None:
-    """Masked first sentence of an answer: names and numbers become ``x``."""
-    if answer is None or "```" in answer:
-        return None
-    first = next((s for s in _SENTENCES.split(answer.strip()) if s.strip()), "")
-    masked = _IDENTIFIER.sub("x", first).lower()
-    if _HAN.search(masked):
-        masked = " ".join(re.sub(r"[a-z]+", "x", masked))
-    return masked or None
+def defects_of(asks: list[str], givens: list[str], answers: list[str | None], model: LanguageModel) -> list[str | None]:
+    """The one defect of each pair, or None; refusals are not looked for here."""
+    out: list[str | None] = []
+    for ask, given, answer in zip(asks, givens, answers):
+        out.append("empty" if is_empty(answer) else "copy" if is_copy(ask, given, answer) else "truncated" if is_truncated(answer) else None)
+    sound = [i for i, d in enumerate(out) if d is None]
+    bodies = [prose(answers[i]) for i in sound]
+    theirs = model.detect(bodies)
+    known = [(i, lang) for i, lang in zip(sound, theirs) if lang]
+    ours = model.detect([prose(asks[i]) for i, _ in known])
+    for (i, lang), own in zip(known, ours):
+        if own and own != lang and lang not in named_languages(asks[i]):
+            out[i] = "language"
+    return out
 
 
 def question_answer_pairs(records: DataFrame, chat: DataFrame) -> DataFrame:
@@ -247,86 +220,79 @@ def question_answer_pairs(records: DataFrame, chat: DataFrame) -> DataFrame:
     return own.union(pairs.select("record_key", "turn", "instruction", F.lit(None).cast("string"), "answer", F.lit(True)))
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        defects, openings, prompts = [], [], []
-        for ask, given, answer, chat in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-            if chat and ask is not None:
-                ask, given = split_question(ask)
-            d = defect_of(ask, given, answer)
-            defects.append(d)
-            openings.append(None if d in ("empty", "copy", "truncated") else opening(answer))
-            prompts.append(hash_prompt(ask))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(defects, pa.string()), pa.array(openings, pa.string()), pa.array(prompts, pa.int64())], names=["record_key", "turn", "defect", "opening", "prompt"])
+def _judge(model):
+    """One row of each pair: its defect so far, and what the search for refusal templates needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asks, givens, answers, chat = (batch.column(i).to_pylist() for i in range(2, 6))
+            split = [split_question(a or "") if c else (a or "", g or "") for a, g, c in zip(asks, givens, chat)]
+            defects = defects_of([a for a, _ in split], [g for _, g in split], answers, model.value)
+            first, second, count, tail, cue = [], [], [], [], []
+            for answer, defect in zip(answers, defects):
+                sentences = [] if defect in ("empty", "copy") else list(dict.fromkeys(sentences_of(answer)))
+                opening = masked(sentences[0]) if sentences else None
+                n = len(sentences)
+                first.append(opening)
+                second.append(masked(sentences[1]) if opening and n == 2 else None)
+                count.append(n)
+                tail.append("\n".join(sentences[1:]) if opening and n > 2 else None)
+                cue.append(declines(sentences))
+            columns = [pa.array(defects, pa.string()), pa.array(first, pa.string()), pa.array(second, pa.string()), pa.array(count, pa.int32()), pa.array(tail, pa.string()), pa.array(cue, pa.bool_()), pa.array(prompt_ids([a for a, _ in split]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[c.split()[0] for c in _JUDGED.split(", ")])
+
+    return run
 
 
-def hash_prompt(text: str | None) -> int:
-    """Identity of a masked prompt, so that prompts that differ in names only count as related."""
-    words = Words([_IDENTIFIER.sub("x", text or "")])
-    return int(np.bitwise_xor.reduce(words.hash.view(np.int64))) if len(words.hash) else 0
+_JUDGED = "record_key string, turn bigint, defect string, first string, second string, sentences int, tail string, cue boolean, prompt bigint"
 
 
-BANDS, ROWS = 12, 2
-BLOCK = 1_000  # openings of a band that one task compares with as many declining ones
+def prompt_ids(asks: list[str]) -> np.ndarray:
+    """Identity of each masked prompt, so that prompts that differ in names only count as related."""
+    out = np.zeros(len(asks), U)
+    for part in slices([len(a) for a in asks]):
+        words = Words([_IDENTIFIER.sub("x", a) for a in asks[part]])
+        np.bitwise_xor.at(out, words.text + part.start, words.hash)
+    return signed(mix(out))
 
 
-def _minhash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band key, opening, shingles) of distinct openings; shingles are pairs of words and single words of very short ones."""
-    seeds = (np.arange(BANDS * ROWS, dtype=U) + U(1)) * U(0xE7037ED1A0B428DB)
+def _tail_sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(record_key, turn, s) of every sentence after the first; null for one that is no sentence."""
     for batch in batches:
-        words = Words(batch.column(0).to_pylist())
-        keys, rows, sets = [], [], []
-        for i in range(len(batch)):
-            w = words.hash[words.first[i] : words.first[i + 1]]
-            if not len(w):
-                continue
-            s = np.unique(w if len(w) < 3 else w[:-1] * U(0xD6E8FEB86659FD93) + w[1:])
-            low = ((s[:, None] ^ seeds) * U(0xA0761D6478BD642F) >> U(1)).min(axis=0).reshape(BANDS, ROWS)
-            keys.append(low[:, 0] * U(31) + low[:, 1] + np.arange(BANDS, dtype=U))
-            rows.append(i)
-            sets.append(signed(s))
-        if rows:
-            flat = np.concatenate(keys)
-            take = pa.array(np.repeat(rows, BANDS))
-            lists = pa.array(sets, pa.list_(pa.int64())).take(pa.array(np.repeat(np.arange(len(rows)), BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(flat)), batch.column(0).take(take), lists], names=["key", "opening", "shingles"])
-
-
-def refusal_templates(judged: DataFrame, *, similarity: float = 0.5, min_prompts: int = 3) -> DataFrame:
-    """``(opening, template, prompts, refusing)`` of openings in clusters of verified MinHash similarity.
-
-    Only clusters that hold at least one declining answer are of interest, so
-    openings are linked to declining ones: each opening is compared with all
-    declining openings of its bands, in blocks of ``BLOCK``, and a link needs the
-    exact similarity of their word pairs.  ``prompts`` counts the different (masked) prompts of a cluster
-    and ``refusing`` is the share of its answers that decline.
-    """
-    stats = judged.where("opening is not null").groupBy("opening").agg(F.count_if(F.col("defect") == "refusal").alias("no"), F.count("*").alias("n"), F.approx_count_distinct("prompt").alias("prompts"))
-    bands = stats.select("opening", "no").join(stats.select("opening").mapInArrow(_minhash, "key bigint, o string, shingles array<bigint>").withColumnRenamed("o", "opening"), "opening")
-    bands = materialize(bands, "bands")
-    size = bands.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ba"), F.ceil(F.count_if(F.col("no") > 0) / BLOCK).cast("int").alias("bb")).where("bb > 0")
-    sized = bands.join(size, "key")
-    own = lambda n: F.pmod(F.xxhash64("opening"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = sized.select("key", own("ba").alias("i"), every("bb").alias("j"), F.col("opening").alias("a"), F.col("shingles").alias("sa"))
-    right = sized.where("no > 0").select("key", every("ba").alias("i"), own("bb").alias("j"), F.col("opening").alias("b"), F.col("shingles").alias("sb"))
-    links = left.join(right, ["key", "i", "j"]).where(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b").distinct()
-    classes = connected_components(links, "a", "b")
-    members = stats.join(classes, stats.opening == classes.node).drop("node")
-    whole = members.groupBy("component").agg(F.sum("no").alias("no"), F.sum("n").alias("n"), F.sum("prompts").alias("prompts"))
-    return members.select("opening", "component").join(whole, "component").select("opening", F.col("component").alias("template"), "prompts", (F.col("no") / F.col("n")).alias("refusing")).where(F.col("prompts") >= min_prompts)
-
-
-def broken_pairs(records: DataFrame, chat: DataFrame) -> DataFrame:
+        row, out = [], []
+        for i, tail in enumerate(batch.column(2).to_pylist()):
+            for s in sentences_of(tail):
+                row.append(i)
+                out.append(masked(s))
+        take = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(out, pa.string())], names=["record_key", "turn", "s"])
+
+
+def broken_pairs(records: DataFrame, chat: DataFrame, model: LanguageModel, *, min_prompts: int = MIN_PROMPTS) -> DataFrame:
     """``(record_key, turn, defect)`` of the broken pairs of both tables; each has one defect.
 
-    An answer is a refusal if it declines as a whole, or if its opening belongs
-    to a template that recurs across unrelated prompts and nearly always does.
-    Null questions count as empty ones, null answers as empty answers.  Pairs
-    delivered again count once; empty tables give an empty result.
+    An answer is a refusal if it opens with a template that recurs across
+    ``min_prompts`` or more unrelated prompts and is followed by nothing but
+    closing templates (``refusals.refusal_sentences``), and if nothing else
+    follows it here.  Templates with too few prompts to be judged count if the
+    whole answer is worded like a refusal (``declines``).  A refusal is neither
+    truncated nor in another language.  Null questions count as empty ones, null
+    answers as empty answers.  Pairs delivered again count once; empty tables
+    give an empty result.
     """
-    judged = materialize(question_answer_pairs(records, chat).mapInArrow(_judge, "record_key string, turn bigint, defect string, opening string, prompt bigint"), "judged")
-    templates = refusal_templates(judged).where("refusing >= 0.8").select("opening")
-    fixed = judged.join(templates.withColumn("template", F.lit(True)), "opening", "left")
-    defect = F.when(F.col("template") & (F.col("defect").isNull() | (F.col("defect") == "language")), F.lit("refusal")).otherwise(F.col("defect"))
-    return fixed.select("record_key", "turn", defect.alias("defect")).where("defect is not null")
+    shared = records.sparkSession.sparkContext.broadcast(model)
+    judged = materialize(question_answer_pairs(records, chat).mapInArrow(_judge(shared), _JUDGED), "judged")
+    closers, openings = refusal_sentences(judged, min_prompts=min_prompts)
+    openings = materialize(openings, "openings")
+    ending = materialize(closers.union(openings.where("refuses").select("sid")).distinct(), "ending")
+    pairs = judged.drop("tail").withColumns({"sid": sentence_id(F.col("first")), "next": sentence_id(F.col("second"))})
+    opened = pairs.join(openings, "sid", "left").join(ending.select(F.col("sid").alias("next"), F.lit(True).alias("ended")), "next", "left")
+    # answers of more sentences that open with a refusal: all the others must be endings
+    tails = judged.where("tail is not null").withColumn("sid", sentence_id(F.col("first"))).join(openings.where("refuses"), "sid", "left_semi")
+    tails = tails.select("record_key", "turn", "tail").mapInArrow(_tail_sentences, "record_key string, turn bigint, s string")
+    known = tails.withColumn("sid", F.when(F.col("s").isNotNull(), sentence_id(F.col("s")))).join(ending.withColumn("ended", F.lit(True)), "sid", "left")
+    clean = known.groupBy("record_key", "turn").agg(F.every(F.coalesce("ended", F.lit(False))).alias("clean"))
+    nothing_else = (F.col("sentences") == 1) | F.col("second").isNotNull() & F.coalesce("ended", F.lit(False)) | F.coalesce("clean", F.lit(False))
+    refuses = F.when(F.col("refuses"), nothing_else | F.col("cue")).otherwise(F.col("cue") & F.col("refuses").isNull())
+    defect = F.when(refuses, F.lit("refusal")).otherwise(F.col("defect"))
+    return opened.join(clean, ["record_key", "turn"], "left").select("record_key", "turn", defect.alias("defect")).where("defect is not null")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.chunking import split_oversized
+from textloom.llm.language import LanguageModel, fit_language_model
 from textloom.llm.leakage import leaked_items
 from textloom.llm.mixing import mix_to_weights, mixture_shares
 from textloom.llm.near_duplicates import group_pairs, near_duplicate_groups
@@ -31,6 +32,10 @@ def _tokenizer(spark: SparkSession, sf: str):
     return tokenizer_from_tables(*_read(spark, sf, "tokenizer_vocab", "tokenizer_merges"))
 
 
+def _languages(spark: SparkSession, sf: str) -> LanguageModel:
+    return fit_language_model(_read(spark, sf, "documents")[0], "doc_id", "text", "lang")
+
+
 def _groups(spark: SparkSession, sf: str) -> list[DataFrame]:
     knowledge, records = _read(spark, sf, "knowledge_documents", "instruction_records")
     same = {"threshold": 0.5, "min_words": 30, "shingle_words": 3}
@@ -78,11 +83,11 @@ def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_token_budget(spark: SparkSession, sf: str) -> DataFrame:
-    return token_budget(*_read(spark, sf, "documents", "knowledge_documents", "chat_messages", "conversation_statistics"), _tokenizer(spark, sf))
+    return token_budget(*_read(spark, sf, "documents", "knowledge_documents", "chat_messages", "conversation_statistics"), _tokenizer(spark, sf), _languages(spark, sf))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return broken_pairs(*_read(spark, sf, "instruction_records", "chat_messages"))
+    return broken_pairs(*_read(spark, sf, "instruction_records", "chat_messages"), _languages(spark, sf))
 
 
 def _overlaps(spark: SparkSession, sf: str, coverage: bool) -> DataFrame:

@@ -6,6 +6,7 @@ per-character and per-word work is NumPy, never a Python loop.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -33,10 +34,18 @@ def alnum_table() -> np.ndarray:
     """Per code point: is it a Unicode letter or digit."""
     global _alnum
     if _alnum is None:
-        _alnum = np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+        _alnum = code_points(r"[^\W_]+")
     return _alnum
 
 
+def code_points(pattern: str) -> np.ndarray:
+    """Per code point: does the pattern of a run of characters match it."""
+    table = np.zeros(0x110000, bool)
+    for m in re.finditer(pattern, "".join(map(chr, range(0x110000)))):
+        table[m.start() : m.end()] = True
+    return table
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverse
     if len(_powers) < n + 1:

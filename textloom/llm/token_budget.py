@@ -9,24 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.language import normalized_code
+from textloom.llm.language import LanguageModel, normalized_code
 from textloom.llm.tokens import TokenizerSpec, with_token_counts
 
 NONE, ALL = "(none)", "(all)"
 
 
-def token_cube(df: DataFrame, keys: list[str], text_col: str, slices: list[str], tokenizer: TokenizerSpec, *, language: str | None = None) -> DataFrame:
+def token_cube(df: DataFrame, keys: list[str], text_col: str, slices: list[str], tokenizer: TokenizerSpec, *, language: str | None = None, model: LanguageModel | None = None) -> DataFrame:
     """Totals of every combination of the slices: ``(slices..., records, usable, tokens, unknown_tokens)``.
 
     A record is one value of ``keys`` and counts once however often it was
     delivered.  ``usable`` counts records whose text is neither null nor blank;
     only their tokens are summed, since blank text trains nothing.  A null slice
     is ``(none)``, a slice summed over is ``(all)``.  With ``language`` the
-    language of each text is detected and is the last slice.
+    language of each text is detected by ``model`` and is the last slice.
     """
     blank = F.coalesce(F.length(F.trim(F.regexp_replace(text_col, r"[\s\x{A0}\x{200B}]+", " "))) == 0, F.lit(True))
     rows = df.select(*keys, *slices, blank.alias("_blank"), F.col(text_col).alias("_text"))
-    counted = with_token_counts(rows, "_text", tokenizer, count="_tokens", unknown="_unknown", language=language)
+    counted = with_token_counts(rows, "_text", tokenizer, count="_tokens", unknown="_unknown", language=language, model=model)
     every = [*slices, language] if language else slices
     once = counted.groupBy(*keys).agg(F.min(F.struct("_blank", "_tokens", "_unknown", *every)).alias("v")).select("v.*")
     once = once.select(*(F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in every), "_blank", "_tokens", "_unknown")
@@ -52,14 +52,14 @@ def knowledge_budget(knowledge: DataFrame, tokenizer: TokenizerSpec) -> DataFram
     return token_cube(rows, ["doc_id"], "content", ["doc_type", "lang"], tokenizer)
 
 
-def chat_budget(chat: DataFrame, statistics: DataFrame, tokenizer: TokenizerSpec) -> DataFrame:
+def chat_budget(chat: DataFrame, statistics: DataFrame, tokenizer: TokenizerSpec, model: LanguageModel) -> DataFrame:
     """Budget of chat by batch, source and detected language, against the reported totals.
 
     On the rows of a whole batch ``reported_tokens`` is the batch's own figure
     and ``report`` says what it is worth: ``missing``, ``zero``, ``equal``,
     ``padded`` (a round multiple above the content) or ``different``.
     """
-    cube = token_cube(chat.select("conv_id", "turn", "batch_id", "source", "content"), ["conv_id", "turn"], "content", ["batch_id", "source"], tokenizer, language="lang")
+    cube = token_cube(chat.select("conv_id", "turn", "batch_id", "source", "content"), ["conv_id", "turn"], "content", ["batch_id", "source"], tokenizer, language="lang", model=model)
     own = statistics.groupBy(F.col("batch_id").alias("b")).agg(F.max("total_tokens").alias("reported_tokens"), F.max("total_conversations").alias("conversations"))
     whole = (F.col("source") == ALL) & (F.col("lang") == ALL) & (F.col("batch_id") != ALL)
     reported = F.when(whole, F.col("reported_tokens"))
@@ -74,9 +74,9 @@ def chat_budget(chat: DataFrame, statistics: DataFrame, tokenizer: TokenizerSpec
     return cube.join(own, cube.batch_id == own.b, "left").select("batch_id", "source", "lang", "records", "usable", "tokens", "unknown_tokens", reported.alias("reported_tokens"), report.alias("report"))
 
 
-def token_budget(documents: DataFrame, knowledge: DataFrame, chat: DataFrame, statistics: DataFrame, tokenizer: TokenizerSpec) -> DataFrame:
+def token_budget(documents: DataFrame, knowledge: DataFrame, chat: DataFrame, statistics: DataFrame, tokenizer: TokenizerSpec, model: LanguageModel) -> DataFrame:
     """The three budgets in one table; slices a corpus does not have are null."""
-    parts = [("documents", document_budget(documents, tokenizer)), ("knowledge_documents", knowledge_budget(knowledge, tokenizer)), ("chat_messages", chat_budget(chat, statistics, tokenizer))]
+    parts = [("documents", document_budget(documents, tokenizer)), ("knowledge_documents", knowledge_budget(knowledge, tokenizer)), ("chat_messages", chat_budget(chat, statistics, tokenizer, model))]
     columns = {"batch_id": "string", "source": "string", "lang": "string", "domain": "string", "doc_type": "string", "records": "bigint", "usable": "bigint", "tokens": "bigint", "unknown_tokens": "bigint", "reported_tokens": "bigint", "report": "string"}
     out = None
     for name, df in parts:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.language import detect
+from textloom.llm.language import LanguageModel, prose
 from textloom.session import spread
 
 _PIECE = re.compile(r" ?[^\W\d_]+")
@@ -137,7 +137,7 @@ def tokenizer_from_tables(vocab: DataFrame, merges: DataFrame) -> TokenizerSpec:
     return TokenizerSpec("pieces", vocabulary=tuple(tokens), merges=tuple(pairs))
 
 
-def with_token_counts(df: DataFrame, text_col: str, tokenizer: TokenizerSpec, *, count: str = "n_tokens", unknown: str | None = None, language: str | None = None) -> DataFrame:
+def with_token_counts(df: DataFrame, text_col: str, tokenizer: TokenizerSpec, *, count: str = "n_tokens", unknown: str | None = None, language: str | None = None, model: LanguageModel | None = None) -> DataFrame:
     """``df`` without its text, with the number of tokens (and unknown tokens, and the detected language) of each text.
 
     A null text has 0 tokens.  Every other column is passed through; a column of
@@ -148,13 +148,15 @@ def with_token_counts(df: DataFrame, text_col: str, tokenizer: TokenizerSpec, *,
     rest = [c for c in df.columns if c != text_col and c not in names and c != language]
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest] + [f"`{n}` bigint" for n in names] + [f"`{language}` string"] * bool(language))
 
+    shared = df.sparkSession.sparkContext.broadcast(model) if language else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = tokenizer.load()
         for batch in batches:
             texts = [t or "" for t in batch.column(len(rest)).to_pylist()]
             got = [*map(pa.array, counts(texts)[: len(names)])]
             if language:
-                got.append(pa.array([detect(t) for t in texts], pa.string()))
+                got.append(pa.array(shared.value.detect([prose(t) for t in texts]), pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *got], names=[*rest, *names, *[language] * bool(language)])
 
     return spread(df.select(*(F.col(f"`{c}`") for c in rest), F.col(text_col))).mapInArrow(run, schema)
