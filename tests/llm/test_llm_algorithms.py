@@ -9,7 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from textloom.llm import golay
-from textloom.llm.chunking import split_points
+from textloom.llm import chunking
+from textloom.llm.chunking import split_points, valley_depth
 from textloom.llm.language import LanguageModel, named_languages, prose
 from textloom.llm.packing import pack
 from textloom.llm.pair_defects import declines, defects_of, is_copy, is_empty, is_truncated, split_question
@@ -114,6 +115,36 @@ def test_pieces(text, kind, size, overlap):
     assert all(e - s <= size for s, e, _ in pieces)
 
 
+def test_valleys_reach_the_nearest_peaks():
+    alike = np.array([0.9, 0.5, 0.7, 0.2, 0.2, 0.6, 0.4, 0.8])
+    want = []
+    for i, low in enumerate(alike):
+        a = b = i
+        while a and alike[a - 1] >= alike[a]:
+            a -= 1
+        while b + 1 < len(alike) and alike[b + 1] >= alike[b]:
+            b += 1
+        want.append(alike[a] - low + alike[b] - low)
+    assert np.allclose(valley_depth(alike), want) and valley_depth(np.zeros(1)).tolist() == [0]
+
+
+@pytest.mark.parametrize(("one", "two", "stop"), [("the heap keeps its keys in order", "a river runs over old stones", ". "), ("堆保存最小的键并移动其他键", "河水流过古老的石头和树林", "。")])
+def test_cuts_fall_where_the_topic_changes(one, two, stop):
+    text = (one + stop) * 12 + (two + stop) * 12
+    change = len(one + stop) * 12
+    pieces = split_points(text, "txt", change + len(two + stop) * 5, 0)
+    assert pieces[0][1] == change
+
+
+def test_long_texts_are_compared_in_slabs(monkeypatch):
+    rng = random.Random(6)
+    text = " ".join(f"w{rng.randrange(50)}" for _ in range(3000))
+    at = np.array([i + 1 for i, c in enumerate(text) if c == " "])
+    whole = chunking.cohesion_depth(text, at)
+    monkeypatch.setattr(chunking, "_SLAB_WORDS", 100)
+    assert np.allclose(whole, chunking.cohesion_depth(text, at))
+
+
 def test_pieces_end_at_boundaries():
     text = "One paragraph about heaps and heaps.\n\n" * 3 + "Another about graphs and edges.\n\n" * 3
     pieces = split_points(text, "txt", 120, 10)

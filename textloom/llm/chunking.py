@@ -2,7 +2,7 @@
 
 Candidate boundaries of the item's type come in levels, coarse to fine.  Word
 blocks on both sides of every candidate are compared; a low similarity between
-two peaks is a valley, a change of topic.  Each piece ends at the deepest valley
+the nearest peaks on both sides is a valley, a change of topic.  Each piece ends at the deepest valley
 of the coarsest level that has a boundary in the piece's size window, and the
 next piece repeats the wanted number of characters.
 """
@@ -33,24 +33,53 @@ LEVELS: dict[str, list[str]] = {
 _COMPILED = {kind: [re.compile(p) for p in levels] for kind, levels in LEVELS.items()}
 BLOCK_WORDS = 40
 _DIMENSIONS = 64
+_SLAB_WORDS = 1 << 16  # bounds the counts held at a time of one text
+_FLUSH_CHARS = 1 << 22  # bounds the pieces held at a time of one batch
+_UNSPACED = r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]"
+_UNSPACED_PAIR = re.compile(rf"({_UNSPACED})(?=({_UNSPACED}))")
+
+
+def _tokens(segment: str) -> str:
+    """Words stay; characters of scripts without blanks become overlapping pairs."""
+    return _UNSPACED_PAIR.sub(r"\1\2 ", segment)
+
+
+def _similarities(words: Words, mid: np.ndarray) -> np.ndarray:
+    """Cosine of the hashed word counts of the blocks before and after each place (ascending word positions), slab by slab."""
+    out = np.zeros(len(mid))
+    at = 0
+    while at < len(mid):
+        upto = max(at + 1, int(np.searchsorted(mid, mid[at] + _SLAB_WORDS, side="right")))
+        here = mid[at:upto]
+        low, high = max(0, int(here[0]) - BLOCK_WORDS), min(len(words.hash), int(here[-1]) + BLOCK_WORDS)
+        total = np.zeros((high - low + 1, _DIMENSIONS), np.int32)
+        total[np.arange(1, high - low + 1), (words.hash[low:high] >> U(58)).astype(np.int64)] = 1
+        np.cumsum(total, axis=0, out=total)
+        left = (total[here - low] - total[np.maximum(here - BLOCK_WORDS, low) - low]).astype(np.float64)
+        right = (total[np.minimum(here + BLOCK_WORDS, high) - low] - total[here - low]).astype(np.float64)
+        norm = np.linalg.norm(left, axis=1) * np.linalg.norm(right, axis=1)
+        out[at:upto] = np.where(norm > 0, (left * right).sum(axis=1) / np.maximum(norm, 1e-9), 0)
+        at = upto
+    return out
+
+
+def valley_depth(alike: np.ndarray) -> np.ndarray:
+    """How far the similarity rises from each place to the nearest peak on its left and on its right."""
+    n = np.arange(len(alike))
+    climbs = alike[:-1] >= alike[1:]  # going left from i + 1 does not lead down
+    peak_left = np.maximum.accumulate(np.where(np.append(False, climbs), 0, n))
+    falls = alike[1:] >= alike[:-1]
+    peak_right = np.minimum.accumulate(np.where(np.append(falls, False), len(alike), n)[::-1])[::-1]
+    return alike[peak_left] - alike + alike[peak_right] - alike
 
 
 def cohesion_depth(text: str, at: np.ndarray) -> np.ndarray:
     """Depth of the similarity valley at each (ascending) boundary of a text."""
     if not len(at):
         return np.zeros(0)
-    cuts = np.concatenate([[0], at, [len(text)]])
-    words = Words([text[a:b] for a, b in zip(cuts[:-1], cuts[1:])])
-    total = np.zeros((len(words.hash) + 1, _DIMENSIONS), np.float32)
-    np.add.at(total, (np.arange(1, len(words.hash) + 1), (words.hash >> U(58)).astype(np.int64)), 1)
-    np.cumsum(total, axis=0, out=total)
-    mid = words.first[1:-1]
-    left = total[mid] - total[np.maximum(mid - BLOCK_WORDS, 0)]
-    right = total[np.minimum(mid + BLOCK_WORDS, len(words.hash))] - total[mid]
-    norm = np.linalg.norm(left, axis=1) * np.linalg.norm(right, axis=1)
-    alike = np.where(norm > 0, (left * right).sum(axis=1) / np.maximum(norm, 1e-9), 0)
-    peak_left, peak_right = np.maximum.accumulate(alike), np.maximum.accumulate(alike[::-1])[::-1]
-    return (peak_left - alike) + (peak_right - alike)
+    cuts = np.concatenate([[0], at, [len(text)]]).tolist()
+    words = Words([_tokens(text[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
+    return valley_depth(_similarities(words, words.first[1:-1]))
 
 
 def split_points(text: str, kind: str, size: int, overlap: int) -> list[tuple[int, int, int]]:
@@ -83,17 +112,24 @@ def split_points(text: str, kind: str, size: int, overlap: int) -> list[tuple[in
     return [*out, (begin, len(text), -2)]
 
 
-def _pieces(kind_of_id: str):
+def _pieces():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            types = (batch.column(0).type, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+            made = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "piece", "pieces", "begin_char", "end_char", "level", "content"])
             cols: list[list] = [[] for _ in range(7)]
+            held = 0
             for key, text, kind, size, overlap in zip(*(c.to_pylist() for c in batch.columns)):
                 pieces = split_points(text, kind, size, overlap)
                 for n, (begin, end, level) in enumerate(pieces):
                     for column, value in zip(cols, (key, n, len(pieces), begin, end, level, text[begin:end])):
                         column.append(value)
-            types = (batch.column(0).type, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "piece", "pieces", "begin_char", "end_char", "level", "content"])
+                    held += end - begin
+                    if held > _FLUSH_CHARS:
+                        yield made(cols)
+                        cols, held = [[] for _ in range(7)], 0
+            if cols[0]:
+                yield made(cols)
 
     return run
 
@@ -128,4 +164,4 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, type_col: str, se
     kind = df.schema[id_col].dataType.simpleString()
     items = oversized_items(df, id_col, text_col, type_col, settings, default_type=default_type)
     once = items.groupBy("id").agg(F.any_value(F.struct("text", "kind", "size", "overlap")).alias("v")).select("id", "v.*")
-    return once.mapInArrow(_pieces(kind), f"id {kind}, piece int, pieces int, begin_char bigint, end_char bigint, level int, content string")
+    return once.mapInArrow(_pieces(), f"id {kind}, piece int, pieces int, begin_char bigint, end_char bigint, level int, content string")
