@@ -100,8 +100,13 @@ def test_winnow_shares_a_seed_of_a_shared_run():
 
 def test_alignment_covers_the_common_part():
     a, b = np.arange(50), np.concatenate([np.arange(100, 110), np.arange(10, 40), [7]])
-    assert align(a, b) == (30, 25)
-    assert align(np.arange(3), np.arange(3)) == (0, 0)
+    seeds = lambda x: (np.array([hash(tuple(x[i : i + 6].tolist())) for i in range(len(x) - 5)], np.int64), np.arange(max(0, len(x) - 5)))
+    assert align(a, b, seeds(a), seeds(b)) == (30, 25)
+    assert align(np.arange(3), np.arange(3), seeds(np.arange(3)), seeds(np.arange(3))) == (0, 0)
+    words = Words([" ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(10, 50))])
+    h, where = winnow(words)
+    mine = [(h[words.text[where] == t], where[words.text[where] == t] - words.first[t]) for t in (0, 1)]
+    assert align(words.hash[:60], words.hash[60:], *mine)[0] == 40
 
 
 @given(st.text(alphabet="ab c.\n;}é", max_size=300), st.sampled_from(["markdown", "txt", "code", "html", "json", "unknown"]), st.integers(1, 60), st.integers(0, 70))

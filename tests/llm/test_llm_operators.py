@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.components import connected_components
 from textloom.llm.chunking import split_oversized
+from textloom.llm import leakage
 from textloom.llm.leakage import leaked_items
 from textloom.llm.mixing import mix_to_weights, mixture_shares
 from textloom.llm import near_duplicates
@@ -145,7 +146,7 @@ def test_empty_tables(spark):
     assert leaked_items(none.union(spark.createDataFrame([("a", "x " * 50)], "id string, t string")), "id", "t", items, "task_id", ["prompt"]).count() == 0
     samples = spark.createDataFrame([], "sample_id string, dataset_name string, split_name string, source string, content string")
     configs = spark.createDataFrame([], "dataset_name string, train_split string, val_split string, test_split string")
-    assert split_overlaps(samples, configs, with_coverage=True).count() == 0
+    assert split_overlaps(samples, configs).count() == 0
     records = spark.createDataFrame([], "record_id string, instruction string, input string, output string")
     chat = spark.createDataFrame([], "conv_id string, turn bigint, role string, content string")
     assert broken_pairs(records, chat, LanguageModel.of_texts({})).count() == 0
@@ -225,6 +226,26 @@ def test_leaks_equal_brute_force(spark):
     assert {(1, "a"), (3, "a"), (7, "d")} <= {(r.id, r.task_id) for r in near.collect()}
 
 
+def test_altered_leaks_are_found(spark):
+    """One word in twenty-four replaced: every 24-word window of the item is altered; found in nine of ten documents, and only where it is."""
+    rng = random.Random(12)
+    fields = [words(rng, 96) for _ in range(40)]
+    items = spark.createDataFrame([(f"t{i}", " ".join(w)) for i, w in enumerate(fields)], "task_id string, prompt string")
+    altered = [[f"n{rng.randrange(10**6)}" if k % 24 == 11 else x for k, x in enumerate(w)] for w in fields]
+    docs = [(i, " ".join(words(rng, 30) + a + words(rng, 30))) for i, a in enumerate(altered)] + [(100 + i, " ".join(words(rng, 150))) for i in range(40)]
+    got = {(r.id, r.task_id): r.similarity for r in leaked_items(spark.createDataFrame(docs, "id int, text string"), "id", "text", items, "task_id", ["prompt"], window=24, threshold=0.7).collect()}
+    assert set(got) <= {(i, f"t{i}") for i in range(40)} and len(got) >= 36 and all(0.7 <= v < 1 for v in got.values())
+
+
+def test_items_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "ITEM_CHARS", 200)
+    rng = random.Random(13)
+    fields = [words(rng, 20) for _ in range(10)]
+    items = spark.createDataFrame([(f"t{i}", " ".join(w)) for i, w in enumerate(fields)], "task_id string, prompt string")
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(fields)], "id int, text string")
+    assert {(r.id, r.task_id, r.windows) for r in leaked_items(docs, "id", "text", items, "task_id", ["prompt"]).collect()} == {(i, f"t{i}", 9) for i in range(10)}
+
+
 @pytest.mark.parametrize("hot", [20_000, 0])
 def test_split_overlaps_equal_brute_force(spark, monkeypatch, hot):
     """With a limit of 0 every seed is hot, and every record consists of such seeds."""
@@ -241,7 +262,7 @@ def test_split_overlaps_equal_brute_force(spark, monkeypatch, hot):
     texts["two"] = texts["s1-Dev"]
     df = spark.createDataFrame(rows, "sample_id string, dataset_name string, split_name string, source string, content string")
     configs = spark.createDataFrame([("qa", "train", "dev", "eval"), ("web", "train", "val", "test")], "dataset_name string, train_split string, val_split string, test_split string")
-    found = split_overlaps(df, configs, threshold=0.6, min_words=20, shingle_words=3, with_coverage=True).collect()
+    found = split_overlaps(df, configs, threshold=0.6, min_words=20, shingle_words=3).collect()
     train = {k for k in texts if k.endswith("train") or k == "two"}
     want = {(a, b) for a in train for b in set(texts) - train if similarity(texts[a], texts[b]) >= 0.6}
     assert {(r.sample_train, r.sample_eval) for r in found} == want and len(want) > 30

@@ -4,8 +4,8 @@ Every window of ``window`` words of an evaluation item and of the corpus gets a
 64-bit SimHash of its words.  The 64 bits are cut into ``radius + 1`` blocks; two
 fingerprints within the radius agree in one block at least, so looking every
 corpus window up in one table per block meets all item windows within the
-radius.  Those are verified by the weighted similarity of their word shingles
-and, for a similarity of 1, by the words in order.
+radius.  The weighted similarity of their word shingles verifies those and, where
+all shingles are asked for, the words in order.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from textloom.llm.textcore import U, Words, mix, slices
 from textloom.session import spread
 
-ITEM_BLOCK = 4_000  # items per pass: bounds the broadcast index; more items take more passes
+ITEM_CHARS = 8_000_000  # characters of items per pass: bounds the broadcast index; more items take more passes
 
 
 def simhashes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,10 +104,10 @@ def _sequence_hashes(words: Words, where: np.ndarray, window: int) -> np.ndarray
     return mix(total)
 
 
-def _find(index: ItemIndex, threshold: float):
-    names = pa.array(index.tasks, pa.string())
-
+def _find(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: ItemIndex = shared.value
+        names = pa.array(index.tasks, pa.string())
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in slices([len(t) for t in texts], 1 << 19):
@@ -121,49 +121,55 @@ def _find(index: ItemIndex, threshold: float):
                 gram_at = np.zeros(len(words.hash) + 1, np.int64)
                 gram_at[place] = np.arange(len(place))
                 alike = index.similarity(grams[gram_at[at[:, None] + np.arange(index.window - 2)]], item)
-                same = _sequence_hashes(words, at, index.window) == index.exact[item]
-                keep = same if threshold >= 1 else same | (alike >= threshold)
-                at, item = at[keep], item[keep]
+                keep = alike >= threshold - 1e-9
+                at, item, alike = at[keep], item[keep], alike[keep]
+                if threshold >= 1:
+                    same = _sequence_hashes(words, at, index.window) == index.exact[item]
+                    at, item, alike = at[same], item[same], alike[same]
                 count = index.task_start[item + 1] - index.task_start[item]
                 ends = np.cumsum(count)
                 task = index.task_of[np.repeat(index.task_start[item], count) + np.arange(count.sum()) - np.repeat(ends - count, count)]
-                doc, at = np.repeat(words.text[at], count), np.repeat(at - words.first[words.text[at]], count)
+                doc, at, alike = np.repeat(words.text[at], count), np.repeat(at - words.first[words.text[at]], count), np.repeat(alike, count)
                 if not len(doc):
                     continue
-                # per document and task: how many windows, and where the first begins
+                # per document and task: how many windows of the document, where the first begins, and the best similarity
                 order = np.lexsort((at, task, doc))
-                doc, task, at = doc[order], task[order], at[order]
+                doc, task, at, alike = doc[order], task[order], at[order], alike[order]
                 new = np.nonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(task, prepend=-1) != 0))[0]
-                size = np.diff(np.append(new, len(doc)))
+                size = np.add.reduceat((np.diff(at, prepend=-1) != 0).astype(np.int64) | np.isin(np.arange(len(at)), new), new)
+                best = np.round(np.maximum.reduceat(alike, new), 4)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(doc[new] + part.start)), names.take(pa.array(task[new])), pa.array(size.astype(np.int64)), pa.array(at[new].astype(np.int64))],
-                    names=["id", "task_id", "windows", "first_word"],
+                    [batch.column(0).take(pa.array(doc[new] + part.start)), names.take(pa.array(task[new])), pa.array(size.astype(np.int64)), pa.array(at[new].astype(np.int64)), pa.array(best)],
+                    names=["id", "task_id", "windows", "first_word", "similarity"],
                 )
 
     return run
 
 
 def leaked_items(corpus: DataFrame, id_col: str, text_col: str, items: DataFrame, task_col: str, field_cols: list[str], *, window: int = 12, radius: int = 3, threshold: float = 1.0) -> DataFrame:
-    """``(id, task_id, windows, first_word)``: corpus texts holding windows of an item's fields.
+    """``(id, task_id, windows, first_word, similarity)``: corpus texts holding windows of an item's fields.
 
     Each field is a string or an array of strings, whose elements count one by
-    one.  With ``threshold`` 1 a window counts only if its words stand there in
-    order; below 1 also if the weighted share of its three-word shingles reaches
-    the threshold.  If several items hold the same words each is reported.  The
-    corpus is read once for every ``ITEM_BLOCK`` items and never shuffled; a
-    record delivered again gives its rows once.  Null ids, texts and fields,
-    texts under ``window`` words, and empty tables give no rows.
+    one.  A window of the corpus within ``radius`` bits of one of the item counts
+    if it holds the share ``threshold`` of that one's three-word shingles, rare
+    ones weighing more; with ``threshold`` 1 its words must also stand there in
+    order.  ``windows`` is the number of such windows and ``similarity`` the best
+    share.  If several items hold the same words each is reported.  The corpus is
+    read once for every ``ITEM_CHARS`` characters of items and never shuffled; a
+    record delivered again gives its rows once.  Null ids, texts and fields, texts
+    and fields under ``window`` words, and empty tables give no rows.
     """
     parts = [F.col(c) if items.schema[c].dataType.typeName() == "array" else F.array(c) for c in field_cols]
     fields = items.select(F.col(task_col).cast("string").alias("task"), F.explode(F.concat(*(F.coalesce(p, F.array().cast("array<string>")) for p in parts))).alias("text"))
     fields = fields.where("task is not null and text is not null")
     kind = corpus.schema[id_col].dataType.simpleString()
     docs = spread(corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null"))
-    blocks = -(-fields.select("task").distinct().count() // ITEM_BLOCK)
+    size = fields.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // ITEM_CHARS))
     found = None
-    for b in range(max(1, blocks)):
-        block = fields if blocks <= 1 else fields.where(F.pmod(F.xxhash64("task"), F.lit(blocks)) == b)
-        index = ItemIndex([(r.task, r.text) for r in block.collect()], window, radius)
-        got = docs.mapInArrow(_find(index, threshold), f"id {kind}, task_id string, windows bigint, first_word bigint")
+    for b in range(blocks):
+        block = fields if blocks == 1 else fields.where(F.pmod(F.xxhash64("task"), F.lit(blocks)) == b)
+        shared = corpus.sparkSession.sparkContext.broadcast(ItemIndex([(r.task, r.text) for r in block.collect()], window, radius))
+        got = docs.mapInArrow(_find(shared, threshold), f"id {kind}, task_id string, windows bigint, first_word bigint, similarity double")
         found = got if found is None else found.union(got)
     return found.distinct()

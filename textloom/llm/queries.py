@@ -90,31 +90,32 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return broken_pairs(*_read(spark, sf, "instruction_records", "chat_messages"), _languages(spark, sf))
 
 
-def _overlaps(spark: SparkSession, sf: str, coverage: bool) -> DataFrame:
-    return split_overlaps(*_read(spark, sf, "split_samples", "dataset_configs"), threshold=0.6, min_words=20, shingle_words=3, with_coverage=coverage)
+def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return split_overlaps(*_read(spark, sf, "split_samples", "dataset_configs"), threshold=0.6, min_words=20, shingle_words=3)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = _overlaps(spark, sf, False)
-    return pairs.select(F.least("sample_train", "sample_eval").alias("sample_a"), F.greatest("sample_train", "sample_eval").alias("sample_b")).distinct()
+    return _overlaps(spark, sf).select(F.least("sample_train", "sample_eval").alias("sample_a"), F.greatest("sample_train", "sample_eval").alias("sample_b")).distinct()
 
 
 def p6_by_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Per split and source of the evaluation side: pairs, evaluation samples met, and how much of them the alignment covers."""
-    return (
-        _overlaps(spark, sf, True)
-        .groupBy("dataset_eval", "side", "source_eval")
-        .agg(F.count("*").alias("pairs"), F.countDistinct("sample_eval").alias("samples"), F.round(F.avg("coverage_eval"), 4).alias("mean_coverage"), F.round(F.avg("similarity"), 4).alias("mean_similarity"))
-    )
+    """Per split and source of the evaluation side: overlapping pairs, samples of both sides in them, and their mean similarity."""
+    counts = F.count("*").alias("pairs"), F.countDistinct("sample_eval").alias("samples"), F.countDistinct("sample_train").alias("training_samples"), F.round(F.avg("similarity"), 4).alias("mean_similarity")
+    return _overlaps(spark, sf).groupBy("dataset_eval", "side", "source_eval").agg(*counts)
+
+
+def p6_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Per evaluation sample met: its pairs, and how much of it the alignment with the best of them covers."""
+    return _overlaps(spark, sf).groupBy("dataset_eval", "side", "source_eval", "sample_eval").agg(F.count("*").alias("pairs"), F.round(F.max("coverage_eval"), 4).alias("coverage"), F.max("chained_seeds").alias("chained_seeds"))
 
 
 def p7_sequences(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(_document_tokens(spark, sf).select("doc_id", "n_tokens"), _read(spark, sf, "pretraining_configs")[0])
 
 
-def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+def _leaks(spark: SparkSession, sf: str, **how) -> DataFrame:
     documents, items = _read(spark, sf, "documents", "benchmark_problems")
-    return leaked_items(documents, "doc_id", "text", items, "task_id", ["prompt", "canonical_solution", "test_cases"])
+    return leaked_items(documents, "doc_id", "text", items, "task_id", ["prompt", "canonical_solution", "test_cases"], **how)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,6 +126,11 @@ def p8_by_task(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf).groupBy("task_id").agg(F.count("*").alias("documents"), F.sum("windows").alias("windows"))
 
 
+def p8_altered(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a passage of 24 words that holds seven tenths of the shingles of an item's passage, by weight."""
+    return _leaks(spark, sf, window=24, threshold=0.7).select(F.col("id").alias("doc_id"), "task_id", "windows", "similarity")
+
+
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
     return shared_spans(_read(spark, sf, "documents")[0], "doc_id", "text", length=300)
 
@@ -137,7 +143,7 @@ def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
     return _spans(spark, sf).select(F.col("id").alias("doc_id"), "n_chars", F.size("spans").alias("spans"), "shared_chars")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p2_mixture, p2_shares, p3_found, p3_pieces, p4_token_budget, p5_found, p6_found, p6_by_split, p7_sequences, p8_found, p8_by_task, p9_found, p9_shared)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p2_mixture, p2_shares, p3_found, p3_pieces, p4_token_budget, p5_found, p6_found, p6_by_split, p6_coverage, p7_sequences, p8_found, p8_by_task, p8_altered, p9_found, p9_shared)}
 
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 

@@ -13,13 +13,12 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import strip
-from textloom.llm.sketch import SKETCH, bit_sketch, distinct_shingles, jaccard, near, one_body_each, shingle_arrays, text_key
+from textloom.llm.sketch import SKETCH, bit_sketch, distinct_shingles, near, one_body_each, text_key
 from textloom.llm.textcore import Words, signed, slices, window_minima
 from textloom.session import materialize
 
@@ -84,15 +83,17 @@ def _seeds(min_words: int, shingle_words: int):
     return run
 
 
-def align(a: np.ndarray, b: np.ndarray, seed_words: int = SEED_WORDS) -> tuple[int, int]:
-    """(words covered, chained seeds) of two word-hash arrays.
+def align(a: np.ndarray, b: np.ndarray, seeds_a: tuple[np.ndarray, np.ndarray], seeds_b: tuple[np.ndarray, np.ndarray], seed_words: int = SEED_WORDS) -> tuple[int, int]:
+    """(words covered, chained seeds) of two word-hash arrays with their winnowed seeds (hash, word position).
 
-    The longest chain of seeds that ascend in both texts is found by patience
-    sorting and every seed of it is extended while words agree.
+    The longest chain of shared seeds that ascend in both texts is found by
+    patience sorting, and every seed of it is extended while words agree.
     """
-    grams = lambda x: {tuple(x[i : i + seed_words]): i for i in range(len(x) - seed_words + 1)}
-    first, second = grams(a.tolist()), grams(b.tolist())
-    hits = sorted((i, second[g]) for g, i in first.items() if g in second)
+    second: dict[int, list[int]] = {}
+    for h, j in zip(*(x.tolist() for x in seeds_b)):
+        second.setdefault(h, []).append(j)
+    # places of one seed descend, so that a chain takes one of them at most
+    hits = [(i, j) for h, i in zip(*(x.tolist() for x in seeds_a)) for j in reversed(second.get(h, ()))]
     tails: list[int] = []
     at: list[int] = []
     back: list[int] = []
@@ -119,23 +120,51 @@ def align(a: np.ndarray, b: np.ndarray, seed_words: int = SEED_WORDS) -> tuple[i
     return covered, len(chain)
 
 
-def _coverage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for a, b in zip(pdf.pop("text_a"), pdf.pop("text_b")):
-            words = Words([a, b])
-            x, y = words.hash[: words.first[1]], words.hash[words.first[1] :]
-            covered, seeds = align(x, y)
-            out.append((covered / max(1, len(x)), covered / max(1, len(y)), seeds))
-        yield pdf.assign(**dict(zip(("coverage_train", "coverage_eval", "chained_seeds"), zip(*out) if out else ((), (), ()))))
+_ALIGNED = "train_tid bigint, eval_tid bigint, similarity double, coverage_train double, coverage_eval double, chained_seeds bigint"
 
 
-def overlapping_texts(members: DataFrame, *, threshold: float = 0.8, min_words: int = 5, shingle_words: int = 5, with_coverage: bool = False) -> DataFrame:
-    """Pairs of texts ``(train_tid, eval_tid, similarity)`` across the two sides of ``members(sample_id, tid, train, content)``.
+def _aligned(threshold: float, shingle_words: int):
+    """Chain and extend the seeds of each candidate pair; of those with a chain, keep the similar ones."""
 
-    A copy on both sides pairs with itself.  A seed that makes over ``HOT_PAIRS``
-    pairs is joined in blocks of ``BLOCK`` records of each side, so that no task
-    holds all of its pairs; sketch and sizes are compared inside the join.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.asarray(batch.column(i)) for i in (0, 1)]
+            first, second = (batch.column(i).to_pylist() for i in (2, 3))
+            for part in slices([len(x) + len(y) for x, y in zip(first, second)]):
+                both = [t for pair in zip(first[part], second[part]) for t in pair]
+                words = Words(both)
+                seed, place = winnow(words)
+                seed_at = np.searchsorted(words.text[place], np.arange(len(both) + 1))
+                grams, owner, _ = distinct_shingles(words, shingle_words)
+                gram_at = np.searchsorted(owner, np.arange(len(both) + 1))
+                out: list[tuple] = []
+                for k in range(0, len(both), 2):
+                    own = [slice(words.first[t], words.first[t + 1]) for t in (k, k + 1)]
+                    seeds = [(seed[seed_at[t] : seed_at[t + 1]], place[seed_at[t] : seed_at[t + 1]] - words.first[t]) for t in (k, k + 1)]
+                    covered, chained = align(*(words.hash[o] for o in own), *seeds)
+                    sets = [grams[gram_at[t] : gram_at[t + 1]] for t in (k, k + 1)]
+                    shared = len(np.intersect1d(*sets, assume_unique=True))
+                    alike = shared / max(1, len(sets[0]) + len(sets[1]) - shared)
+                    if chained and alike >= threshold:
+                        out.append((part.start + k // 2, alike, *(covered / (o.stop - o.start) for o in own), chained))
+                row, *rest = zip(*out) if out else ((),) * 5
+                row = np.array(row, np.int64)
+                types = (pa.float64(), pa.float64(), pa.float64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(i[row]) for i in ids), *(pa.array(c, t) for c, t in zip(rest, types))], names=[c.split()[0] for c in _ALIGNED.split(", ")])
+
+    return run
+
+
+def overlapping_texts(members: DataFrame, *, threshold: float = 0.8, min_words: int = 5, shingle_words: int = 5) -> DataFrame:
+    """Pairs of texts across the two sides of ``members(sample_id, tid, train, content)`` that overlap.
+
+    Returns ``(train_tid, eval_tid, similarity, coverage_train, coverage_eval,
+    chained_seeds)``.  Pairs that share a winnowed seed are candidates; sketch and
+    sizes rule out most, the seeds of the others are chained and extended, and the
+    exact similarity decides.  A copy on both sides pairs with itself.  A seed
+    that makes over ``HOT_PAIRS`` pairs is joined in blocks of ``BLOCK`` records
+    of each side, so that no task holds all of its pairs; sketch and sizes are
+    compared inside the join.
     """
     least = max(min_words, SEED_WORDS, shingle_words)
     made = materialize(members.select("tid", "train", "content").mapInArrow(_seeds(least, shingle_words), "seed bigint, tid bigint, train boolean, kind int"), "winnow")
@@ -154,30 +183,26 @@ def overlapping_texts(members: DataFrame, *, threshold: float = 0.8, min_words:
     pairs = materialize(pairs, "pairs")
     wanted = pairs.select(F.col("train_tid").alias("tid")).union(pairs.select("eval_tid")).distinct()
     bodies = one_body_each(members.withColumnRenamed("sample_id", "id"), wanted, "content")
-    sets = materialize(shingle_arrays(bodies, "tid", "text", shingle_words), "sets")
-    a, b = (sets.select(F.col("key").alias(f"{n}_tid"), F.col("shingles").alias(n)) for n in ("train", "eval"))
-    found = pairs.join(a, "train_tid").join(b, "eval_tid").select("train_tid", "eval_tid", jaccard(F.col("train"), F.col("eval")).alias("similarity")).where(F.col("similarity") >= threshold)
-    if not with_coverage:
-        return found
-    ta, tb = (bodies.select(F.col("tid").alias(f"{n}_tid"), F.col("text").alias(f"text_{s}")) for n, s in (("train", "a"), ("eval", "b")))
-    return found.join(ta, "train_tid").join(tb, "eval_tid").select("train_tid", "eval_tid", "similarity", "text_a", "text_b").mapInPandas(
-        _coverage, "train_tid bigint, eval_tid bigint, similarity double, coverage_train double, coverage_eval double, chained_seeds bigint"
-    )
+    bodies = materialize(bodies, "bodies")
+    first, second = (bodies.select(F.col("tid").alias(f"{n}_tid"), F.col("text").alias(f"text_{s}")) for n, s in (("train", "a"), ("eval", "b")))
+    both = pairs.join(first, "train_tid").join(second, "eval_tid").select("train_tid", "eval_tid", "text_a", "text_b")
+    return both.mapInArrow(_aligned(threshold, shingle_words), _ALIGNED)
 
 
-def split_overlaps(samples: DataFrame, configs: DataFrame, *, threshold: float = 0.8, min_words: int = 5, shingle_words: int = 5, with_coverage: bool = False) -> DataFrame:
+def split_overlaps(samples: DataFrame, configs: DataFrame, *, threshold: float = 0.8, min_words: int = 5, shingle_words: int = 5) -> DataFrame:
     """One row per training and evaluation sample that overlap.
 
     Columns: ``sample_train, sample_eval, side, dataset_train, dataset_eval,
-    source_train, source_eval, similarity`` and, if asked for, the share of each
-    record's words that the chained alignment covers.  See ``split_members`` for
+    source_train, source_eval, similarity, coverage_train, coverage_eval,
+    chained_seeds``: coverage is the share of the record's words that the chained
+    and extended seeds cover.  See ``split_members`` for
     what takes part; records below ``min_words`` words do not.  An empty table
     gives an empty result.
     """
     members = materialize(
         split_members(samples, configs).withColumn("tid", text_key(F.col("content"))).withColumn("train", F.col("side") == "train"), "members"
     )
-    found = overlapping_texts(members, threshold=threshold, min_words=min_words, shingle_words=shingle_words, with_coverage=with_coverage)
+    found = overlapping_texts(members, threshold=threshold, min_words=min_words, shingle_words=shingle_words)
     who = members.select("sample_id", "dataset_name", "side", "source", "tid", "train").distinct()
     a = who.where("train").select(F.col("tid").alias("train_tid"), F.col("sample_id").alias("sample_train"), F.col("dataset_name").alias("dataset_train"), F.col("source").alias("source_train"))
     b = who.where("not train").select(F.col("tid").alias("eval_tid"), F.col("sample_id").alias("sample_eval"), "side", F.col("dataset_name").alias("dataset_eval"), F.col("source").alias("source_eval"))
