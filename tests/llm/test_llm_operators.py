@@ -1,5 +1,6 @@
 """The training-data operators on Spark: brute force on small fixtures, and the awkward cases."""
 
+import hashlib
 import random
 from itertools import combinations
 
@@ -327,9 +328,7 @@ def test_mixing_equals_simulation(spark, factor, repeats):
     weights = {"a": 3.0, "b": 1.0, "c": 1.0}
     plans = spark.createDataFrame([("e", factor, repeats, {"a": 3.0, "B": 1.0, "c": 1.0, "ghost": 2.0, "zero": 0.0})], "experiment_id string, size_factor double, max_repeats int, dataset_weights map<string,double>")
     chosen = mix_to_weights(df, plans, seed=1)
-    h = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("doc_id", F.lit(1)).alias("h")).collect()}
-    buckets = max(1024, spark.sparkContext.defaultParallelism * 8)
-    place = lambda i: (((h[i] % 2**64) >> 33) % buckets, h[i], i)
+    place = lambda i: (int(hashlib.md5(f"{i}:1".encode()).hexdigest()[:15], 16), i)
     order = {d: sorted(((i, n) for i, dom, n in docs if dom and i is not None and n and dom.strip().lower() == d), key=lambda x: place(x[0])) for d in weights}
     want = naive_mix(docs, weights, factor, repeats, order)
     got = {r.doc_id: r.repeats for r in chosen.collect()}

@@ -9,7 +9,7 @@ every domain in proportion to its weight until its repeats are used up.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.session import materialize
@@ -17,6 +17,11 @@ from textloom.session import materialize
 BUCKETS = 1024
 
 
+def shuffle_key(key: Column, seed: int) -> Column:
+    """Place of a document in the shuffled order of its domain: the first 60 bits of the MD5 of ``key:seed``."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("bigint")
+
+
 def domain_targets(configs: DataFrame) -> DataFrame:
     """``(experiment_id, size_factor, max_repeats, domain, weight)``; weights are relative, names without regard to case."""
     rows = configs.select("experiment_id", "size_factor", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"), F.explode("dataset_weights").alias("name", "w"))
@@ -52,9 +57,9 @@ def mix_to_weights(docs: DataFrame, configs: DataFrame, *, seed: int = 42) -> Da
     targets = domain_targets(configs)
     own = docs.select("doc_id", F.lower(F.trim("domain")).alias("domain"), "n_tokens").where("doc_id is not null and domain is not null and n_tokens > 0")
     own = own.groupBy("doc_id").agg(F.min(F.struct("domain", "n_tokens")).alias("v")).select("doc_id", "v.*")
-    own = own.join(targets.select("domain").distinct(), "domain", "left_semi").withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
+    own = own.join(targets.select("domain").distinct(), "domain", "left_semi").withColumn("h", shuffle_key(F.col("doc_id"), seed))
     buckets = max(BUCKETS, own.sparkSession.sparkContext.defaultParallelism * 8)
-    own = own.withColumn("bucket", F.shiftrightunsigned("h", 33) % buckets).withColumn("h", F.col("h"))
+    own = own.withColumn("bucket", F.floor(F.col("h") / float(1 << 60) * buckets))
     queue = materialize(_running(own, "domain", ["h", "doc_id"], "bucket", "n_tokens", "served"), "queue")
     totals = queue.groupBy("domain").agg(F.sum("n_tokens").alias("domain_tokens"), F.max("n_tokens").alias("longest"))
     plan = targets.join(totals, "domain")

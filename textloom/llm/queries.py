@@ -1,4 +1,7 @@
-"""Queries of the training-data operators, each over its whole tables with its production parameters."""
+"""Queries of the training-data operators, each over its whole tables with its production parameters.
+
+``oracles.ORACLES`` holds the SQL of those whose results SQL can state.
+"""
 
 from __future__ import annotations
 
@@ -8,16 +11,17 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.chunking import split_oversized
+from textloom.llm.chunking import oversized_items, split_oversized
 from textloom.llm.language import LanguageModel, fit_language_model
 from textloom.llm.leakage import leaked_items
+from textloom.llm.oracles import ORACLES
 from textloom.llm.mixing import mix_to_weights, mixture_shares
 from textloom.llm.near_duplicates import group_pairs, near_duplicate_groups
 from textloom.llm.packing import pack_documents
 from textloom.llm.pair_defects import broken_pairs
 from textloom.llm.shared_spans import shared_spans
 from textloom.llm.split_overlap import split_overlaps
-from textloom.llm.token_budget import token_budget
+from textloom.llm.token_budget import chat_budget, document_budget, knowledge_budget, token_budget
 from textloom.llm.tokens import tokenizer_from_tables, with_token_counts
 from textloom.session import materialize
 
@@ -51,8 +55,14 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = _groups(spark, sf)
-    return a.withColumn("corpus", F.lit("knowledge_documents")).union(b.withColumn("corpus", F.lit("instruction_records")))
+    """Class of every record, named by its smallest record, and the number of different texts similar to it."""
+    out = None
+    for corpus, g in zip(("knowledge_documents", "instruction_records"), _groups(spark, sf)):
+        g = materialize(g, "groups")
+        named = g.groupBy("group_id").agg(F.min("id").alias("name"))
+        part = g.join(named, "group_id").select(F.lit(corpus).alias("corpus"), "id", F.col("name").alias("group_id"), "links")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def _document_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,7 +76,8 @@ def p2_mixture(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_shares(spark: SparkSession, sf: str) -> DataFrame:
     docs, configs = _document_tokens(spark, sf), _read(spark, sf, "pretraining_configs")[0]
-    return mixture_shares(materialize(mix_to_weights(docs, configs), "mixture"), docs, configs)
+    shares = mixture_shares(materialize(mix_to_weights(docs, configs), "mixture"), docs, configs)
+    return shares.withColumns({c: F.round(c, 9) for c in ("target_share", "share")})
 
 
 def _pieces(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,6 +93,35 @@ def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _pieces(spark, sf).withColumnRenamed("id", "doc_id")
 
 
+def p3_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cut document put together again from its pieces, and pieces too long or not where the one before ends less the overlap."""
+    knowledge, settings = _read(spark, sf, "knowledge_documents", "chunk_settings")
+    pieces = _pieces(spark, sf)
+    parts = F.array_sort(F.collect_list(F.struct("piece", "begin_char", "end_char", "content")))
+    one = pieces.groupBy(F.col("id").alias("doc_id")).agg(parts.alias("p"))
+    limits = oversized_items(knowledge, "doc_id", "content", "doc_type", settings).select(F.col("id").alias("doc_id"), F.col("size"), "overlap").distinct()
+    upto = lambda i: F.get("p", i)["end_char"]
+    fresh = F.transform("p", lambda x, i: F.when(i == 0, x["content"]).otherwise(F.substr(x["content"], (upto(i - 1) - x["begin_char"] + 1).cast("int"))))
+    text = F.array_join(fresh, "")
+    wrong = lambda x, i: (i > 0) & (upto(i - 1) - x["begin_char"] != F.col("overlap"))
+    return one.join(limits, "doc_id").select(
+        "doc_id", F.length(text).cast("bigint").alias("chars"), F.md5(text).alias("digest"), "overlap",
+        F.size(F.filter("p", lambda x: F.length(x["content"]) > F.col("size"))).cast("bigint").alias("oversized"), F.size(F.filter("p", wrong)).cast("bigint").alias("misplaced"),
+    )
+
+
+def p4_corpora(spark: SparkSession, sf: str) -> DataFrame:
+    documents, knowledge = _read(spark, sf, "documents", "knowledge_documents")
+    tokenizer, none = _tokenizer(spark, sf), F.lit(None).cast("string")
+    sums = ("records", "usable", "tokens", "unknown_tokens")
+    a = document_budget(documents, tokenizer).select(F.lit("documents").alias("corpus"), "source", "lang", "domain", none.alias("doc_type"), *sums)
+    return a.union(knowledge_budget(knowledge, tokenizer).select(F.lit("knowledge_documents").alias("corpus"), none.alias("source"), "lang", none.alias("domain"), "doc_type", *sums))
+
+
+def p4_batches(spark: SparkSession, sf: str) -> DataFrame:
+    return chat_budget(*_read(spark, sf, "chat_messages", "conversation_statistics"), _tokenizer(spark, sf), None)
+
+
 def p4_token_budget(spark: SparkSession, sf: str) -> DataFrame:
     return token_budget(*_read(spark, sf, "documents", "knowledge_documents", "chat_messages", "conversation_statistics"), _tokenizer(spark, sf), _languages(spark, sf))
 
@@ -113,6 +153,21 @@ def p7_sequences(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(_document_tokens(spark, sf).select("doc_id", "n_tokens"), _read(spark, sf, "pretraining_configs")[0])
 
 
+def p7_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Per experiment: what was packed, sequences over capacity or with a wrong figure of unused room, and whether first-fit's bound of sequences holds."""
+    configs = _read(spark, sf, "pretraining_configs")[0]
+    packed = materialize(p7_sequences(spark, sf), "packed")
+    lengths = configs.select("experiment_id", F.col("max_sequence_length").cast("bigint").alias("capacity"))
+    filled = packed.groupBy("experiment_id", "sequence_id").agg(F.sum("tokens").alias("used"), F.max("unused").alias("unused")).where("sequence_id is not null").join(lengths, "experiment_id")
+    bad = filled.groupBy("experiment_id").agg(
+        F.count_if(F.col("used") > F.col("capacity")).alias("overfull"), F.count_if(F.col("used") + F.col("unused") != F.col("capacity")).alias("wrong_unused"),
+        (F.count("*") <= F.sum("used") * 1.7 / F.max("capacity") + 1).alias("as_few_as_first_fit"),
+    )
+    documents = packed.groupBy("experiment_id", "doc_id").agg(F.count("*").alias("parts"), F.sum("tokens").alias("tokens"))
+    whole = documents.groupBy("experiment_id").agg(F.count("*").alias("documents"), F.count_if(F.col("parts") > 1).alias("cut"), F.sum("parts").alias("parts"), F.sum("tokens").alias("tokens"))
+    return whole.join(bad, "experiment_id").select("experiment_id", "documents", F.col("cut").alias("cut_documents"), "parts", "tokens", "overfull", "wrong_unused", "as_few_as_first_fit")
+
+
 def _leaks(spark: SparkSession, sf: str, **how) -> DataFrame:
     documents, items = _read(spark, sf, "documents", "benchmark_problems")
     return leaked_items(documents, "doc_id", "text", items, "task_id", ["prompt", "canonical_solution", "test_cases"], **how)
@@ -143,47 +198,4 @@ def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
     return _spans(spark, sf).select(F.col("id").alias("doc_id"), "n_chars", F.size("spans").alias("spans"), "shared_chars")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p2_mixture, p2_shares, p3_found, p3_pieces, p4_token_budget, p5_found, p6_found, p6_by_split, p6_coverage, p7_sequences, p8_found, p8_by_task, p8_altered, p9_found, p9_shared)}
-
-_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
-
-
-def _shingles(source: str, min_words: int) -> str:
-    """CTEs w, s and n: words, distinct three-word shingles and their number for ``source(c, id, x)``."""
-    return f"""t AS ({source}), w AS (SELECT c, id, {_WORDS.format('x')} AS w FROM t),
-        s AS (SELECT DISTINCT c, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= {min_words}),
-        n AS (SELECT c, id, count(*) AS n FROM s GROUP BY c, id)"""
-
-
-_ITEMS = f"""f AS (SELECT task_id, prompt AS x FROM benchmark_problems UNION ALL SELECT task_id, canonical_solution FROM benchmark_problems UNION ALL SELECT task_id, unnest(test_cases) FROM benchmark_problems),
-        fw AS (SELECT task_id, {_WORDS.format('x')} AS w FROM f WHERE x IS NOT NULL),
-        iw AS (SELECT DISTINCT task_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT task_id, w, unnest(range(1, len(w) - 10)) AS i FROM fw)),
-        dw AS (SELECT doc_id, i, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL)))"""
-_SPLIT = "lower(trim(split_name))"
-
-#: the same results from their definition, by plain joins; DuckDB runs them on the small tables
-ORACLES: dict[str, str] = {
-    "p1_found": f"""
-        WITH RECURSIVE {_shingles("SELECT 'k' AS c, doc_id AS id, any_value(content) AS x FROM knowledge_documents GROUP BY doc_id UNION ALL SELECT 'i', record_id, any_value(output) FROM instruction_records GROUP BY record_id", 30)},
-        o AS (SELECT a.c, a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.c = b.c AND a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3),
-        e AS (SELECT o.c, a, b FROM o JOIN n x ON x.c = o.c AND x.id = a JOIN n y ON y.c = o.c AND y.id = b WHERE 2 * k >= x.n + y.n - k),
-        l AS (SELECT c, a, b FROM e UNION ALL SELECT c, b, a FROM e),
-        r AS (SELECT c, a, b FROM l UNION SELECT r.c, r.a, l.b FROM r JOIN l ON l.c = r.c AND l.a = r.b)
-        SELECT a AS record_a, b AS record_b FROM r WHERE a < b""",
-    "p3_found": """
-        SELECT DISTINCT k.doc_id
-        FROM knowledge_documents k
-        LEFT JOIN chunk_settings s ON lower(trim(s.doc_type)) = lower(trim(k.doc_type))
-        CROSS JOIN (SELECT chunk_size FROM chunk_settings WHERE doc_type = 'txt') t
-        WHERE length(k.content) > coalesce(s.chunk_size, t.chunk_size)""",
-    "p6_found": f"""
-        WITH m AS (SELECT DISTINCT sample_id, content, CASE WHEN {_SPLIT} = lower(train_split) THEN 't' WHEN {_SPLIT} IN (lower(val_split), lower(test_split)) THEN 'e' END AS c FROM split_samples JOIN dataset_configs USING (dataset_name)),
-        {_shingles("SELECT c, sample_id AS id, content AS x FROM m WHERE c IS NOT NULL AND content IS NOT NULL", 20)},
-        o AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.c = 't' AND b.c = 'e' GROUP BY 1, 2)
-        SELECT DISTINCT least(a, b) AS sample_a, greatest(a, b) AS sample_b FROM o JOIN n x ON x.c = 't' AND x.id = a JOIN n y ON y.c = 'e' AND y.id = b WHERE a <> b AND k >= 0.6 * (x.n + y.n - k)""",
-    "p8_found": f"WITH {_ITEMS} SELECT DISTINCT doc_id, task_id FROM dw JOIN iw USING (g)",
-    "p8_by_task": f"WITH {_ITEMS} SELECT task_id, count(DISTINCT doc_id) AS documents, CAST(count(DISTINCT (doc_id, i)) AS BIGINT) AS windows FROM dw JOIN iw USING (g) GROUP BY task_id",
-    "p9_found": """
-        WITH w AS (SELECT doc_id, hash(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))
-        SELECT DISTINCT doc_id FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1) USING (h)""",
-}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p2_mixture, p2_shares, p3_found, p3_pieces, p3_rebuilt, p4_token_budget, p4_corpora, p4_batches, p5_found, p6_found, p6_by_split, p6_coverage, p7_sequences, p7_totals, p8_found, p8_by_task, p8_altered, p9_found, p9_shared)}

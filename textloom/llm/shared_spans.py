@@ -46,7 +46,10 @@ def _seeds(length: int):
 
 
 def _windows(length: int):
-    """(hash, tid, at, hot) of every full window whose smallest seed is repeated.
+    """(hash, check, tid, at, hot) of every full window whose smallest seed is repeated.
+
+    ``check`` holds 32 bits of a second, independent hash: with 96 bits, a false
+    match is not expected among 10**12 windows.
 
     The smallest seed depends on the window's characters alone and every text
     with the window selects it, so a window is hot in all of its texts or in none.
@@ -59,6 +62,7 @@ def _windows(length: int):
             for part in slices([len(t) for t in texts]):
                 chars = Chars(texts[part])
                 h, seed = chars.window_hashes(length), chars.window_hashes(width)
+                second = (Chars(texts[part], salt=1).window_hashes(length) >> U(32)).astype(np.uint32).view(np.int32)
                 out = []
                 for i in range(part.stop - part.start):
                     own = seed[chars.start[i] : chars.start[i + 1] - width + 1]
@@ -66,9 +70,9 @@ def _windows(length: int):
                     repeated = own[[p["at"] for p in places[part.start + i]]]
                     hot = own[[p["at"] for p in places[part.start + i] if p["hot"]] or slice(0)]
                     at = np.nonzero(np.isin(low, repeated))[0]
-                    out.append((h[chars.start[i] + at], np.full(len(at), tids[part.start + i]), at.astype(np.int32), np.isin(low[at], hot)))
-                hashes, owner, at, hot = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, U),) * 4
-                yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(owner), pa.array(at), pa.array(hot)], names=["hash", "tid", "at", "hot"])
+                    out.append((h[chars.start[i] + at], second[chars.start[i] + at], np.full(len(at), tids[part.start + i]), at.astype(np.int32), np.isin(low[at], hot)))
+                hashes, *rest = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), *map(pa.array, rest)], names=["hash", "check", "tid", "at", "hot"])
 
     return run
 
@@ -111,13 +115,13 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, *, length: int = 300
     places = seeds.join(repeated.select("seed", "hot"), "seed").groupBy("tid").agg(F.collect_set(F.struct("at", "hot")).alias("places"))
     near = classes.join(places, "tid").select(F.col("rep").alias("id"), F.col("tid").alias("rep_tid"), "places")
     bodies = docs.join(near, "id").where("tid = rep_tid").select("tid", "text", "places")
-    windows = materialize(bodies.mapInArrow(_windows(length), "hash bigint, tid bigint, at int, hot boolean"), "windows")
-    same = Window.partitionBy("hash")
+    windows = materialize(bodies.mapInArrow(_windows(length), "hash bigint, check int, tid bigint, at int, hot boolean"), "windows")
+    same = Window.partitionBy("hash", "check")
     plain = windows.where("not hot").withColumns({"lo": F.min("tid").over(same), "hi": F.max("tid").over(same)}).where("lo < hi").select("tid", "at")
     # hot is a property of the window itself (see _windows), so hot and plain windows never match each other
     hot = windows.where("hot")
-    hot_hashes = hot.groupBy("hash").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo < hi").select("hash")
-    starts = plain.union(hot.join(hot_hashes, "hash").select("tid", "at"))
+    hot_hashes = hot.groupBy("hash", "check").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo < hi").select("hash", "check")
+    starts = plain.union(hot.join(hot_hashes, ["hash", "check"]).select("tid", "at"))
     spans = starts.groupBy("tid").agg(F.collect_list("at").alias("at")).mapInArrow(_merge(length), "tid bigint, spans array<struct<begin:bigint,end:bigint>>")
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("begin"), F.col("n_chars").cast("bigint").alias("end")))
     return (

@@ -69,16 +69,16 @@ def slices(sizes: Sequence[int], limit: int = 1 << 20) -> Iterator[slice]:
 
 
 class Chars:
-    """Code points of a batch of texts with prefix sums for Rabin-Karp window hashes."""
+    """Code points of a batch of texts with prefix sums for Rabin-Karp window hashes; another ``salt`` gives independent hashes."""
 
-    def __init__(self, texts: Sequence[str]):
+    def __init__(self, texts: Sequence[str], salt: int = 0):
         self.code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.length = np.fromiter(map(len, texts), np.int64, len(texts))
         self.start = np.concatenate([[0], np.cumsum(self.length)])
         n = len(self.code)
         powers, self.inverse = _power_tables(n)
         self.prefix = np.zeros(n + 1, U)
-        np.cumsum(mix(self.code.astype(U) + U(0x51ED27)) * powers[:n], out=self.prefix[1:])
+        np.cumsum(mix(self.code.astype(U) + U(0x51ED27 + (salt << 32))) * powers[:n], out=self.prefix[1:])
 
     def window_hashes(self, width: int) -> np.ndarray:
         """Hash of the ``width`` characters that begin at each position (also across text ends)."""

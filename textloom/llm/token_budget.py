@@ -52,16 +52,17 @@ def knowledge_budget(knowledge: DataFrame, tokenizer: TokenizerSpec) -> DataFram
     return token_cube(rows, ["doc_id"], "content", ["doc_type", "lang"], tokenizer)
 
 
-def chat_budget(chat: DataFrame, statistics: DataFrame, tokenizer: TokenizerSpec, model: LanguageModel) -> DataFrame:
-    """Budget of chat by batch, source and detected language, against the reported totals.
+def chat_budget(chat: DataFrame, statistics: DataFrame, tokenizer: TokenizerSpec, model: LanguageModel | None) -> DataFrame:
+    """Budget of chat by batch, source and, with a ``model``, detected language, against the reported totals.
 
     On the rows of a whole batch ``reported_tokens`` is the batch's own figure
     and ``report`` says what it is worth: ``missing``, ``zero``, ``equal``,
     ``padded`` (a round multiple above the content) or ``different``.
     """
-    cube = token_cube(chat.select("conv_id", "turn", "batch_id", "source", "content"), ["conv_id", "turn"], "content", ["batch_id", "source"], tokenizer, language="lang", model=model)
+    cube = token_cube(chat.select("conv_id", "turn", "batch_id", "source", "content"), ["conv_id", "turn"], "content", ["batch_id", "source"], tokenizer, language="lang" if model else None, model=model)
+    lang = ["lang"] if model else []
     own = statistics.groupBy(F.col("batch_id").alias("b")).agg(F.max("total_tokens").alias("reported_tokens"), F.max("total_conversations").alias("conversations"))
-    whole = (F.col("source") == ALL) & (F.col("lang") == ALL) & (F.col("batch_id") != ALL)
+    whole = (F.col("source") == ALL) & (F.col("batch_id") != ALL) & (F.col("lang") == ALL if model else F.lit(True))
     reported = F.when(whole, F.col("reported_tokens"))
     report = (
         F.when(~whole, F.lit(None))
@@ -71,7 +72,7 @@ def chat_budget(chat: DataFrame, statistics: DataFrame, tokenizer: TokenizerSpec
         .when((reported > F.col("tokens")) & (reported % F.greatest("conversations", F.lit(1)) == 0), "padded")
         .otherwise("different")
     )
-    return cube.join(own, cube.batch_id == own.b, "left").select("batch_id", "source", "lang", "records", "usable", "tokens", "unknown_tokens", reported.alias("reported_tokens"), report.alias("report"))
+    return cube.join(own, cube.batch_id == own.b, "left").select("batch_id", "source", *lang, "records", "usable", "tokens", "unknown_tokens", reported.alias("reported_tokens"), report.alias("report"))
 
 
 def token_budget(documents: DataFrame, knowledge: DataFrame, chat: DataFrame, statistics: DataFrame, tokenizer: TokenizerSpec, model: LanguageModel) -> DataFrame:
