@@ -1,8 +1,11 @@
 """Literal vectors and invariants of the core operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from textloom import session
 from textloom.functions import arrays as A
 from textloom.functions import text as T
 from textloom.operators import agent, conversation, evaluation, retrieval, stats, tensors, tokenizer, validate, windows
@@ -251,3 +254,94 @@ def test_byte_pairs_to_a_vocabulary_size(spark):
     # no pairs are left when the text is one token
     left, right, n = tokenizer.train_to_size(df, "text", 500)[-1]
     assert left + right == "aaabdaaabac" and n == 2
+
+
+def naive_merges(texts, merges):
+    """Byte-pair training by its definition: count, take the most frequent pair (of ties the largest), join it from the left."""
+    rows, out = [list(t) for t in texts], []
+    for _ in range(merges):
+        count = {}
+        for r in rows:
+            for p in zip(r, r[1:]):
+                count[p] = count.get(p, 0) + 1
+        if not count:
+            break
+        n, (a, b) = max((n, p) for p, n in count.items())
+        out.append((a, b, n))
+        for r in rows:
+            i = 0
+            while i < len(r) - 1:
+                if (r[i], r[i + 1]) == (a, b):
+                    r[i : i + 2] = [a + b]
+                i += 1
+    return out
+
+
+@pytest.mark.parametrize("top", [1000, 6])
+def test_byte_pair_training_equals_its_definition(spark, monkeypatch, top):
+    monkeypatch.setattr(tokenizer, "TOP", top)
+    monkeypatch.setattr(tokenizer, "PENDING", 5)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aabcd é") for _ in range(rng.randrange(60))) for _ in range(40)] + ["aaaa", "aaaaa", "", "x"]
+    texts += texts[:4]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    assert tokenizer.train_merges(df, "text", 40) == naive_merges(texts, 40)
+
+
+def test_running_offsets_with_ties_and_null_keys(spark):
+    rows = [("a", 3), ("a", 4), ("b", 1), (None, 2), ("c", None), ("d", 5)]
+    got = windows.running_offset(spark.createDataFrame(rows, "k string, n int"), "k", "n").collect()
+    spans = sorted((r.offset, r.offset + (r.n or 0)) for r in got)
+    assert len(got) == 6 and spans[0][0] == 0 and spans[-1][1] == 15 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    assert {r.k: r.offset for r in got if r.k in (None, "b", "d")} == {None: 0, "b": 9, "d": 10}
+
+
+def test_files_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.py").write_bytes("x = 1\r\n\n# é\n".encode())
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "b.md").write_text("one\ntwo")
+    (tmp_path / "sub" / "a.md").write_text("later path, same stem")
+    (tmp_path / "empty.txt").write_text(" \n")
+    assert {r.text for r in readers.read_whole_texts(spark, str(tmp_path), "*.py").collect()} == {"x = 1\r\n\n# é\n"}
+    assert {(r.doc_id, r.doc_type, r.content) for r in readers.read_documents(spark, str(tmp_path)).collect()} == {("a", "markdown", "later path, same stem"), ("b", "markdown", "one\ntwo")}
+    assert [(r.language, r.text) for r in readers.read_code(spark, str(tmp_path)).collect()] == [("python", "x = 1\r\n\n# é\n")]
+
+
+def test_token_files_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [i * 1000 + k for k in range(i)]) for i in range(1, 40)] + [(99, None), (98, [])], "id int, ids array<int>")
+    plan = sinks.shard_plan(rows, "id", "ids", max_bytes=400, width=4)
+    manifest = sinks.write_token_files(plan, "id", "ids", f"file://{tmp_path}/bin", dtype="uint32").collect()
+    shards = readers.with_global_offset(readers.read_token_shards(spark, f"{tmp_path}/bin", "uint32")).orderBy("offset").collect()
+    assert [t for r in shards for t in r.ids] == [i * 1000 + k for i in range(1, 40) for k in range(i)]
+    assert sorted(r.tokens for r in manifest) == sorted(len(r.ids) for r in shards) and shards[1].offset == len(shards[0].ids)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+
+
+def test_first_turns_of_a_conversation(spark):
+    turns = spark.createDataFrame([("a", i, "user" if i % 2 else "gpt", f"m{i}") for i in range(50)] * 2 + [("a", -1, "alien", "x"), ("b", 7, "user", "z")], "conv_id string, turn int, role string, content string")
+    got = {r.conv_id: [m["content"] for m in r.messages] for r in conversation.conversations(turns, 3).collect()}
+    assert got == {"a": ["m0", "m1", "m2"], "b": ["z"]}
+    whole, cut = (conversation.tokenize_and_mask(conversation.conversations(turns, n), F.lit("S"), 100).orderBy("conv_id").collect() for n in (None, conversation.turns_within(100)))
+    assert whole == cut
+
+
+def test_adjacent_characters(spark):
+    texts = ["aab", "", None, "b", "ab\x00a", "éa"]
+    want = {}
+    for t in texts:
+        for p in zip(t or "", (t or "")[1:]):
+            want[p] = want.get(p, 0) + 1
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {(r.left, r.right): r.n for r in stats.adjacent_characters(df, "t").collect()} == want
+    assert {r.ch: r.n for r in stats.character_counts(df, "t").collect()} == {"a": 5, "b": 3, "\x00": 1, "é": 1}

@@ -46,9 +46,15 @@ def adapt_prompt_response(df: DataFrame) -> DataFrame:
     return df.withColumn("messages", F.when(whole, pair).otherwise(listed)).where(F.size("messages") > 0)
 
 
-def conversations(turns: DataFrame) -> DataFrame:
-    """``(conv_id, messages)`` of ``(conv_id, turn, role, content)``: ordered by turn, repeated deliveries once, unknown roles and blank contents dropped."""
+def conversations(turns: DataFrame, first: int | None = None) -> DataFrame:
+    """``(conv_id, messages)`` of ``(conv_id, turn, role, content)``: ordered by turn, repeated deliveries once, unknown roles and blank contents dropped.
+
+    With ``first`` only so many turns of each conversation are gathered; the rank
+    filter acts before the shuffle as well, however long a conversation is.
+    """
     rows = turns.select("conv_id", "turn", normalized_role(F.col("role")).alias("role"), strip(F.col("content")).alias("content")).where("conv_id is not null and turn is not null and role is not null and content <> ''")
+    if first is not None:
+        rows = rows.withColumn("_rank", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("turn"))).where(F.col("_rank") <= first).drop("_rank")
     rows = rows.dropDuplicates(["conv_id", "turn"])
     return rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
 
@@ -63,6 +69,11 @@ def code_points(t: Column) -> Column:
     return F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.ascii(c))
 
 
+def turns_within(length: int) -> int:
+    """No more turns than this begin within ``length`` ids: each takes two marks, a role, a line feed and some content."""
+    return length // (min(map(len, SENDERS.values())) + 4) + 1
+
+
 def tokenize_and_mask(df: DataFrame, system_prompt: Column, length: int, *, messages: str = "messages") -> DataFrame:
     """``df`` with x and y of ``length`` ids in place of its messages.
 

@@ -2,17 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import line_count, words
+from textloom.session import spread
 
 SPECIALS = 4  # ids 0 to 3: padding, unknown, begin, end
 
 
 def character_counts(df: DataFrame, text: str) -> DataFrame:
-    """``(ch, n)``; counts are combined map-side, so only distinct characters are shuffled."""
-    return df.select(F.explode(F.split(F.col(text), "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
+    """``(ch, n)``; code points are counted per task, so only distinct characters are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0x110000, np.int64)
+        for batch in batches:
+            for code in _code_points(batch.column(0)):
+                total += np.bincount(code, minlength=len(total))
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(map(chr, at.tolist()), pa.string()), pa.array(total[at])], names=["ch", "n"])
+
+    own = spread(df.select(F.col(text).alias("t")).where("t <> ''"))
+    return own.mapInArrow(run, "ch string, n bigint").groupBy("ch").agg(F.sum("n").alias("n"))
+
+
+def _code_points(texts: pa.Array, limit: int = 1 << 22) -> Iterator[np.ndarray]:
+    """Code points of the texts, joined to parts of about ``limit``."""
+    held, size = [], 0
+    for t in texts.to_pylist():
+        held.append(t)
+        size += len(t)
+        if size >= limit:
+            yield np.frombuffer("".join(held).encode("utf-32-le"), np.uint32)
+            held, size = [], 0
+    if size:
+        yield np.frombuffer("".join(held).encode("utf-32-le"), np.uint32)
+
+
+def adjacent_characters(df: DataFrame, text: str) -> DataFrame:
+    """``(left, right, n)`` of overlapping neighbours among the characters of each text, counted per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
+        for batch in batches:
+            # a character that is none stands between texts
+            code = np.frombuffer("\x00".join(["", *batch.column(0).to_pylist(), ""]).encode("utf-32-le"), np.uint32).astype(np.int64)
+            length = np.array([0, *map(len, batch.column(0).to_pylist()), 0])
+            edge = np.zeros(len(code), bool)
+            edge[np.cumsum(length + 1)[:-1] - 1] = True
+            inner = ~(edge[:-1] | edge[1:])
+            pair, n = np.unique((code[:-1] << 21 | code[1:])[inner], return_counts=True)
+            for p, k in zip(pair.tolist(), n.tolist()):
+                total[p] = total.get(p, 0) + k
+        pairs = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array((chr(p >> 21) for p in pairs), pa.string()), pa.array((chr(p & 0x1FFFFF) for p in pairs), pa.string()), pa.array(list(total.values()), pa.int64())], names=["left", "right", "n"])
+
+    own = spread(df.select(F.col(text).alias("t")).where("length(t) > 1"))
+    return own.mapInArrow(run, "left string, right string, n bigint").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
 def corpus_stats(df: DataFrame, text: str) -> DataFrame:

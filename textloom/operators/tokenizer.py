@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.stats import adjacent_pairs, best_pair
+from textloom.operators.stats import adjacent_pairs, best_pair, character_counts
 from textloom.session import discard, materialize, spread
 
 PADDING, UNKNOWN, BEGIN, END = 0, 1, 2, 3
+TOP = 1_000  # most frequent pairs a training round looks at
+PENDING = 16  # merges after which training writes the texts anew
 MAX_TABLE = 2_000_000  # rows of a vocabulary or merge table that every worker loads
 
 
@@ -130,60 +132,138 @@ def code_points(df: DataFrame, key: str, text: str) -> DataFrame:
     return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
+def _characters(df: DataFrame, text: str) -> list[str]:
+    return sorted(r.ch for r in character_counts(df, text).select("ch").collect())  # code points, at most 0x110000
+
+
 def train_merges(df: DataFrame, text: str, merges: int) -> list[tuple[str, str, int]]:
     """The first ``merges`` merges ``(left, right, count)`` of byte-pair training over whole texts.
 
-    Equal texts are counted once with their number.  Each round counts all
-    neighbours (combined map-side), takes the most frequent, of ties the largest,
-    and joins it in every text; a round is written to the shared folder, so the
-    plan stays short and only one pair a round reaches the driver.
+    Equal texts are counted once with their number.  A round counts all neighbours
+    (per task, then combined) and looks at the ``TOP`` most frequent pairs, of
+    equal counts the largest.  It takes the best pair, and the next ones as long
+    as they are sure to follow: they have no token in common with those taken, so
+    their counts stay, and are more frequent than any pair a taken merge can
+    bring about.  Merges are applied where the texts are read; every ``PENDING``
+    merges the texts are written anew.
     """
-    rows = materialize(df.where(F.length(text) > 1).groupBy(F.col(text).alias("t")).agg(F.count("*").alias("weight")).select(F.filter(F.split("t", ""), lambda c: c != "").alias("tokens"), "weight"), "bpe")
+    strings = _characters(df, text)
+    number = {c: i for i, c in enumerate(strings)}
+    rows = df.where(F.length(text) > 1).groupBy(F.col(text).alias("t")).agg(F.count("*").alias("weight"))
+    rows = materialize(spread(rows).mapInArrow(_numbered(number), "tokens array<int>, weight bigint"), "bpe")
     out: list[tuple[str, str, int]] = []
-    for _ in range(merges):
-        weighted = rows.select("tokens", "weight")
-        counts = (
-            weighted.where(F.size("tokens") > 1)
-            .select("weight", F.explode(F.zip_with(F.slice("tokens", 1, F.size("tokens") - 1), F.slice("tokens", 2, F.size("tokens") - 1), lambda a, b: F.struct(a.alias("left"), b.alias("right")))).alias("p"))
-            .groupBy("p.left", "p.right")
-            .agg(F.sum("weight").alias("n"))
-        )
-        best = best_pair(counts).collect()[0]
-        if best.n is None:
+    pending: list[tuple[int, int, int]] = []
+    while len(out) < merges:
+        pairs = rows.mapInArrow(_count_pairs(pending, strings), "left string, right string, n bigint").groupBy("left", "right").agg(F.sum("n").alias("n"))
+        best = pairs.orderBy(F.desc("n"), F.desc("left"), F.desc("right")).limit(TOP).collect()
+        taken = sure_merges([(r.left, r.right, r.n) for r in best], number, len(best) == TOP)[: merges - len(out)]
+        if not taken:
             break
-        out.append((best.left, best.right, best.n))
-        after = materialize(rows.mapInArrow(_join_pair(best.left, best.right), "tokens array<string>, weight bigint"), "bpe")
-        discard(rows)
-        rows = after
+        for left, right, n in taken:
+            joined = number.setdefault(left + right, len(strings))
+            if joined == len(strings):
+                strings.append(left + right)
+            pending.append((number[left], number[right], joined))
+            out.append((left, right, n))
+        if len(pending) >= PENDING:
+            after = materialize(rows.mapInArrow(_applied(pending), "tokens array<int>, weight bigint"), "bpe")
+            discard(rows)
+            rows, pending = after, []
     discard(rows)
     return out
 
 
-def train_to_size(df: DataFrame, text: str, size: int, special: int = 4) -> list[tuple[str, str, int]]:
-    """Byte-pair training until ``special`` tokens, all characters and the merges are ``size`` tokens, or no pairs are left."""
-    characters = df.select(F.explode(F.split(text, "")).alias("c")).where("c <> ''").agg(F.count_distinct("c")).collect()[0][0]
-    return train_merges(df, text, max(0, size - special - characters))
+def sure_merges(best: list[tuple[str, str, int]], known: dict[str, int], more: bool) -> list[tuple[str, str, int]]:
+    """The first pair, and those after it that are the next merges whatever the merges before them change.
+
+    ``best`` is in falling order; ``more`` says that there are other pairs, none more frequent than the last.
+    """
+    floor = best[-1][2] if more else 0
+    before, after = {}, {}  # the most frequent pair that ends, or begins, with a token
+    for left, right, n in best:
+        before.setdefault(right, n)
+        after.setdefault(left, n)
+    taken: list[tuple[str, str, int]] = []
+    touched: set[str] = set()
+    bound = 0
+    for left, right, n in best:
+        if taken and (left in touched or right in touched or n <= bound):
+            break
+        taken.append((left, right, n))
+        if left + right in known:
+            break  # its new places add to pairs that are there already
+        touched |= {left, right}
+        bound = max(bound, min(n, max(before.get(left, floor), after.get(right, floor))))
+    return taken
 
 
-def _join_pair(left: str, right: str):
+def _numbered(number: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(0x110000, np.int32)
+        table[[ord(c) for c in number]] = list(number.values())
         for batch in batches:
-            out = []
-            for tokens in batch.column(0).to_pylist():
-                merged, i, n = [], 0, len(tokens)
-                while i < n:
-                    if tokens[i] == left and i + 1 < n and tokens[i + 1] == right:
-                        merged.append(left + right)
-                        i += 2
-                    else:
-                        merged.append(tokens[i])
-                        i += 1
-                out.append(merged)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), batch.column(1)], names=["tokens", "weight"])
+            texts = batch.column(0).to_pylist()
+            code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(table[code])), batch.column(1)], names=["tokens", "weight"])
 
     return run
 
 
+def _merged(lists: pa.ListArray, pending: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, text) of a batch after the pending merges, each from the left."""
+    offsets = lists.offsets.to_numpy()
+    token = lists.values.to_numpy()[offsets[0] : offsets[-1]].copy()
+    text = np.repeat(np.arange(len(lists)), np.diff(offsets))
+    for left, right, joined in pending:
+        at = np.nonzero((token[:-1] == left) & (token[1:] == right) & (text[:-1] == text[1:]))[0]
+        if left == right and len(at):
+            # of neighbouring places every other one
+            start = np.append(True, np.diff(at) != 1)
+            run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+        token[at] = joined
+        keep = np.ones(len(token), bool)
+        keep[at + 1] = False
+        token, text = token[keep], text[keep]
+    return token, text
+
+
+def _count_pairs(pending: list[tuple[int, int, int]], strings: list[str]):
+    pending, strings = list(pending), list(strings)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
+        for batch in batches:
+            token, text = _merged(batch.column(0), pending)
+            weight = batch.column(1).to_numpy()[text[:-1]]
+            inner = text[:-1] == text[1:]
+            pair, back = np.unique((token[:-1].astype(np.int64) << 32 | token[1:])[inner], return_inverse=True)
+            for p, n in zip(pair.tolist(), np.bincount(back, weight[inner], len(pair)).astype(np.int64).tolist()):
+                total[p] = total.get(p, 0) + n
+        sides = [[strings[p >> 32] for p in total], [strings[p & 0xFFFFFFFF] for p in total]]
+        yield pa.RecordBatch.from_arrays([*(pa.array(s, pa.string()) for s in sides), pa.array(list(total.values()), pa.int64())], names=["left", "right", "n"])
+
+    return run
+
+
+def _applied(pending: list[tuple[int, int, int]]):
+    pending = list(pending)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, text = _merged(batch.column(0), pending)
+            offsets = np.searchsorted(text, np.arange(len(batch) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(token)), batch.column(1)], names=["tokens", "weight"])
+
+    return run
+
+
+def train_to_size(df: DataFrame, text: str, size: int, special: int = 4) -> list[tuple[str, str, int]]:
+    """Byte-pair training until ``special`` tokens, all characters and the merges are ``size`` tokens, or no pairs are left."""
+    return train_merges(df, text, max(0, size - special - len(_characters(df, text))))
+
+
 def encode_characters(df: DataFrame, key: str, text: str, vocab: dict[str, int], *, unknown: int = UNKNOWN) -> DataFrame:
     """``(key, ids array<int>)``, one id per character."""
     kind = df.schema[key].dataType.simpleString()

@@ -54,15 +54,25 @@ def context_windows(df: DataFrame, key: str, ids: str, *, length: int = 64, stri
 
 
 def running_offset(df: DataFrame, order: str, size: str, name: str = "offset") -> DataFrame:
-    """Global running offset in two phases: range partitions, then their sums.
+    """Global running offset in two phases: range partitions of ``(order, size)`` alone, then their sums.
 
+    The rows are written once and read column by column, so what they carry is
+    neither sorted nor shuffled by range; offsets are joined back by ``order``.
     No window spans more than a partition, apart from one row per partition.
+    Rows of one ``order`` value follow each other in no particular order; a null
+    size is 0 and a null ``order`` comes first.
     """
-    parts = materialize(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
-    sums = parts.groupBy("_part").agg(F.sum(size).alias("_sum"))
+    rows, own = materialize(df, "rows"), F.coalesce(F.col(size), F.lit(0))
+    keys = rows.groupBy(F.col(order).alias("_o")).agg(F.sum(own).alias("_s"), F.count("*").alias("_c"))
+    parts = materialize(keys.repartitionByRange("_o").withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = parts.groupBy("_part").agg(F.sum("_s").alias("_sum"))
     before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.sum(size).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)
-    return parts.join(before, "_part").withColumn(name, (F.col("_before") + inside).cast("bigint")).drop("_part", "_before")
+    inside = F.sum("_s").over(Window.partitionBy("_part").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")
+    placed = parts.join(before, "_part").select("_o", (F.col("_before") + inside).cast("bigint").alias(name))
+    joined = rows.join(placed, rows[order].eqNullSafe(placed["_o"]))
+    if parts.where("_c > 1").limit(1).count():
+        joined = joined.withColumn(name, F.col(name) + F.sum(own).over(Window.partitionBy("_o").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)) - own)
+    return joined.drop("_o")
 
 
 def joined_offsets(files: DataFrame, group: str, order: str, text: str, separator: str = "\n\n") -> DataFrame:

@@ -89,7 +89,7 @@ _MASKED = f"""WITH t AS ({TURNS}), p AS (
 @query(f"{_MASKED} SELECT conv_id, array_to_string(x, ',') AS x, array_to_string(y, ',') AS y FROM z")
 def i6_tokenize_and_mask(spark: SparkSession, sf: str) -> DataFrame:
     text = lambda v: F.array_join(F.transform(v, lambda i: i.cast("string")), ",").alias(v)
-    return C.tokenize_and_mask(C.conversations(chat(spark, sf)), F.lit("S"), 512).select("conv_id", text("x"), text("y"))
+    return C.tokenize_and_mask(C.conversations(chat(spark, sf), C.turns_within(512)), F.lit("S"), 512).select("conv_id", text("x"), text("y"))
 
 
 @query(
@@ -108,7 +108,7 @@ def i8_conversation_statistics(spark: SparkSession, sf: str) -> DataFrame:
     SELECT k AS "window", md5(array_to_string(x[k * 768 + 1:k * 768 + 768], ',')) AS x, md5(array_to_string(y[k * 768 + 1:k * 768 + 768], ',')) AS y FROM (SELECT x, y, unnest(range(len(x) // 768)) AS k FROM c)"""
 )
 def i9_pack_conversations(spark: SparkSession, sf: str) -> DataFrame:
-    rows = materialize(C.tokenize_and_mask(C.conversations(chat(spark, sf)), F.lit("S"), 512), "masked")
+    rows = materialize(C.tokenize_and_mask(C.conversations(chat(spark, sf), C.turns_within(512)), F.lit("S"), 512), "masked")
     text = lambda v: F.md5(F.array_join(F.transform(v, lambda i: i.cast("string")), ","))
     parts = [windows.packed_windows(rows, "conv_id", c, length=768, overlap=0).select("window", text("ids").alias(c)) for c in ("x", "y")]
     return parts[0].join(parts[1], "window")

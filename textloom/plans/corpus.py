@@ -46,7 +46,11 @@ def c3_strip_control(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", T.strip_control(F.col("text")).alias("clean"))
 
 
-@query()
+@query(
+    """WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: array_to_string(list_transform(string_split(l, chr(13)),
+        lambda c: list_reduce(string_split(c, chr(9)), lambda a, s: a || repeat(' ', 4 - length(a) % 4) || s)), chr(13))) AS v FROM documents)
+    SELECT doc_id, array_to_string(v, chr(10)) AS clean FROM l"""
+)
 def c4_expand_tabs(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", T.expand_tabs(F.col("text")).alias("clean"))
 
@@ -228,9 +232,12 @@ def v3_exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return validate.exact_duplicates(docs(spark, sf), "doc_id", "text")
 
 
-@query()
+@query("SELECT doc_id AS key, coalesce(text = '' OR unicode(right(text, 1)) < 128, false) AS valid_utf8 FROM documents")
 def v4_utf8(spark: SparkSession, sf: str) -> DataFrame:
-    return validate.utf8_verdict(docs(spark, sf).select("doc_id", F.encode("text", "UTF-8").alias("content")), "doc_id", "content")
+    """The bytes of each document without the last one, which breaks a character of several bytes."""
+    content = F.encode("text", "UTF-8")
+    cut = F.substring(content, F.lit(1), F.greatest(F.octet_length(content) - 1, F.lit(0)))
+    return validate.utf8_verdict(docs(spark, sf).select("doc_id", cut.alias("content")), "doc_id", "content")
 
 
 _BYTES = "list_filter(regexp_extract_all(hex(encode(text)), '..'), lambda h: h < '09' OR h IN ('0B', '0C') OR (h >= '0E' AND h <= '1F') OR (h >= '7F' AND h <= '9F'))"
@@ -312,7 +319,7 @@ _PAIRS = f"SELECT p.a AS \"left\", p.b AS \"right\", count(*) AS n FROM (SELECT
 
 @query(_PAIRS)
 def a6_adjacent_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.adjacent_pairs(docs(spark, sf).select(F.filter(F.split("text", ""), lambda c: c != "").alias("t")), "t")
+    return stats.adjacent_characters(docs(spark, sf), "text")
 
 
 @query(f'SELECT "left", "right", n FROM ({_PAIRS}) ORDER BY n DESC, "left" DESC, "right" DESC LIMIT 1')
@@ -347,8 +354,10 @@ def w2_memmap_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _concatenated(length: int, extra: int, eos: str) -> str:
-    return f"""WITH a AS (SELECT list(id ORDER BY doc_id, pos) AS v FROM (SELECT doc_id, unnest(w) AS id, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, v{eos} AS w FROM (SELECT doc_id, list_transform({CHARS}, lambda c: unicode(c)) AS v FROM documents WHERE text IS NOT NULL))))
-    SELECT k AS "window", md5(array_to_string(v[k * {length} + 1:k * {length} + {length + extra}], ',')) AS ids FROM (SELECT v, unnest(range((len(v) - {length + extra}) // {length} + 1)) AS k FROM a)"""
+    return f"""WITH e AS (SELECT doc_id, unnest(w) AS id, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, v{eos} AS w FROM (SELECT doc_id, list_transform({CHARS}, lambda c: unicode(c)) AS v FROM documents WHERE text IS NOT NULL))),
+    g AS (SELECT id, row_number() OVER (ORDER BY doc_id, pos) - 1 AS k FROM e),
+    w AS (SELECT k // {length} AS "window", id, k FROM g UNION ALL SELECT k // {length} - 1, id, k FROM g WHERE k % {length} < {extra} AND k >= {length})
+    SELECT "window", md5(string_agg(id, ',' ORDER BY k)) AS ids FROM w GROUP BY "window" HAVING count(*) = {length + extra}"""
 
 
 @query(_concatenated(512, 1, ""))
@@ -378,12 +387,13 @@ def w6_running_offset(spark: SparkSession, sf: str) -> DataFrame:
     return windows.running_offset(rows, "doc_id", "n").select("doc_id", "offset")
 
 
-@query('WITH o AS (SELECT doc_id, sum(length(text)) OVER (ORDER BY doc_id) AS e, length(text) AS n FROM documents WHERE length(text) > 0) SELECT p AS "position", doc_id, CAST(p - (e - n) AS BIGINT) AS inner_position FROM (SELECT unnest(range(0, 1000000, 997)) AS p) q JOIN o ON p >= e - n AND p < e')
+@query('WITH o AS (SELECT doc_id, sum(length(text)) OVER (ORDER BY doc_id) AS e, length(text) AS n FROM documents WHERE length(text) > 0) SELECT p AS "position", doc_id, CAST(p - (e - n) AS BIGINT) AS inner_position FROM (SELECT unnest(range(0, t, greatest(1, t // 1000))) AS p FROM (SELECT CAST(sum(n) AS BIGINT) AS t FROM o)) q JOIN o ON p >= e - n AND p < e')
 def j8_position_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """Which document holds a global position: an interval join by buckets of 4096 positions."""
+    """Which document holds each of a thousand positions over the whole concatenation: an interval join by buckets of 4096 positions."""
     rows = windows.running_offset(docs(spark, sf).where("length(text) > 0").select("doc_id", F.length("text").alias("n")), "doc_id", "n")
     spans = rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("offset") / 4096), F.floor((F.col("offset") + F.col("n") - 1) / 4096))))
-    asked = spark.range(0, 1000000, 997).select(F.col("id").alias("position"), F.floor(F.col("id") / 4096).alias("bucket"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    asked = spark.range(0, total, max(1, total // 1000)).select(F.col("id").alias("position"), F.floor(F.col("id") / 4096).alias("bucket"))
     hit = asked.join(spans, "bucket").where((F.col("position") >= F.col("offset")) & (F.col("position") < F.col("offset") + F.col("n")))
     return hit.select("position", "doc_id", (F.col("position") - F.col("offset")).alias("inner_position"))
 

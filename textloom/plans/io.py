@@ -7,13 +7,12 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators import agent, validate
 from textloom.plans.conversation import SPACE
-from textloom.plans.corpus import _CS, docs, ids
+from textloom.plans.corpus import _CS, CHARS, docs, ids
 from textloom.plans.registry import query
 from textloom.session import shared_dir
 from textloom.sources import readers, sinks
@@ -46,21 +45,54 @@ def s1_whole_files(spark: SparkSession, sf: str) -> DataFrame:
     return whole.agg(F.sum(F.size(F.split("text", "\x1e")) - 1).alias("files"))
 
 
-@query()
+#: suffix of the files that hold the documents of each type, and of code by its domain
+_SUFFIX = {"code": "py", "markdown": "md", "json": "json", "html": "html"}
+_CODE_SUFFIX = {"python": "py", "cpp": "cpp", "java": "java", "javascript": "js"}
+
+
+def _suffixed(spark: SparkSession, rows: DataFrame, name: str) -> str:
+    """Rows ``(suffix, value)`` as text files of that suffix, a few of each, under names of their own."""
+    path = _folder(spark, name)
+    rows.repartition("suffix", F.pmod(F.xxhash64("value"), F.lit(3))).write.partitionBy("suffix").text(path)
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/suffix=*/part-*")
+    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    for n, status in enumerate(files.globStatus(pattern)):
+        old = status.getPath()
+        suffix = old.getParent().getName().partition("=")[2]
+        files.rename(old, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{suffix}-{n}.{suffix}"))
+    return path
+
+
+def _when(column: str, table: dict[str, str], other: str):
+    out = F.lit(other)
+    for k, v in table.items():
+        out = F.when(F.col(column) == k, v).otherwise(out)
+    return out
+
+
+def _case(column: str, table: dict[str, str], other: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE '{other}' END"
+
+
+@query(
+    f"""SELECT {_case("suffix", {"py": "code", "md": "markdown", "json": "json", "html": "html"}, "txt")} AS doc_type, CAST(sum(length(text) + 1) AS BIGINT) AS chars
+    FROM (SELECT text, {_case("doc_type", _SUFFIX, "txt")} AS suffix FROM documents WHERE length(text) > 0) GROUP BY 1"""
+)
 def s6_read_documents(spark: SparkSession, sf: str) -> DataFrame:
-    path = _folder(spark, "kb")
-    rows = docs(spark, sf).where("length(text) > 0").select(F.when(F.col("doc_type") == "code", "py").otherwise("md").alias("kind"), F.col("text").alias("value"))
-    for kind in ("py", "md"):
-        rows.where(F.col("kind") == kind).select("value").repartition(2).write.text(f"{path}/{kind}")
-    return readers.read_documents(spark, path).select("doc_id", "doc_type", F.length("content").alias("n"))
+    """The documents as files of their types, read back as a tree: characters by the type the suffix tells."""
+    path = _suffixed(spark, docs(spark, sf).where("length(text) > 0").select(_when("doc_type", _SUFFIX, "txt").alias("suffix"), F.col("text").alias("value")), "kb")
+    return readers.read_documents(spark, path).groupBy("doc_type").agg(F.sum(F.length("content")).cast("bigint").alias("chars"))
 
 
-@query()
+@query(
+    f"""SELECT {_case("suffix", {"py": "python", "cpp": "cpp", "java": "java"}, "javascript")} AS language, CAST(sum(length(text) + 1) AS BIGINT) AS chars
+    FROM (SELECT text, {_case("lower(domain)", _CODE_SUFFIX, "rs")} AS suffix FROM documents WHERE doc_type = 'code' AND text IS NOT NULL) WHERE suffix <> 'rs' GROUP BY 1"""
+)
 def s8_read_code(spark: SparkSession, sf: str) -> DataFrame:
-    """Code files of a tree with their language; the part files of a text table carry no code suffix and are skipped."""
-    path = _folder(spark, "code")
-    docs(spark, sf).where("doc_type = 'code' and text is not null").select(F.col("text").alias("value")).repartition(2).write.text(path)
-    return readers.read_code(spark, path).select("language", F.length("text").alias("n"))
+    """The code documents as files of their languages, read back by suffix; files of other suffixes are skipped."""
+    rows = docs(spark, sf).where("doc_type = 'code' and text is not null").withColumn("domain", F.lower("domain"))
+    path = _suffixed(spark, rows.select(_when("domain", _CODE_SUFFIX, "rs").alias("suffix"), F.col("text").alias("value")), "code")
+    return readers.read_code(spark, path).groupBy("language").agg(F.sum(F.length("text")).cast("bigint").alias("chars"))
 
 
 _STRIP = f"regexp_replace({{}}, '^{SPACE}+|{SPACE}+$', '', 'g')".replace("{85}", "{{85}}").replace("{Z}", "{{Z}}")
@@ -111,17 +143,17 @@ def s16_write_shards(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("shard").cast("bigint").alias("shard"), "documents", F.col("tokens").cast("bigint").alias("tokens"), "first_token")
 
 
-@query()
+@query(
+    f"""WITH o AS (SELECT length(text) AS n, sum(length(text)) OVER (ORDER BY doc_id) - length(text) AS first, list_sum(list_transform({CHARS}, lambda c: unicode(c))) AS total FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT first // 50000 AS shard, sum(n) AS n, coalesce(sum(total), 0) AS total FROM o GROUP BY 1)
+    SELECT CAST(sum(n) OVER (ORDER BY shard) - n AS BIGINT) AS "offset", CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total FROM s"""
+)
 def s17_read_shards(spark: SparkSession, sf: str) -> DataFrame:
-    """Two binary files written by the driver, read as one virtual array."""
-    fs_path = _folder(spark, "bin")
-    jvm = spark._jvm
-    for n, values in (("a.bin", np.arange(60)), ("b.bin", np.arange(60, 100))):
-        target = jvm.org.apache.hadoop.fs.Path(f"{fs_path}/{n}")
-        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
-        out.write(bytearray(values.astype("<u2").tobytes()))
-        out.close()
-    return readers.with_global_offset(readers.read_token_shards(spark, fs_path)).select("name", "offset", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))
+    """The tokens of all documents in shards of binary files, read as one virtual array."""
+    path = _folder(spark, "bin")
+    sinks.write_token_files(sinks.shard_plan(ids(docs(spark, sf)), "doc_id", "ids", max_bytes=200_000, width=4), "doc_id", "ids", path, dtype="uint32")
+    shards = readers.with_global_offset(readers.read_token_shards(spark, path, "uint32"))
+    return shards.select("offset", F.size("ids").cast("bigint").alias("n"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))
 
 
 @query("SELECT (SELECT count(*) FROM tokenizer_vocab) AS tokens, (SELECT count(*) FROM tokenizer_merges) AS merges, (SELECT max(merge_rank) FROM tokenizer_merges) AS last_rank")
@@ -192,14 +224,15 @@ def z3_stream_packing(spark: SparkSession, sf: str) -> DataFrame:
     return _packed_stream(spark, sf, "packed", 3)
 
 
-@query()
+@query("SELECT key, CAST((n - 1) // 512 * 512 AS BIGINT) AS tokens, (n - 1) // 512 * 512 > 0 AS filled FROM (SELECT CAST(doc_id % 4 AS VARCHAR) AS key, sum(length(text)) AS n FROM documents WHERE length(text) > 0 GROUP BY 1)")
 def z4_stream_shards(spark: SparkSession, sf: str) -> DataFrame:
-    """Windows of the stream written in size-triggered shards; the result is the manifest."""
+    """Windows of the stream written in size-triggered shards; per key the tokens of its manifest, and whether the last shard alone may be small."""
     rows = ids(docs(spark, sf)).where("size(ids) > 0").withColumn("key", F.pmod("doc_id", F.lit(4)).cast("string"))
     stream = packing.packed_stream(_stream(spark, rows, "sharded"), "key", "doc_id", "ids", length=512)
     path = _folder(spark, "sink")
     stream.writeStream.foreachBatch(packing.shard_sink(path, 100_000)).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("epoch bigint, key string, shard bigint, tokens bigint").json(f"{path}/manifest")
+    manifest = spark.read.schema("epoch bigint, key string, shard bigint, tokens bigint").json(f"{path}/manifest")
+    return manifest.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.every(F.col("tokens") > 0).alias("filled"))
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS key, event_id AS step, value FROM (SELECT *, coalesce(value < min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS best FROM events) WHERE best")
@@ -211,12 +244,18 @@ def z6_stream_best(spark: SparkSession, sf: str) -> DataFrame:
 # --- agent ----------------------------------------------------------------
 
 
-@query()
+_PLAIN = r"""regexp_replace(regexp_replace(prompt, '[\n"\\]', ' ', 'g'), '^[ \t\n\x0B\f\r]+', '')"""
+
+
+@query(
+    f"""SELECT task_id, nullif(trim({_PLAIN}), '') AS thought, 'file_reader' AS action, entry_point AS path, '5' AS lines, CAST(NULL AS VARCHAR) AS final_answer
+    FROM benchmark_problems WHERE prompt IS NOT NULL AND entry_point IS NOT NULL"""
+)
 def g2_parse_reply(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark prompts wrapped as agent replies, with JSON and with ``k=v`` arguments."""
     rows = spark.read.parquet(f"{sf}/benchmark_problems.parquet").where("prompt is not null and entry_point is not null")
     plain = F.regexp_replace("prompt", "[\n\"\\\\]", " ")
-    reply = F.concat(F.lit("Thought: "), plain, F.lit("\nAction: file_reader\nAction Input: "), F.when(F.hash("task_id") % 2 == 0, F.concat(F.lit('{"path": "'), "entry_point", F.lit('", "lines": 5}'))).otherwise(F.concat(F.lit("path="), "entry_point", F.lit(", lines=5"))))
+    reply = F.concat(F.lit("Thought: "), plain, F.lit("\nAction: file_reader\nAction Input: "), F.when(F.ascii(F.right("task_id", F.lit(1))) % 2 == 0, F.concat(F.lit('{"path": "'), "entry_point", F.lit('", "lines": 5}'))).otherwise(F.concat(F.lit("path="), "entry_point", F.lit(", lines=5"))))
     p = agent.parse_reply(F.col("reply"))
     return rows.select("task_id", reply.alias("reply")).select("task_id", p.alias("p")).select("task_id", "p.thought", "p.action", F.try_element_at("p.arguments", F.lit("path")).alias("path"), F.try_element_at("p.arguments", F.lit("lines")).alias("lines"), "p.final_answer")
 

@@ -14,6 +14,25 @@ IDS = f"""vm AS (SELECT map_from_entries(list(row(token, token_id))) AS m FROM t
     ids AS (SELECT doc_id, text, list_transform({CHARS}, lambda c: coalesce(m[c], 1)) AS v FROM documents, vm WHERE text IS NOT NULL)"""
 
 
+_LETTERS = r"[\p{L}\p{Nl}\p{No}]"
+#: (doc_id, text, n, u): tokens and unknown tokens of every document; merged tokens begin with a letter or one blank and go on with letters,
+#: so nothing is joined across the runs of letters, and merges are applied one by one to each distinct run
+MERGED = f"""tx AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+    px AS (SELECT doc_id, unnest(regexp_extract_all(text, ' ?{_LETTERS}+')) AS piece FROM tx),
+    bpe AS (SELECT piece, string_split(piece, '') AS toks, 0 AS step FROM (SELECT DISTINCT piece FROM px)
+        UNION ALL
+        SELECT piece, list_slice(toks, 1, j - 1) || [toks[j] || toks[j + 1]] || list_slice(toks, j + 2, len(toks)), step + 1 FROM (
+            SELECT piece, any_value(toks) AS toks, any_value(step) AS step, arg_min(j, merge_rank * 1000000 + j) AS j
+            FROM (SELECT piece, toks, step, unnest(range(1, len(toks))) AS j FROM bpe) JOIN tokenizer_merges ON left_token = toks[j] AND right_token = toks[j + 1]
+            GROUP BY piece)),
+    known AS (SELECT list(token) AS v FROM tokenizer_vocab WHERE token_id <> 1),
+    enc AS (SELECT piece, len(toks) AS n, len(list_filter(toks, lambda t: NOT list_contains(v, t))) AS u FROM (SELECT piece, arg_max(toks, step) AS toks FROM bpe GROUP BY piece), known),
+    inside AS (SELECT doc_id, sum(n) AS n, sum(u) AS u, sum(length(piece)) AS k FROM px JOIN enc USING (piece) GROUP BY doc_id),
+    enc_docs AS (SELECT doc_id, text, CAST(length(text) - coalesce(k, 0) + coalesce(n, 0) AS INTEGER) AS n,
+        CAST(coalesce(u, 0) + len(list_filter(string_split(regexp_replace(text, ' ?{_LETTERS}+', '', 'g'), ''), lambda t: t <> '' AND NOT list_contains(v, t))) AS INTEGER) AS u
+        FROM tx LEFT JOIN inside USING (doc_id), known)"""
+
+
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -61,12 +80,12 @@ def _encoded(spark: SparkSession, sf: str) -> DataFrame:
     return K.encode_merged(_read(spark, sf, "documents").where("text is not null"), "doc_id", "text", vocab, ranks)
 
 
-@query()
+@query(f"WITH RECURSIVE {MERGED} SELECT doc_id, n AS n_tokens, u AS n_unknown FROM enc_docs")
 def t2_encode_merged(spark: SparkSession, sf: str) -> DataFrame:
     return _encoded(spark, sf).select("doc_id", F.size("ids").alias("n_tokens"), F.size(F.filter("ids", lambda i: i == K.UNKNOWN)).alias("n_unknown"))
 
 
-@query()
+@query(f"WITH RECURSIVE {MERGED} SELECT doc_id, CASE WHEN n > 0 THEN round(length(text) / n, 4) ELSE 1.0 END AS ratio FROM enc_docs")
 def a24_compression(spark: SparkSession, sf: str) -> DataFrame:
     """Characters per token of every document; 1.0 for an empty one."""
     n = _read(spark, sf, "documents").select("doc_id", F.length("text").alias("n"))

@@ -53,10 +53,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where that is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); where that is unset, a local one if the master is local, else an error."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     local = os.path.join(tempfile.gettempdir(), "textloom-shared")
     os.makedirs(local, exist_ok=True)
     return "file://" + local

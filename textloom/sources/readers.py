@@ -26,12 +26,12 @@ BENCHMARK_SCHEMA = (
 
 def read_whole_texts(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False) -> DataFrame:
     """``(path, text)``, one row per file; a missing path is an error."""
-    reader = spark.read.option("wholetext", "true")
+    reader = spark.read
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def join_files(files: DataFrame, separator: str = "\n\n") -> DataFrame:
@@ -50,7 +50,9 @@ def read_documents(spark: SparkSession, path: str, suffixes: tuple[str, ...] | N
     if suffixes:
         files = files.where(path_suffix(F.col("path")).isin(*suffixes))
     rows = files.where(strip(F.col("text")) != "").select(path_stem(F.col("path")).alias("doc_id"), F.col("path").alias("source_file"), F.col("text").alias("content"), doc_type_of(F.col("path")).alias("doc_type"))
-    return rows.groupBy("doc_id").agg(F.max_by(F.struct("source_file", "content", "doc_type"), "source_file").alias("v")).select("doc_id", "v.*")
+    # paths are compared first, so only the texts that stay are joined
+    last = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.max("source_file").alias("_last"))
+    return rows.join(last, (F.col("doc_id") == F.col("_id")) & (F.col("source_file") == F.col("_last"))).drop("_id", "_last")
 
 
 def read_code(spark: SparkSession, path: str) -> DataFrame:
@@ -136,5 +138,7 @@ def read_token_shards(spark: SparkSession, path: str, dtype: str = "uint16") ->
 
 def with_global_offset(shards: DataFrame) -> DataFrame:
     """Shards with the offset of their first token in the concatenation; there is one row per file, and one window over them."""
-    upto = F.sum(F.size("ids")).over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, 0))
-    return shards.withColumn("offset", upto - F.size("ids"))
+    sizes = shards.select(F.col("path").alias("_p"), F.col("name").alias("_n"), F.size("ids").cast("bigint").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_n", "_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sizes.select("_p", before.alias("offset"))
+    return shards.join(placed, F.col("path") == F.col("_p")).drop("_p")

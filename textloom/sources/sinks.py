@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators.windows import running_offset
+from textloom.session import materialize
 
 
 def shard_plan(docs: DataFrame, order: str, ids: str, *, max_bytes: int = 1 << 30, width: int = 2) -> DataFrame:
@@ -33,6 +38,45 @@ def write_token_shards(docs: DataFrame, order: str, ids: str, path: str, *, voca
     return written.groupBy("shard").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), F.min("first_token").alias("first_token"))
 
 
+def write_token_files(plan: DataFrame, order: str, ids: str, path: str, *, dtype: str = "uint16") -> DataFrame:
+    """Write each shard of ``shard_plan`` as a headerless little-endian file; returns the manifest ``(shard, file, tokens)``.
+
+    A shard is written row by row under a name of its own and moved to its place
+    when it is whole, so a task that is run again leaves the same file.  ``path``
+    is a folder that all workers reach.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, base = fs.FileSystem.from_uri(path)
+        filesystem.create_dir(base, recursive=True)
+        done: list[tuple[int, str, int]] = []
+        out = shard = None
+        tokens = 0
+
+        def close() -> None:
+            out.close()
+            filesystem.move(f"{base}/{temporary}", f"{base}/shard-{shard:08d}.bin")
+            done.append((shard, f"shard-{shard:08d}.bin", tokens))
+
+        for batch in batches:
+            for s, values in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if s != shard:
+                    if out:
+                        close()
+                    shard, tokens, temporary = s, 0, f"_{uuid.uuid4().hex}"
+                    out = filesystem.open_output_stream(f"{base}/{temporary}")
+                data = values.values.to_numpy(zero_copy_only=False) if values.is_valid else np.zeros(0)
+                tokens += len(data)
+                out.write(data.astype(np.dtype(dtype).newbyteorder("<")).tobytes())
+        if out:
+            close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.string(), pa.int64()))], names=["shard", "file", "tokens"])
+
+    rows = plan.select(F.col("shard").cast("bigint").alias("shard"), F.col(order).alias("_o"), F.col(ids).alias("ids"))
+    return materialize(rows.repartition("shard").sortWithinPartitions("shard", "_o").select("shard", "ids").mapInArrow(run, "shard bigint, file string, tokens bigint"), "manifest")
+
+
 def save_tokenizer(vocab: DataFrame, merges: DataFrame, path: str) -> None:
     vocab.write.mode("overwrite").parquet(f"{path}/vocab")
     merges.write.mode("overwrite").parquet(f"{path}/merges")
