@@ -9,7 +9,8 @@ from textloom.session import get_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = get_session("local[4]", "tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    session = get_session("local[4]", "tests", **{"spark.checkpoint.dir": f"file://{shared}", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
     return session
