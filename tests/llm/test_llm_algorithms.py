@@ -182,7 +182,7 @@ def test_tokenizer_equals_its_definition():
         return out
 
     rng = random.Random(4)
-    samples = ["".join(rng.choice("abcd .\nZ7_é") for _ in range(rng.randrange(40))) for _ in range(300)] + [""]
+    samples = ["".join(rng.choice("abcd .\nZ7_é") for _ in range(rng.randrange(40))) for _ in range(300)] + ["", *("".join(rng.choice("abd") for _ in range(n)) for n in (25, 60, 200))]
     tokens, unknown = tokenizer.counts(samples)
     for t, n, u in zip(samples, tokens, unknown):
         want = slow(t)

@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.language import LanguageModel, prose
+from textloom.operators.tokenizer import merge_pairs
 from textloom.session import spread
 
 _PIECE = re.compile(r" ?[^\W\d_]+")
 _CACHE_LIMIT = 400_000
+_LONG_PIECE = 24  # longer runs of letters are merged with a heap instead of by passes
+_loaded: dict[TokenizerSpec, Callable[[list[str]], tuple[np.ndarray, np.ndarray]]] = {}  # of this worker
 
 
 class PieceTokenizer:
@@ -35,6 +38,8 @@ class PieceTokenizer:
 
     def split(self, piece: str) -> list[str]:
         """Join the neighbours of lowest rank, all their occurrences from the left, until none is listed."""
+        if len(piece) > _LONG_PIECE:
+            return merge_pairs(piece, self.ranks)
         parts, ranks = list(piece), self.ranks
         while len(parts) > 1:
             best, where = min((ranks.get(pair, 1 << 60), i) for i, pair in enumerate(zip(parts, parts[1:])))
@@ -122,6 +127,14 @@ class TokenizerSpec:
         return lambda texts: (np.fromiter(map(len, encode(texts)), np.int64, len(texts)), np.zeros(len(texts), np.int64))
 
 
+def loaded(spec: TokenizerSpec) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """The tokenizer of a spec, loaded once per worker and kept for its later tasks."""
+    if spec not in _loaded:
+        _loaded.clear()
+        _loaded[spec] = spec.load()
+    return _loaded[spec]
+
+
 MAX_TOKENIZER_ROWS = 2_000_000
 
 
@@ -151,7 +164,7 @@ def with_token_counts(df: DataFrame, text_col: str, tokenizer: TokenizerSpec, *,
     shared = df.sparkSession.sparkContext.broadcast(model) if language else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = tokenizer.load()
+        counts = loaded(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column(len(rest)).to_pylist()]
             got = [*map(pa.array, counts(texts)[: len(names)])]
