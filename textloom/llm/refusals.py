@@ -101,16 +101,16 @@ def _evidence(uses: DataFrame, sets: DataFrame, *, min_prompts: int) -> DataFram
     """``(sid, evidence)`` of sentences of ``uses(sid, n, ends, bits, cue)`` that may be refusals, in their clusters.
 
     Every sentence counts in the cluster of its most supported leader.  A
-    sentence is of interest if it reads like a refusal, or if in one of its bands
-    at least half of the sentences end their answers; then it is judged by all of
-    its bands.
+    sentence is of interest if it reads like a refusal, or if one of its bands,
+    before its sentences are compared, has half the evidence needed; then it is
+    judged by all of its bands.
     """
     total = uses.agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).first()
     share = min(0.5, max(0.01, (total["ends"] or 0) / max(1, total["n"] or 0)))  # refusals are taken to be no majority
     evidence = lambda n, ends: ends * math.log(ENDS / share) + (n - ends) * math.log((1 - ENDS) / (1 - share))
     rows = uses.join(sets.select("sid", "keys"), "sid").select("sid", "n", "ends", "bits", "cue", F.explode("keys").alias("key"))
     bands = rows.groupBy("key").agg(F.max(F.struct("n", "sid")).alias("m"), F.sum("ends").alias("ends"), F.sum("n").alias("n"), _prompts("bits").alias("prompts"), F.bool_or("cue").alias("cue"))
-    bands = materialize(bands.where(F.col("prompts") >= min_prompts).select("key", F.col("m.sid").alias("leader"), (F.col("ends") * 2 >= F.col("n")).alias("ending"), "cue"), "bands")
+    bands = materialize(bands.where(F.col("prompts") >= min_prompts).select("key", F.col("m.sid").alias("leader"), (evidence(F.col("n"), F.col("ends")) >= ODDS / 2).alias("ending"), "cue"), "bands")
     wanted = bands.where("ending or cue").select("key", "ending")
     asked = rows.select("key", "sid", F.col("cue").alias("own")).join(wanted, "key").where("ending or own").select("sid").distinct()
     keys = sets.select("sid", F.explode("keys").alias("key")).join(asked, "sid", "left_semi").select("key").distinct()
