@@ -12,12 +12,13 @@ from textloom.llm import golay
 from textloom.llm import chunking
 from textloom.llm.chunking import split_points, valley_depth
 from textloom.llm.language import LanguageModel, named_languages, prose
+from textloom.llm.leakage import simhashes
 from textloom.llm.packing import pack
 from textloom.llm.pair_defects import declines, defects_of, is_copy, is_empty, is_truncated, split_question
 from textloom.llm.refusals import masked, sentences_of
 from textloom.llm.sketch import bit_sketch, distinct_shingles
 from textloom.llm.split_overlap import align, winnow
-from textloom.llm.textcore import U, Chars, Words, slices, window_minima
+from textloom.llm.textcore import U, Chars, Words, mix, slices, window_minima
 from textloom.llm.tokens import PieceTokenizer
 
 WORD = re.compile(r"[^\W_]+")
@@ -86,6 +87,17 @@ def test_sketch_of_similar_texts_is_near():
     assert off(0, 1) < 40 < off(0, 2)
 
 
+@pytest.mark.parametrize("window", [1, 2, 7, 12, 24, 300])
+def test_simhashes_are_votes_of_words(window):
+    rng = random.Random(11)
+    words = Words([" ".join(f"w{rng.randrange(99)}" for _ in range(n)) for n in (400, 11, 0, 350)])
+    prints, where = simhashes(words, window)
+    bits = np.unpackbits(mix(words.hash ^ U(0x5EED)).view(np.uint8).reshape(-1, 8), axis=1).astype(int)
+    assert len(where) == sum(max(0, n - window + 1) for n in (400, 11, 350))
+    for p, i in list(zip(prints, where))[::37]:
+        assert p == np.packbits(bits[i : i + window].sum(axis=0) > window // 2).view(U)[0]
+
+
 def test_winnow_shares_a_seed_of_a_shared_run():
     rng = random.Random(3)
     run = [f"r{i}" for i in range(8)]

@@ -29,9 +29,15 @@ def simhashes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     if n < window:
         return np.zeros(0, U), np.zeros(0, np.int64)
     bits = np.unpackbits(mix(words.hash ^ U(0x5EED)).view(np.uint8).reshape(n, 8), axis=1)
-    total = np.zeros((n + 1, 64), np.uint16)  # differences stay right when the sums wrap
-    np.cumsum(bits, axis=0, dtype=np.uint16, out=total[1:])
-    votes = total[window:] - total[:-window]
+    # sums of 1, 2, 4, ... rows are put together to sums of ``window`` rows
+    run, width, votes, at = bits if window < 256 else bits.astype(np.uint32), 1, None, 0
+    while True:
+        if window & width:
+            part = run[at : at + n - window + 1]
+            votes, at = part if votes is None else votes + part, at + width
+        if 2 * width > window:
+            break
+        run, width = run[:-width] + run[width:], 2 * width
     prints = np.packbits(votes > window // 2, axis=1).view(U).ravel()
     where = np.nonzero(words.text[: n - window + 1] == words.text[window - 1 :])[0]
     return prints[where], where
