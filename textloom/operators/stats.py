@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import line_count, words
 from textloom.session import spread
 
 SPECIALS = 4  # ids 0 to 3: padding, unknown, begin, end
@@ -65,20 +64,34 @@ def adjacent_characters(df: DataFrame, text: str) -> DataFrame:
     return own.mapInArrow(run, "left string, right string, n bigint").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
+_SUMS = ("chars", "lines", "words", "bytes", "word_chars")
+
+
 def corpus_stats(df: DataFrame, text: str) -> DataFrame:
-    """One row of corpus statistics; line length counts the breaks, the entropy is of characters in bits."""
-    t = F.col(text)
-    sums = df.where(t.isNotNull()).agg(
-        F.coalesce(F.sum(F.length(t)), F.lit(0)).cast("bigint").alias("chars"),
-        F.coalesce(F.sum(line_count(t)), F.lit(0)).cast("bigint").alias("lines"),
-        F.coalesce(F.sum(F.size(words(t))), F.lit(0)).cast("bigint").alias("words"),
-        F.coalesce(F.sum(F.octet_length(t)), F.lit(0)).cast("bigint").alias("bytes"),
-        F.coalesce(F.sum(F.aggregate(words(t), F.lit(0), lambda s, w: s + F.length(w))), F.lit(0)).cast("bigint").alias("word_chars"),
-    )
-    counts = character_counts(df, text)
-    whole = counts.agg(F.count("*").alias("unique_chars"), F.sum("n").alias("m"), F.sum(F.col("n") * F.log2("n")).alias("nlogn"))
+    """One row of corpus statistics; line length counts the breaks, the entropy is of characters in bits.
+
+    The texts are read once: every task yields the counts of its characters and
+    one row of sums.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, sums = np.zeros(0x110000, np.int64), np.zeros(len(_SUMS), np.int64)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                found = t.split()
+                sums += (len(t), len(t.splitlines()), len(found), len(t.encode()), sum(map(len, found)))
+            for code in _code_points(batch.column(0)):
+                total += np.bincount(code, minlength=len(total))
+        at = np.nonzero(total)[0]
+        none = [None] * len(at)
+        columns = [pa.array([*map(chr, at.tolist()), None], pa.string()), pa.array([*total[at].tolist(), None], pa.int64()), *(pa.array([*none, int(v)], pa.int64()) for v in sums)]
+        yield pa.RecordBatch.from_arrays(columns, names=["ch", "n", *_SUMS])
+
+    own = spread(df.select(F.col(text).alias("t")).where("t is not null"))
+    counts = own.mapInArrow(run, ", ".join(["ch string", "n bigint", *(f"{c} bigint" for c in _SUMS)])).groupBy("ch").agg(*(F.sum(c).alias(c) for c in ("n", *_SUMS)))
+    whole = counts.agg(F.count("ch").alias("unique_chars"), F.sum("n").alias("m"), F.sum(F.col("n") * F.log2("n")).alias("nlogn"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS))
     entropy = F.when(F.col("m") > 0, F.log2("m") - F.col("nlogn") / F.col("m")).otherwise(0.0)
-    return sums.crossJoin(whole).select(
+    return whole.select(
         "chars", "lines", "words", "bytes", "unique_chars",
         F.round(F.col("chars") / F.greatest("lines", F.lit(1)), 4).alias("avg_line_length"),
         F.round(F.col("word_chars") / F.greatest("words", F.lit(1)), 4).alias("avg_word_length"),
