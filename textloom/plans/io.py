@@ -201,10 +201,11 @@ def z1_stream_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _packed(length: int, eos: str) -> str:
-    return f"""WITH b AS (SELECT CAST(doc_id % 4 AS VARCHAR) AS key, doc_id, v{eos} AS w FROM {_CS}),
-    a AS (SELECT key, list(id ORDER BY doc_id, pos) AS v FROM (SELECT key, doc_id, unnest(w) AS id, generate_subscripts(w, 1) AS pos FROM b) GROUP BY key)
-    SELECT key, k AS "window", md5(array_to_string(v[k * {length} + 1:k * {length} + {length}], ',')) AS x, md5(array_to_string(v[k * {length} + 2:k * {length} + {length + 1}], ',')) AS y
-    FROM (SELECT key, v, unnest(range((len(v) - {length + 1}) // {length} + 1)) AS k FROM a)"""
+    return f"""WITH e AS (SELECT key, doc_id, unnest(w) AS id, generate_subscripts(w, 1) AS pos FROM (SELECT CAST(doc_id % 4 AS VARCHAR) AS key, doc_id, v{eos} AS w FROM {_CS})),
+    g AS (SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) - 1 AS k FROM e),
+    a AS (SELECT key, k // {length} AS "window", md5(string_agg(id, ',' ORDER BY k)) AS x FROM g GROUP BY 1, 2 HAVING count(*) = {length}),
+    b AS (SELECT key, (k - 1) // {length} AS "window", md5(string_agg(id, ',' ORDER BY k)) AS y FROM g WHERE k > 0 GROUP BY 1, 2 HAVING count(*) = {length})
+    SELECT key, "window", x, y FROM a JOIN b USING (key, "window")"""
 
 
 def _packed_stream(spark: SparkSession, sf: str, name: str, eos: int | None) -> DataFrame:
