@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import strip
+from textloom.session import spread
 
 IM_START, IM_END, PAD, EOS, IGNORE = 50257, 50258, 50259, 3, -100
 DEFAULT_SYSTEM = "You are a helpful programming assistant."
@@ -65,10 +70,6 @@ def render_chatml(messages: Column, system_prompt: Column | None = None) -> Colu
     return F.concat(head, F.array_join(F.transform(messages, lambda m: block(m["role"], m["content"])), ""))
 
 
-def code_points(t: Column) -> Column:
-    return F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.ascii(c))
-
-
 def turns_within(length: int) -> int:
     """No more turns than this begin within ``length`` ids: each takes two marks, a role, a line feed and some content."""
     return length // (min(map(len, SENDERS.values())) + 4) + 1
@@ -78,22 +79,38 @@ def tokenize_and_mask(df: DataFrame, system_prompt: Column, length: int, *, mess
     """``df`` with x and y of ``length`` ids in place of its messages.
 
     Labels are the assistant's content and its end mark, everything else is
-    ignored.  Ids are code points, the character-level vocabulary; any
-    array-valued encoder can take their place.  Each message is encoded once and
-    both sides are built from the parts.
+    ignored.  Ids are code points, the character-level vocabulary.  Messages are
+    encoded batch by batch until ``length`` ids are there.  A null prompt or null
+    messages give null x and y; a null role or content is empty.
     """
-    start, end = F.array(F.lit(IM_START)), F.array(F.lit(IM_END))
-    encoded = F.transform(
-        messages,
-        lambda m: F.struct(F.concat(start, code_points(F.concat(m["role"], F.lit("\n")))).alias("head"), F.concat(code_points(m["content"]), end).alias("body"), (m["role"] == "assistant").alias("learn")),
-    )
-    system = F.struct(F.concat(start, code_points(F.concat(F.lit("system\n"), system_prompt)), end).alias("head"), F.array().cast("array<int>").alias("body"), F.lit(False).alias("learn"))
-    rows = df.withColumn("_parts", F.concat(F.array(system), encoded)).drop(messages)
-    mute = lambda v: F.array_repeat(F.lit(IGNORE), F.size(v))
-    x = F.flatten(F.transform("_parts", lambda p: F.concat(p["head"], p["body"])))
-    y = F.flatten(F.transform("_parts", lambda p: F.concat(mute(p["head"]), F.when(p["learn"], p["body"]).otherwise(mute(p["body"])))))
-    fill = lambda v, p: F.concat(F.slice(v, 1, length), F.array_repeat(F.lit(p), F.greatest(F.lit(0), F.lit(length) - F.size(v))))
-    return rows.withColumns({"_x": x, "_y": y}).withColumns({"x": fill(F.col("_x"), PAD), "y": fill(F.col("_y"), IGNORE)}).drop("_parts", "_x", "_y")
+    rest = [c for c in df.columns if c not in (messages, "x", "y")]
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest), "x array<int>", "y array<int>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(rest)
+            systems, roles, contents = (batch.column(n + k).to_pylist() for k in range(3))
+            x, y = np.full((len(batch), length), PAD, np.int32), np.full((len(batch), length), IGNORE, np.int32)
+            for i, (system, who, what) in enumerate(zip(systems, roles, contents)):
+                if system is None or who is None:
+                    continue
+                at = 0
+                for role, content in zip(("system", *who), (system, *what)):
+                    if at >= length:
+                        break
+                    head, text = len(role or "") + 2, f"{role or ''}\n{content or ''}"
+                    ids = np.frombuffer(text.encode("utf-32-le"), np.int32)
+                    block = np.concatenate([[IM_START], ids, [IM_END]])[: length - at]
+                    x[i, at : at + len(block)] = block
+                    if role == "assistant":
+                        y[i, at + head : at + len(block)] = block[head:]
+                    at += len(block)
+            offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * length, mask=np.array([*(s is None or w is None for s, w in zip(systems, roles)), False]))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v.ravel())) for v in (x, y)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *lists], names=[*rest, "x", "y"])
+
+    field = lambda name: F.transform(messages, lambda m: m[name])
+    return spread(df.select(*(F.col(f"`{c}`") for c in rest), system_prompt.alias("_system"), field("role").alias("_roles"), field("content").alias("_contents"))).mapInArrow(run, schema)
 
 
 def last_turns(turns: DataFrame, n: int = 5, chars: int = 300) -> DataFrame:
