@@ -5,6 +5,8 @@ The tables are first written out as the files an operator reads, into the shared
 
 from __future__ import annotations
 
+import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -184,10 +186,42 @@ def v8_validate_folder(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams --------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+FILE_BYTES = 8 << 20  # of documents, as stored, that make a file of a stream
+FILES = 4  # files of a trigger
+
+
+def _size(df: DataFrame) -> int:
+    """Bytes of the files a table is read from."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _in_turn(spark: SparkSession, path: str) -> None:
+    """Give the files of a folder times in the order of their names, in which a stream reads them."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-*")
+    fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((s.getPath() for s in fs.globStatus(pattern) or []), key=lambda p: p.getName())
+    now = int(time.time()) * 1000
+    for n, file in enumerate(files):
+        at = now - (len(files) - n) * 1000
+        fs.setTimes(file, at, -1)
+        if fs.getFileStatus(file).getModificationTime() != at:
+            raise RuntimeError("the shared folder keeps no times of files, so a stream has no order there")
+
+
+def _stream(spark: SparkSession, df: DataFrame, name: str, files: int = 1000, ordered: bool = False) -> DataFrame:
     path = _folder(spark, name)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if ordered:
+        _in_turn(spark, path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def _token_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """``(doc_id, text, key)`` of the documents with text, in the order of their ids; a trigger has about ``FILES * FILE_BYTES`` of them."""
+    texts = docs(spark, sf)
+    parts = max(FILES, math.ceil(_size(texts) / FILE_BYTES))
+    rows = texts.where("length(text) > 0").select("doc_id", "text").repartitionByRange(parts, "doc_id")
+    return _stream(spark, rows.withColumn("key", F.pmod("doc_id", F.lit(4)).cast("string")), name, FILES, ordered=True)
 
 
 def _memory(name: str) -> str:
@@ -209,10 +243,9 @@ def _packed(length: int, eos: str) -> str:
 
 
 def _packed_stream(spark: SparkSession, sf: str, name: str, eos: int | None) -> DataFrame:
-    rows = ids(docs(spark, sf)).where("size(ids) > 0").withColumn("key", F.pmod("doc_id", F.lit(4)).cast("string"))
-    stream = packing.packed_stream(_stream(spark, rows, name), "key", "doc_id", "ids", length=512, eos=eos)
-    text = lambda c: F.md5(F.array_join(F.transform(c, lambda v: v.cast("string")), ",")).alias(c)
-    return packing.run_to_memory(stream, _memory(name)).select("key", "window", text("x"), text("y"))
+    stream = packing.packed_stream(_token_stream(spark, sf, name), "key", "doc_id", "text", length=512, eos=eos)
+    text = lambda c: F.md5(F.btrim(F.to_json(c), F.lit("[]"))).alias(c)
+    return packing.run_to_files(stream.select("key", "window", text("x"), text("y")), _folder(spark, name))
 
 
 @query(_packed(512, ""))

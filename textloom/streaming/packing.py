@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+
+PIECE = 2_000  # windows handed to Spark at once
 
 
 def stream_lines(spark: SparkSession, path: str, *, files_per_trigger: int = 1) -> DataFrame:
@@ -16,36 +20,37 @@ def stream_lines(spark: SparkSession, path: str, *, files_per_trigger: int = 1)
 
 
 def packed_stream(rows: DataFrame, key: str, order: str, ids: str, *, length: int, stride: int | None = None, eos: int | None = None) -> DataFrame:
-    """Windows ``(key, window, x, y)`` of the tokens of each key as they arrive.
+    """Windows ``(key, window, x, y)`` of the tokens of each key as they arrive; of a string ``ids``, the code points are the tokens.
 
     ``key`` is the shard whose order is kept; more shards run in parallel.  The
     state is the tail of the buffer (fewer than ``length + stride + 1`` tokens)
     and the number of the next window, so it is bounded.  With ``eos`` that mark
     follows each row.  Rows of one trigger are taken in ``order``; a tail too
-    short for a window waits.
+    short for a window waits.  A task holds the rows of one key and one trigger,
+    so the source has to limit a trigger.
     """
     step = stride or length
+    mark = np.array([] if eos is None else [eos], np.int32)
 
     def update(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         tail, number = state.get if state.exists else ([], 0)
         rows = pd.concat(list(batches)).sort_values("order", kind="stable")
-        buffer, out = list(tail), []
+        parts = [np.asarray(tail, np.int32)]
         for tokens in rows["ids"]:
-            if tokens is None:
-                continue
-            buffer.extend(int(t) for t in tokens)
-            if eos is not None:
-                buffer.append(eos)
-            start = 0
-            while len(buffer) - start > length:
-                out.append((group[0], number, buffer[start : start + length], buffer[start + 1 : start + length + 1]))
-                number += 1
-                start += step
-            buffer = buffer[start:]
-        state.update((buffer, number))
-        yield pd.DataFrame(out, columns=["key", "window", "x", "y"])
-
-    shaped = rows.select(F.col(key).cast("string").alias("key"), F.col(order).alias("order"), F.col(ids).cast("array<int>").alias("ids"))
+            if tokens is not None:
+                parts += [np.frombuffer(tokens.encode("utf-32-le"), np.int32) if isinstance(tokens, str) else np.asarray(tokens, np.int32), mark]
+        del rows
+        buffer = np.concatenate(parts)
+        del parts
+        starts = np.arange(0, max(len(buffer) - length, 0), step)
+        state.update((buffer[len(starts) * step :].tolist(), number + len(starts)))
+        for low in range(0, len(starts), PIECE):
+            some = starts[low : low + PIECE]
+            cut = lambda shift, some=some: [buffer[s + shift : s + shift + length] for s in some]
+            yield pd.DataFrame({"key": group[0], "window": number + low + np.arange(len(some)), "x": cut(0), "y": cut(1)})
+
+    tokens = F.col(ids) if rows.schema[ids].dataType.typeName() == "string" else F.col(ids).cast("array<int>")
+    shaped = rows.select(F.col(key).cast("string").alias("key"), F.col(order).alias("order"), tokens.alias("ids"))
     return shaped.groupBy("key").applyInPandasWithState(update, "key string, window bigint, x array<int>, y array<int>", "tail array<int>, number bigint", "append", "NoTimeout")
 
 
@@ -83,8 +88,22 @@ def shard_sink(path: str, max_tokens: int):
     return write
 
 
+def finish(spark: SparkSession, writer: DataStreamWriter) -> None:
+    """Drive a stream over what is there now; shuffle files of past triggers are deleted when the driver collects its garbage."""
+    query = writer.trigger(availableNow=True).start()
+    while not query.awaitTermination(5):
+        spark._jvm.System.gc()
+
+
 def run_to_memory(df: DataFrame, name: str) -> DataFrame:
-    """Drive a stream over what is there now and return its rows (tests and demonstrations)."""
+    """Drive a stream over what is there now and return its rows (tests and demonstrations; the driver holds them all)."""
     query = df.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def run_to_files(df: DataFrame, path: str) -> DataFrame:
+    """Drive a stream over what is there now into a shared folder and return its rows; the driver holds none of them."""
+    target = df.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state")
+    finish(df.sparkSession, target)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
