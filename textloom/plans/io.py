@@ -186,7 +186,7 @@ def v8_validate_folder(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams --------------------------------------------------------------
 
 
-FILE_BYTES = 8 << 20  # of documents, as stored, that make a file of a stream
+FILE_BYTES = 6 << 20  # of documents, as stored, that make a file of a stream
 FILES = 4  # files of a trigger
 
 
@@ -261,10 +261,9 @@ def z3_stream_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT key, CAST((n - 1) // 512 * 512 AS BIGINT) AS tokens, (n - 1) // 512 * 512 > 0 AS filled FROM (SELECT CAST(doc_id % 4 AS VARCHAR) AS key, sum(length(text)) AS n FROM documents WHERE length(text) > 0 GROUP BY 1)")
 def z4_stream_shards(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of the stream written in size-triggered shards; per key the tokens of its manifest, and whether the last shard alone may be small."""
-    rows = ids(docs(spark, sf)).where("size(ids) > 0").withColumn("key", F.pmod("doc_id", F.lit(4)).cast("string"))
-    stream = packing.packed_stream(_stream(spark, rows, "sharded"), "key", "doc_id", "ids", length=512)
+    stream = packing.packed_stream(_token_stream(spark, sf, "sharded"), "key", "doc_id", "text", length=512)
     path = _folder(spark, "sink")
-    stream.writeStream.foreachBatch(packing.shard_sink(path, 100_000)).trigger(availableNow=True).start().awaitTermination()
+    packing.finish(spark, stream.writeStream.option("checkpointLocation", f"{path}/state").foreachBatch(packing.shard_sink(path, 100_000)))
     manifest = spark.read.schema("epoch bigint, key string, shard bigint, tokens bigint").json(f"{path}/manifest")
     return manifest.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.every(F.col("tokens") > 0).alias("filled"))
 

@@ -30,28 +30,28 @@ def packed_stream(rows: DataFrame, key: str, order: str, ids: str, *, length: in
     so the source has to limit a trigger.
     """
     step = stride or length
-    mark = np.array([] if eos is None else [eos], np.int32)
+    mark = [] if eos is None else [eos]
 
     def update(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         tail, number = state.get if state.exists else ([], 0)
-        rows = pd.concat(list(batches)).sort_values("order", kind="stable")
-        parts = [np.asarray(tail, np.int32)]
-        for tokens in rows["ids"]:
-            if tokens is not None:
-                parts += [np.frombuffer(tokens.encode("utf-32-le"), np.int32) if isinstance(tokens, str) else np.asarray(tokens, np.int32), mark]
-        del rows
-        buffer = np.concatenate(parts)
-        del parts
+        rows = pd.concat(list(batches)).sort_values("order", kind="stable")["ids"]
+        rows = [t for t in rows if t is not None]
+        buffer = np.empty(len(tail) + sum(len(t) + len(mark) for t in rows), np.int32)
+        buffer[: len(tail)] = tail
+        at = len(tail)
+        for t in rows:
+            buffer[at : at + len(t)] = np.frombuffer(t.encode("utf-32-le"), np.int32) if isinstance(t, str) else t
+            buffer[at + len(t) : (at := at + len(t) + len(mark))] = mark
         starts = np.arange(0, max(len(buffer) - length, 0), step)
         state.update((buffer[len(starts) * step :].tolist(), number + len(starts)))
         for low in range(0, len(starts), PIECE):
-            some = starts[low : low + PIECE]
-            cut = lambda shift, some=some: [buffer[s + shift : s + shift + length] for s in some]
-            yield pd.DataFrame({"key": group[0], "window": number + low + np.arange(len(some)), "x": cut(0), "y": cut(1)})
+            v = [buffer[s : s + length + 1] for s in starts[low : low + PIECE]]
+            yield pd.DataFrame({"key": group[0], "window": number + low + np.arange(len(v)), "v": v})
 
     tokens = F.col(ids) if rows.schema[ids].dataType.typeName() == "string" else F.col(ids).cast("array<int>")
     shaped = rows.select(F.col(key).cast("string").alias("key"), F.col(order).alias("order"), tokens.alias("ids"))
-    return shaped.groupBy("key").applyInPandasWithState(update, "key string, window bigint, x array<int>, y array<int>", "tail array<int>, number bigint", "append", "NoTimeout")
+    cut = shaped.groupBy("key").applyInPandasWithState(update, "key string, window bigint, v array<int>", "tail array<int>, number bigint", "append", "NoTimeout")
+    return cut.select("key", "window", F.slice("v", 1, length).alias("x"), F.slice("v", 2, length).alias("y"))
 
 
 def best_stream(rows: DataFrame, key: str, order: str, metric: str) -> DataFrame:
@@ -75,15 +75,18 @@ def best_stream(rows: DataFrame, key: str, order: str, metric: str) -> DataFrame
 
 
 def shard_sink(path: str, max_tokens: int):
-    """A ``foreachBatch`` writer of token rows: shards of about ``max_tokens``, and a manifest line per shard."""
+    """A ``foreachBatch`` writer of windows of one length: shards of about ``max_tokens`` of each key, and a manifest line per shard and epoch.
 
-    def write(df: DataFrame, epoch: int) -> None:
-        from pyspark.sql import Window
+    A shard goes on in the next epoch, so only the last one of a key is small.
+    An epoch that is run again replaces what it wrote.
+    """
 
-        upto = F.sum(F.size("x")).over(Window.partitionBy("key").orderBy("window").rowsBetween(Window.unboundedPreceding, 0))
-        rows = df.withColumn("shard", F.floor((upto - 1) / max_tokens)).withColumn("epoch", F.lit(epoch))
-        rows.write.mode("append").partitionBy("epoch", "key", "shard").parquet(f"{path}/shards")
-        rows.groupBy("epoch", "key", "shard").agg(F.sum(F.size("x")).alias("tokens")).write.mode("append").json(f"{path}/manifest")
+    def write(df: DataFrame, epoch: int) -> None:
+        upto = (F.col("window") + 1) * F.size("x")
+        rows = df.withColumn("shard", F.floor((upto - 1) / max_tokens))
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("key", "shard").parquet(f"{path}/shards/epoch={epoch}")
+        written = df.sparkSession.read.schema(rows.schema).parquet(f"{path}/shards/epoch={epoch}")
+        written.groupBy("key", "shard").agg(F.sum(F.size("x")).alias("tokens")).write.mode("overwrite").json(f"{path}/manifest/epoch={epoch}")
 
     return write
 
