@@ -21,6 +21,15 @@ from textloom.sources import readers, sinks
 from textloom.streaming import packing
 
 
+FILE_BYTES = 6 << 20  # of documents, as stored, that make a file of a stream
+FILES = 4  # files of a trigger
+
+
+def _size(df: DataFrame) -> int:
+    """Bytes of the files a table is read from."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
 
@@ -29,7 +38,8 @@ def _lines(spark: SparkSession, sf: str) -> str:
     """All documents as line files, in document order."""
     path = _folder(spark, "lines")
     text = F.regexp_replace("text", "[\r\n]+", " ")
-    docs(spark, sf).where("length(text) > 0").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(F.concat_ws("\t", "doc_id", text).alias("value")).write.text(path)
+    rows = docs(spark, sf)
+    rows.where("length(text) > 0").repartitionByRange(max(4, math.ceil(_size(rows) / FILE_BYTES)), "doc_id").sortWithinPartitions("doc_id").select(F.concat_ws("\t", "doc_id", text).alias("value")).write.text(path)
     return path
 
 
@@ -186,15 +196,6 @@ def v8_validate_folder(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams --------------------------------------------------------------
 
 
-FILE_BYTES = 6 << 20  # of documents, as stored, that make a file of a stream
-FILES = 4  # files of a trigger
-
-
-def _size(df: DataFrame) -> int:
-    """Bytes of the files a table is read from."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def _in_turn(spark: SparkSession, path: str) -> None:
     """Give the files of a folder times in the order of their names, in which a stream reads them."""
     pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-*")
@@ -231,7 +232,7 @@ def _memory(name: str) -> str:
 @query("SELECT count(*) AS lines FROM documents WHERE length(text) > 0")
 def z1_stream_lines(spark: SparkSession, sf: str) -> DataFrame:
     lines = packing.stream_lines(spark, _lines(spark, sf), files_per_trigger=2)
-    return packing.run_to_memory(lines, _memory("lines")).agg(F.count("*").alias("lines"))
+    return packing.run_to_files(lines, _folder(spark, "streamed")).agg(F.count("*").alias("lines"))
 
 
 def _packed(length: int, eos: str) -> str:
