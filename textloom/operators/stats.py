@@ -54,7 +54,15 @@ def adjacent_characters(df: DataFrame, text: str) -> DataFrame:
             edge = np.zeros(len(code), bool)
             edge[np.cumsum(length + 1)[:-1] - 1] = True
             inner = ~(edge[:-1] | edge[1:])
-            pair, n = np.unique((code[:-1] << 21 | code[1:])[inner], return_counts=True)
+            found = np.nonzero(np.bincount(code, minlength=0x110000))[0]
+            if len(found) <= 2_048:
+                table = np.zeros(0x110000, np.int64)
+                table[found] = np.arange(len(found))
+                count = np.bincount((table[code[:-1]] * len(found) + table[code[1:]])[inner], minlength=len(found) ** 2)
+                at = np.nonzero(count)[0]
+                pair, n = found[at // len(found)] << 21 | found[at % len(found)], count[at]
+            else:
+                pair, n = np.unique((code[:-1] << 21 | code[1:])[inner], return_counts=True)
             for p, k in zip(pair.tolist(), n.tolist()):
                 total[p] = total.get(p, 0) + k
         pairs = list(total)

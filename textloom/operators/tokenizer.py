@@ -10,12 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.stats import adjacent_pairs, best_pair, character_counts
+from textloom.operators.stats import adjacent_characters, adjacent_pairs, best_pair, character_counts
 from textloom.session import discard, materialize, spread
 
 PADDING, UNKNOWN, BEGIN, END = 0, 1, 2, 3
 TOP = 1_000  # most frequent pairs a training round looks at
 PENDING = 16  # merges after which training writes the texts anew
+OPEN = 250  # pairs of characters, or as many as merges if more, that are not cut when training begins
+LOCAL = 200_000_000  # characters of distinct segments that one task trains on
+DENSE = 2_048  # tokens of a training with a table of all pairs in one task
+BLOCK = 1 << 22  # tokens joined at once there
 MAX_TABLE = 2_000_000  # rows of a vocabulary or merge table that every worker loads
 
 
@@ -137,38 +141,215 @@ def _characters(df: DataFrame, text: str) -> list[str]:
 
 
 def train_merges(df: DataFrame, text: str, merges: int) -> list[tuple[str, str, int]]:
-    """The first ``merges`` merges ``(left, right, count)`` of byte-pair training over whole texts.
-
-    Equal texts are counted once with their number.  A round counts all neighbours
-    (per task, then combined) and looks at the ``TOP`` most frequent pairs, of
-    equal counts the largest.  It takes the best pair, and the next ones as long
-    as they are sure to follow: they have no token in common with those taken, so
-    their counts stay, and are more frequent than any pair a taken merge can
-    bring about.  Merges are applied where the texts are read; every ``PENDING``
-    merges the texts are written anew.
+    """The first ``merges`` merges ``(left, right, count)`` of byte-pair training over whole texts, of equal counts the largest pair.
+
+    Two tokens are neighbours no more often than the characters that meet
+    between them.  So texts are cut between characters that are neighbours
+    ``floor`` times at most: while the best pair is more frequent than that,
+    nothing is joined across a cut, and the counts of all pairs that can be the
+    best are complete.  Equal segments are counted once with their number.  At
+    the floor the texts are cut anew between fewer characters.
     """
-    strings = _characters(df, text)
-    number = {c: i for i, c in enumerate(strings)}
-    rows = df.where(F.length(text) > 1).groupBy(F.col(text).alias("t")).agg(F.count("*").alias("weight"))
-    rows = materialize(spread(rows).mapInArrow(_numbered(number), "tokens array<int>, weight bigint"), "bpe")
     out: list[tuple[str, str, int]] = []
-    pending: list[tuple[int, int, int]] = []
+    wanted = max(OPEN, merges)
     while len(out) < merges:
-        pairs = rows.mapInArrow(_count_pairs(pending, strings), "left string, right string, n bigint").groupBy("left", "right").agg(F.sum("n").alias("n"))
-        best = pairs.orderBy(F.desc("n"), F.desc("left"), F.desc("right")).limit(TOP).collect()
-        taken = sure_merges([(r.left, r.right, r.n) for r in best], number, len(best) == TOP)[: merges - len(out)]
-        if not taken:
+        top = adjacent_characters(df, text).orderBy(F.desc("n"), "left", "right").limit(wanted + 1).collect()
+        floor = top[wanted].n if len(top) > wanted else 0
+        opened = [(r.left, r.right) for r in top if r.n > floor]
+        segments = materialize(_segments(df, text, opened), "segments")
+        size = segments.agg(F.sum(F.length("segment") + 1).alias("n")).collect()[0].n or 0
+        characters = sorted({c for p in opened for c in p})
+        if size <= LOCAL and len(characters) + merges < DENSE:
+            run = _train_in_one_task(characters, list(out), merges, floor)
+            rows = segments.coalesce(1).mapInArrow(run, "at int, left string, right string, n bigint").orderBy("at").collect()
+            out += [(r.left, r.right, r.n) for r in rows]
+        else:
+            out = _train_in_rounds(segments, characters, out, merges, floor)
+        discard(segments)
+        if not floor:
             break
+        wanted *= 2
+    return out
+
+
+def _segments(df: DataFrame, text: str, opened: list[tuple[str, str]]) -> DataFrame:
+    """``(segment, weight)``: the parts of two or more characters into which the texts fall where a pair of characters is not ``opened``."""
+    used = sorted({ord(c) for p in opened for c in p})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(0x110000, np.int32)
+        table[used] = np.arange(1, len(used) + 1)
+        pairs = np.unique(np.array([int(table[ord(a)]) * (len(used) + 1) + int(table[ord(b)]) for a, b in opened], np.int64))
+        whole = None
+        if len(used) < 4_096:
+            whole = np.zeros((len(used) + 1) ** 2, bool)
+            whole[pairs] = True
+        total: dict[str, int] = {}
+
+        def rows() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["segment", "weight"])
+            total.clear()
+            return got
+
+        for batch in batches:
+            for low in range(0, len(batch), 1_000):
+                texts = batch.column(0).slice(low, 1_000).to_pylist()
+                joined = "".join(texts)
+                code = table[np.frombuffer(joined.encode("utf-32-le"), np.uint32)].astype(np.int64)
+                pair = code[:-1] * (len(used) + 1) + code[1:]
+                cut = ~whole[pair] if whole is not None else ~np.isin(pair, pairs)
+                cut[np.cumsum([len(t) for t in texts])[:-1] - 1] = True
+                first = np.concatenate([[0], np.nonzero(cut)[0] + 1, [len(code)]])
+                long = np.nonzero(np.diff(first) > 1)[0]
+                for a, b in zip(first[long].tolist(), first[long + 1].tolist()):
+                    part = joined[a:b]
+                    total[part] = total.get(part, 0) + 1
+                if len(total) > 500_000:
+                    yield rows()
+        yield rows()
+
+    own = spread(df.select(F.col(text).alias("t")).where("length(t) > 1"))
+    return own.mapInArrow(run, "segment string, weight bigint").groupBy("segment").agg(F.sum("weight").alias("weight"))
+
+
+class _Block:
+    """Tokens of segments with a 0 before each and at the end."""
+
+    def __init__(self, token: np.ndarray, weight: np.ndarray):
+        self.token, self.weight = token, weight
+        self.edge = np.nonzero(token == 0)[0]
+
+    def pairs(self, at: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that begin at the places ``at``, in rising order, and their weights."""
+        a, b = self.token[at].astype(np.int64), self.token[at + 1].astype(np.int64)
+        inner = (a > 0) & (b > 0)
+        at, pair = at[inner], a[inner] * tokens + b[inner]
+        return pair, self.weight[np.searchsorted(self.edge, at) - 1]
+
+    def join(self, left: int, right: int, joined: int, tokens: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Join a pair from the left; the pairs that were there and those that are there now, or nothing."""
+        at = np.nonzero((self.token[:-1] == left) & (self.token[1:] == right))[0]
+        if not len(at):
+            return []
+        if left == right:
+            at = _every_other(at)
+        before = self.pairs(np.unique(np.concatenate([at - 1, at, at + 1])), tokens)
+        keep = np.ones(len(self.token), bool)
+        keep[at + 1] = False
+        self.token[at] = joined
+        self.token = self.token[keep]
+        self.edge = self.edge - np.searchsorted(at + 1, self.edge)
+        at = at - np.arange(len(at))
+        return [before, self.pairs(np.unique(np.concatenate([at - 1, at])), tokens)]
+
+
+def _weighted(parts: list[tuple[np.ndarray, np.ndarray]], tokens: int) -> np.ndarray:
+    """Exact sums of weights by pair; the halves of the weights are summed as floating numbers that hold them exactly."""
+    pair, weight = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    low = np.bincount(pair, weight & 0xFFFFFF, tokens * tokens).astype(np.int64)
+    high = weight >> 24
+    return low + (np.bincount(pair, high, tokens * tokens).astype(np.int64) << 24) if high.any() else low
+
+
+def _every_other(at: np.ndarray) -> np.ndarray:
+    """Of neighbouring places every other one."""
+    start = np.append(True, np.diff(at) != 1)
+    run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
+    return at[(np.arange(len(at)) - run) % 2 == 0]
+
+
+def _train_in_one_task(characters: list[str], known: list[tuple[str, str, int]], merges: int, floor: int):
+    """Rows (at, left, right, n) of the merges after the ``known`` ones, as long as they are more frequent than ``floor``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = ["", *characters]
+        number = {s: i for i, s in enumerate(strings)}
+        tokens = len(strings) + merges
+        table = np.zeros(0x110000, np.int16)
+        table[[ord(c) for c in characters]] = np.arange(1, len(strings))
+        # a segment has no character of no opened pair, so that stands for its end
+        end = next(c for c in map(chr, range(1, 0x110000)) if c not in number)
+        blocks: list[_Block] = []
+        held: list[tuple[str, np.ndarray]] = []
+
+        def close() -> None:
+            code = np.frombuffer((end + end.join(t for t, _ in held) + end).encode("utf-32-le"), np.uint32)
+            blocks.append(_Block(table[code], np.concatenate([w for _, w in held])))
+            held.clear()
+
+        for batch in batches:
+            held.append((end.join(batch.column(0).to_pylist()), batch.column(1).to_numpy()))
+            if sum(len(t) for t, _ in held) >= BLOCK:
+                close()
+        if held:
+            close()
+
+        def numbered(left: str, right: str) -> tuple[int, int, int]:
+            joined = number.setdefault(left + right, len(strings))
+            if joined == len(strings):
+                strings.append(left + right)
+            return number[left], number[right], joined
+
+        for left, right, _ in known:
+            pair = numbered(left, right)
+            for b in blocks:
+                b.join(*pair, tokens)
+        counts = np.zeros(tokens * tokens, np.int64)
+        for b in blocks:
+            counts += _weighted([b.pairs(np.arange(len(b.token) - 1), tokens)], tokens)
+        found = []
+        while len(known) + len(found) < merges:
+            n = int(counts.max())
+            if n <= floor:
+                break
+            left, right = max((strings[p // tokens], strings[p % tokens]) for p in np.nonzero(counts == n)[0].tolist())
+            found.append((len(found), left, right, n))
+            pair = numbered(left, right)
+            changes = [c for b in blocks if (c := b.join(*pair, tokens))]
+            counts += _weighted([now for _, now in changes], tokens) - _weighted([before for before, _ in changes], tokens)
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=["at", "left", "right", "n"])
+
+    return run
+
+
+def _train_in_rounds(segments: DataFrame, characters: list[str], known: list[tuple[str, str, int]], merges: int, floor: int) -> list[tuple[str, str, int]]:
+    """All merges so far, where the segments are too many for one task.
+
+    A round counts all neighbours (per task, then combined) and looks at the
+    ``TOP`` most frequent pairs.  It takes the best pair, and the next ones as
+    long as they are sure to follow: they have no token in common with those
+    taken, so their counts stay, and are more frequent than any pair a taken
+    merge can bring about.  Merges are applied where the segments are read;
+    every ``PENDING`` merges they are written anew.
+    """
+    strings = list(characters)
+    number = {c: i for i, c in enumerate(strings)}
+    rows = materialize(spread(segments).mapInArrow(_numbered(number), "tokens array<int>, weight bigint"), "bpe")
+    out: list[tuple[str, str, int]] = []
+    pending: list[tuple[int, int, int]] = []
+
+    def add(taken: list[tuple[str, str, int]]) -> None:
         for left, right, n in taken:
             joined = number.setdefault(left + right, len(strings))
             if joined == len(strings):
                 strings.append(left + right)
             pending.append((number[left], number[right], joined))
             out.append((left, right, n))
+
+    add(known)
+    while len(out) < merges:
+        pairs = rows.mapInArrow(_count_pairs(pending, strings), "left string, right string, n bigint").groupBy("left", "right").agg(F.sum("n").alias("n"))
+        best = pairs.orderBy(F.desc("n"), F.desc("left"), F.desc("right")).limit(TOP).collect()
+        taken = sure_merges([(r.left, r.right, r.n) for r in best], number, len(best) == TOP)[: merges - len(out)]
+        taken = [t for t in taken if t[2] > floor]  # in falling order
+        if not taken:
+            break
+        add(taken)
         if len(pending) >= PENDING:
             after = materialize(rows.mapInArrow(_applied(pending), "tokens array<int>, weight bigint"), "bpe")
             discard(rows)
-            rows, pending = after, []
+            rows, pending[:] = after, []
     discard(rows)
     return out
 
@@ -218,10 +399,7 @@ def _merged(lists: pa.ListArray, pending: list[tuple[int, int, int]]) -> tuple[n
     for left, right, joined in pending:
         at = np.nonzero((token[:-1] == left) & (token[1:] == right) & (text[:-1] == text[1:]))[0]
         if left == right and len(at):
-            # of neighbouring places every other one
-            start = np.append(True, np.diff(at) != 1)
-            run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-            at = at[(np.arange(len(at)) - run) % 2 == 0]
+            at = _every_other(at)
         token[at] = joined
         keep = np.ones(len(token), bool)
         keep[at + 1] = False
