@@ -9,6 +9,9 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: shuffle files go when the execution that wrote them ends, not when the driver happens to collect its garbage
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def get_session(master: str | None = None, app: str = "textloom", **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC time; ``master`` None keeps the submit-time master."""
@@ -19,6 +22,7 @@ def get_session(master: str | None = None, app: str = "textloom", **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        CLEANUP: "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -33,8 +37,11 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once, unless they find it by themselves.
 
     They do where PYTHONPATH names the package's folder, and in local mode where it is the working directory.
+    The session is set to delete shuffle files with the execution that wrote them, unless it says otherwise.
     """
     sc = spark.sparkContext
+    if CLEANUP not in spark.conf.getAll:
+        spark.conf.set(CLEANUP, "true")
     package = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(package)
     here = sc.master.startswith("local[") or sc.master == "local"
