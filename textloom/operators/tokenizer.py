@@ -16,7 +16,7 @@ from textloom.session import discard, materialize, spread
 PADDING, UNKNOWN, BEGIN, END = 0, 1, 2, 3
 TOP = 1_000  # most frequent pairs a training round looks at
 PENDING = 16  # merges after which training writes the texts anew
-OPEN = 250  # pairs of characters, or as many as merges if more, that are not cut when training begins
+OPEN = 250  # pairs of characters, or five for three merges if more, that are not cut when training begins
 LOCAL = 200_000_000  # characters of distinct segments that one task trains on
 DENSE = 2_048  # tokens of a training with a table of all pairs in one task
 BLOCK = 1 << 22  # tokens joined at once there
@@ -151,7 +151,7 @@ def train_merges(df: DataFrame, text: str, merges: int) -> list[tuple[str, str,
     the floor the texts are cut anew between fewer characters.
     """
     out: list[tuple[str, str, int]] = []
-    wanted = max(OPEN, merges)
+    wanted = max(OPEN, merges * 5 // 3)
     while len(out) < merges:
         top = adjacent_characters(df, text).orderBy(F.desc("n"), "left", "right").limit(wanted + 1).collect()
         floor = top[wanted].n if len(top) > wanted else 0
