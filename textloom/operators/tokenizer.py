@@ -233,14 +233,20 @@ class _Block:
             return []
         if left == right:
             at = _every_other(at)
-        before = self.pairs(np.unique(np.concatenate([at - 1, at, at + 1])), tokens)
+        before = self.pairs(_around(at, (-1, 0, 1)), tokens)
         keep = np.ones(len(self.token), bool)
         keep[at + 1] = False
         self.token[at] = joined
         self.token = self.token[keep]
-        self.edge = self.edge - np.searchsorted(at + 1, self.edge)
+        self.edge = self.edge - np.cumsum(np.bincount(np.searchsorted(self.edge, at + 1), minlength=len(self.edge)))
         at = at - np.arange(len(at))
-        return [before, self.pairs(np.unique(np.concatenate([at - 1, at])), tokens)]
+        return [before, self.pairs(_around(at, (-1, 0)), tokens)]
+
+
+def _around(at: np.ndarray, steps: tuple[int, ...]) -> np.ndarray:
+    """The places at these steps from ``at``, in rising order, each once; joined pairs do not overlap, so the places of the next do not come before."""
+    flat = (at[:, None] + np.array(steps)).ravel()
+    return flat[np.append(True, flat[1:] != flat[:-1])]
 
 
 def _weighted(parts: list[tuple[np.ndarray, np.ndarray]], tokens: int) -> np.ndarray:
