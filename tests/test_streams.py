@@ -25,6 +25,13 @@ def test_windows_of_many_triggers_are_in_order_and_not_held_by_the_driver(spark,
     assert got == want and len(want) > 20
 
 
+def test_packed_windows_are_read_from_files(spark, tmp_path):
+    spark.createDataFrame([(i, "x" * 600) for i in range(1, 41)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    packed = io.z3_stream_packing(spark, str(tmp_path))
+    assert packed.count() == 4 * ((10 * 601 - 1) // 512)
+    assert packed.inputFiles()  # rows of a memory sink have none
+
+
 def test_shards_go_on_over_triggers(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i, "x" * 5000) for i in range(1, 201)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     monkeypatch.setattr(io, "FILE_BYTES", 500)
